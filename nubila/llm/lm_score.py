@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .counts import slot_counts
 from .rows import real_id, row_key
 from .textcore import U, Words, chunks, mix
 from .workspace import tune
@@ -34,27 +35,18 @@ def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of(h, WORDS), of(before, WORDS), of(mix(h * U(0x9E3779B97F4A7C15) + before), PAIRS)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nonzero counts of one task: words, then contexts, then pairs."""
-    total = np.zeros(2 * WORDS + PAIRS, np.int64)
-    for batch in batches:
-        for _, _, data, off in chunks(batch.column(0)):
-            w, c, p = slots(Words(data, off, lower=True))
-            total[:WORDS] += np.bincount(w, minlength=WORDS)
-            total[WORDS : 2 * WORDS] += np.bincount(c, minlength=WORDS)
-            total[2 * WORDS :] += np.bincount(p, minlength=PAIRS)
-    at = np.flatnonzero(total)
-    for lo in range(0, len(at), 1 << 16):
-        part = at[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
+def _add(batch: pa.RecordBatch, total: np.ndarray) -> None:
+    """Add a batch's words, then contexts, then pairs."""
+    for _, _, data, off in chunks(batch.column(0)):
+        w, c, p = slots(Words(data, off, lower=True))
+        total[:WORDS] += np.bincount(w, minlength=WORDS)
+        total[WORDS : 2 * WORDS] += np.bincount(c, minlength=WORDS)
+        total[2 * WORDS :] += np.bincount(p, minlength=PAIRS)
 
 
 def count(texts: DataFrame) -> np.ndarray:
-    """Counts by slot over all texts (one column): counted in each task, summed by Spark, a bounded table in the end."""
-    rows = texts.mapInArrow(_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * WORDS + PAIRS)
-    total[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return total
+    """Counts by slot over all texts (one column)."""
+    return slot_counts(texts, 2 * WORDS + PAIRS, _add).astype(float)
 
 
 def losses(model: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, weight: float = WEIGHT, add: float = ADD) -> np.ndarray:

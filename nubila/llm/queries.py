@@ -41,6 +41,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_docs(spark, sf_dir))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
