@@ -110,22 +110,63 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of docs.
+#: Members of a bucket that are compared as single pairs at most; larger buckets are compared in blocks of BLOCK members.
+SMALL, BLOCK = 32, 256
 
-    Sets of distinct shingles of ``size`` words (A-Z lower-cased) are linked when their similarity is at least
-    ``percent``; component_id is the smallest id that links reach.
 
-    Equal sets are one class, and only its smallest id goes on.  A class's band keys meet in buckets; within a
-    bucket, members are confirmed against pivots first, and only members that are then still in different components
-    are compared with each other, so a bucket of many copies costs about one comparison per copy, yet no link that
-    would join two components is left out.  Candidates are found by banding (a pair at 0.75 is missed with
-    probability 5e-6); confirmation is exact.
+def _links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links between the asking and the asked members of one pair of blocks; only links leave the task."""
+        asks = table.column("asks").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = table.column("set").combine_chunks()
+        off, values = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        size = np.diff(off)
+        asked = np.flatnonzero(~asks)
+        pool = np.concatenate([values[off[i] : off[i + 1]] for i in asked]) if len(asked) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(asked)), size[asked])
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(asks):
+            mine = values[off[i] : off[i + 1]]
+            lo, hi = np.searchsorted(pool, mine), np.searchsorted(pool, mine, side="right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(asked))
+            ok = (100 * common >= percent * (size[i] + size[asked] - common)) & (component[asked] != component[i])
+            # one link to a component joins all of it
+            _, once = np.unique(component[asked][ok], return_index=True)
+            out += [(node[i], node[j]) for j in asked[ok][once]]
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
 
-    Null or empty text, or text without words: an empty set, linked with nothing.  Null ids: the row takes part, its
-    component_id is null unless it is linked with a row that has an id, and it is kept if it stands for its
-    component.  Rows with the same id are one node.  Other columns of docs are ignored.
+    return run
+
+
+def _crowded(ws: Workspace, held: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the large buckets of held (key, node, component), and the rows of the small ones.
+
+    In a large bucket, the members outside its largest component are the asking ones: blocks of them meet blocks of all
+    members, and each pair of blocks is a group of its own, so no task holds a whole bucket and no pair is written
+    that isn't a link.
     """
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("key").agg(F.sum("k").alias("c"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"))
+    large = main.where(f"c > {SMALL}")
+    small = held.join(large.select("key"), "key", "left_anti")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    inside = held.join(large, "key").withColumn("nq", F.greatest(blocks(F.col("c") - F.col("most")), F.lit(1))).withColumn("nt", blocks(F.col("c")))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = inside.where("component <> main").select("key", "node", "component", F.lit(True).alias("asks"), spot("nq").alias("q"), each("nt").alias("t"))
+    asked = inside.select("key", "node", "component", F.lit(False).alias("asks"), each("nq").alias("q"), spot("nt").alias("t"))
+    rows = asking.unionByName(asked).join(sets, "node")
+    links = rows.groupBy("key", "q", "t").applyInArrow(_links(percent), "a long, b long").distinct()
+    return ws.save(links, "crowd"), small
+
+
+def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, n, component) for near_duplicates(), one row per row of docs."""
     ws = Workspace(docs.sparkSession, "near")
     src = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
     seen = ws.save(src.mapInArrow(_sketches(bands, rows, size), "node long, n long, f1 long, f2 long, bands array<long>"), "sketches")
@@ -143,8 +184,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pairs.join(na, "a").join(nb, "b").where(f"100 * na >= {percent} * mb and 100 * nb >= {percent} * ma").select("a", "b")
 
     # rows of one id with different sets are one node from the start
-    links = classes.groupBy("rep").agg(F.count("*").alias("c")).where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    same_id = some.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    several = some.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
+    same_id = some.join(several, "node", "left_semi").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     links = ws.save(same_id.distinct(), "links")
 
     involved = members.select("node").distinct()
@@ -164,8 +205,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 held = held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
                 split = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
                 held = held.join(split, "key", "left_semi")
+            crowd = None
             if step == "rest":
-                held = ws.save(held, "rest")
+                crowd, held = _crowded(ws, ws.save(held.select("key", "node", "component"), "rest"), sets, percent)
                 left, right = (held.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
                 pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
             else:
@@ -187,9 +229,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
             pairs = ws.save(in_reach(pairs), "pairs")
-            if not pairs.isEmpty():
+            if crowd is not None or not pairs.isEmpty():
                 done = pairs if done is None else done.unionByName(pairs)
-                found = ws.save(_similar(pairs, sets, percent), "found")
+                found = _similar(pairs, sets, percent)
+                found = ws.save(found.unionByName(crowd) if crowd is not None else found, "found")
                 if not found.isEmpty():
                     links = links.unionByName(found)
                     labels = ws.save(connected_components(ws, links), "labels")
@@ -203,7 +246,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = labels.select(F.col("node").alias("rep"), "component")
     whole = some.select("node", "n", "f1", "f2").join(reps, ["f1", "f2"]).join(roots, "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
     bare = seen.where("n = 0").select("node", "n", F.col("node").alias("component"))
+    return whole.unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of docs.
+
+    Sets of distinct shingles of ``size`` words (A-Z lower-cased) are linked when their similarity is at least
+    ``percent``; component_id is the smallest id that links reach.
+
+    Equal sets are one class, and only its smallest id goes on.  A class's band keys meet in buckets; within a
+    bucket, members are confirmed against pivots first, and only members that are then still in different components
+    are compared with each other, so a bucket of many copies costs about one comparison per copy, yet no link that
+    would join two components is left out.  Candidates are found by banding (a pair at 0.75 is missed with
+    probability 5e-6); confirmation is exact.
+
+    Null or empty text, or text without words: an empty set, linked with nothing.  Null ids: the row takes part, its
+    component_id is null unless it is linked with a row that has an id, and it is kept if it stands for its
+    component.  Rows with the same id are one node.  Other columns of docs are ignored.
+    """
+    found = components_of(docs, id_col=id_col, text_col=text_col, size=size, percent=percent, bands=bands, rows=rows)
     with_id = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
-    return whole.unionByName(bare).select(
-        with_id("node").alias("doc_id"), F.col("n").alias("n_shingles"), with_id("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept")
-    )
+    return found.select(with_id("node").alias("doc_id"), F.col("n").alias("n_shingles"), with_id("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that stand for their components, with the columns of docs."""
+    gone = components_of(docs, id_col=id_col, text_col=text_col, **how).where("node <> component").select(F.col("node").alias("__node")).distinct()
+    return docs.withColumn("__node", node_of(F.col(id_col), F.col(text_col))).join(gone, "__node", "left_anti").drop("__node")
+

@@ -39,3 +39,58 @@ def corpus():
     rows += [rows[30], rows[30], (None, texts[22], None, None, None, None, None), (None, "no id here", "en", "s", 3, "k", 2)]
     rng.shuffle(rows)
     return rows
+
+
+def similar_lines(rows):
+    """Texts without the lines that resemble an earlier line; rows are (doc_id, text) with distinct ids."""
+    seen, out = [], {}
+    for i, text in sorted(rows):
+        kept = []
+        for line in (text or "").split("\n"):
+            w = set(words(lowered(line)))
+            if not w or not any(7 * len(w & v) >= 3 * (len(w) + len(v)) for v in seen):
+                kept.append(line)
+            if w:
+                seen.append(w)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def shingle_set(text):
+    w = words(lowered(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def components(rows):
+    """Smallest id that links reach, by id; rows are (doc_id, text), ids may repeat."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            n = len(a & b)
+            if (a or b) and 100 * n >= 75 * (len(a) + len(b) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def repeated_words(texts, width=35):
+    """For each text, which of its words a repeated window covers."""
+    from collections import Counter
+
+    all_words = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + width]) for w in all_words for i in range(len(w) - width + 1))
+    out = []
+    for w in all_words:
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone[i : i + width] = [True] * width
+        out.append((w, gone))
+    return out
