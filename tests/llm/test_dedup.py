@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 
-from corpus import SCHEMA, components, corpus, repeated_words, sha, shingle_set, similar_lines
+from corpus import SCHEMA, components, corpus, repeated_words, sha, shingle_set, similar_lines, words
 from nubila.llm import near_dedup
 from nubila.llm.line_dedup import line_dedup
 from nubila.llm.near_dedup import near_duplicates
@@ -55,6 +55,6 @@ def test_substring_dedup(spark):
     assert sum(k[2] for k in want)
     got = substring_dedup(spark.createDataFrame(rows, SCHEMA), with_text=True).collect()
     assert Counter(tuple(r)[:4] for r in got) == want
-    assert Counter((r.doc_id, " ".join(x for x in (r.text or "").replace("\x0b", " ").split())) for r in got) == texts
+    assert Counter((r.doc_id, " ".join(words(r.text))) for r in got) == texts
     assert Counter(tuple(r) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == want
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
