@@ -8,11 +8,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, Callable] = {}
-W = Window.partitionBy("batch")
+
+def cloud() -> WindowSpec:
+    """All points of a row's cloud."""
+    return Window.partitionBy("batch")
+
 
 
 def register(f: Callable) -> Callable:
@@ -38,19 +42,19 @@ def xyz(f: Callable[[str], Column]) -> dict[str, Column]:
 
 @register
 def positive_shift(df: DataFrame) -> DataFrame:
-    return df.withColumns(xyz(lambda a: F.col(a) - F.min(a).over(W)))
+    return df.withColumns(xyz(lambda a: F.col(a) - F.min(a).over(cloud())))
 
 
 @register
 def center_shift(df: DataFrame, apply_z: bool = True) -> DataFrame:
-    mid = lambda a: (F.min(a).over(W) + F.max(a).over(W)) / 2
-    return df.withColumns({"x": F.col("x") - mid("x"), "y": F.col("y") - mid("y"), "z": F.col("z") - F.min("z").over(W) if apply_z else F.col("z")})
+    mid = lambda a: (F.min(a).over(cloud()) + F.max(a).over(cloud())) / 2
+    return df.withColumns({"x": F.col("x") - mid("x"), "y": F.col("y") - mid("y"), "z": F.col("z") - F.min("z").over(cloud()) if apply_z else F.col("z")})
 
 
 @register
 def normalize_coord(df: DataFrame) -> DataFrame:
-    c = df.withColumns(xyz(lambda a: F.col(a) - F.avg(a).over(W)))
-    m = F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).over(W)
+    c = df.withColumns(xyz(lambda a: F.col(a) - F.avg(a).over(cloud())))
+    m = F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).over(cloud())
     return c.withColumn("__m", m).withColumns(xyz(lambda a: F.col(a) / F.col("__m"))).drop("__m")
 
 
@@ -92,7 +96,7 @@ def rotated(df: DataFrame, angle: Column, axis: str = "z", center: bool = True)
     out = {}
     for p, q, mid in ((a, b, center), (f"n{a}", f"n{b}", False)):
         if p in df.columns and q in df.columns:
-            m = [(F.min(v).over(W) + F.max(v).over(W)) / 2 if mid else F.lit(0.0) for v in (p, q)]
+            m = [(F.min(v).over(cloud()) + F.max(v).over(cloud())) / 2 if mid else F.lit(0.0) for v in (p, q)]
             u, v = F.col(p) - m[0], F.col(q) - m[1]
             out |= {p: u * c - v * s + m[0], q: u * s + v * c + m[1]}
     return df.withColumns(out)
@@ -131,7 +135,7 @@ def clipped(c: Column) -> Column:
 
 @register
 def chromatic_auto_contrast(df: DataFrame, blend: float = 0.5) -> DataFrame:
-    lo, hi = (lambda c: F.min(c).over(W)), (lambda c: F.max(c).over(W))
+    lo, hi = (lambda c: F.min(c).over(cloud())), (lambda c: F.max(c).over(cloud()))
     stretch = lambda c: (F.col(c) - lo(c)) * 255 / F.when(hi(c) > lo(c), hi(c) - lo(c)).otherwise(1)
     return df.withColumns({c: F.col(c) * (1 - blend) + stretch(c) * blend for c in "rgb"})
 
@@ -163,7 +167,7 @@ def color_gray_scale(df: DataFrame) -> DataFrame:
 def adjust_color(df: DataFrame, brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0, hue: float = 0.0) -> DataFrame:
     """Blend with black, with the cloud's mean gray, with gray, and turn the hue."""
     df = df.withColumns({c: clipped(F.col(c) * brightness) for c in "rgb"})
-    df = df.withColumn("__g", F.avg(gray()).over(W)).withColumns({c: clipped(F.col(c) * contrast + F.col("__g") * (1 - contrast)) for c in "rgb"})
+    df = df.withColumn("__g", F.avg(gray()).over(cloud())).withColumns({c: clipped(F.col(c) * contrast + F.col("__g") * (1 - contrast)) for c in "rgb"})
     df = df.withColumn("__g", gray()).withColumns({c: clipped(F.col(c) * saturation + F.col("__g") * (1 - saturation)) for c in "rgb"}).drop("__g")
     return hue_saturation(df, hue, 1.0) if hue else df
 
