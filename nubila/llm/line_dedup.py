@@ -56,6 +56,16 @@ def line_tokens(data: np.ndarray, off: np.ndarray, ranks: np.ndarray):
     return row[first], number[first], np.append(first, len(line)), token
 
 
+def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line's set of tokens."""
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        total = np.zeros(len(token) + 1, U)
+        np.cumsum(mix(token ^ U(salt)), out=total[1:])
+        out.append(mix(total[at[1:]] - total[at[:-1]]))
+    return out[0], out[1]
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
     """Two sets of similarity 3/4 or more share a token among this many of the rarest tokens of each."""
     return n - (3 * n + 3) // 4 + 1
@@ -67,11 +77,8 @@ def _lines(shared):
             for lo, hi, data, off in chunks(batch.column(2)):
                 row, number, at, token = line_tokens(data, off, shared.value)
                 n = np.diff(at)
-                sums = np.zeros((2, len(token) + 1), U)
-                np.cumsum(mix(token), out=sums[0, 1:])
-                np.cumsum(mix(token ^ U(0x5851F42D4C957F2D)), out=sums[1, 1:])
-                c1, c2 = (mix(s[at[1:]] - s[at[:-1]]) for s in sums)
-                # a token that occurs once joins nothing and is in no intersection
+                c1, c2 = class_hashes(at, token)
+                # a token that occurs once joins nothing
                 line = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(token)) - at[line]
                 common = token >> U(56) != 0
@@ -81,14 +88,13 @@ def _lines(shared):
                 told = np.zeros(len(n), bool)
                 told[once] = True
                 told &= leads > 0
-                keep = common & told[line]
                 lead &= told[line]
                 ids = pa.array(row + lo)
                 lists = lambda mask, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[mask], minlength=len(n)))]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(ids), batch.column(1).take(ids), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
-                        lists(keep, token[keep].view(np.int64)), lists(lead, place[lead].astype(np.int32)),
+                        lists(lead, token[lead].view(np.int64)), lists(lead, place[lead].astype(np.int32)),
                     ],
                     ["did", "th", "line", "n", "c1", "c2", "tokens", "places"],
                 )
@@ -96,52 +102,85 @@ def _lines(shared):
     return run
 
 
-def _some(shared, bits: int):
+def _postings(shared, bits: int):
+    """Prefix tokens that more than one class may have, with the class's place and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, places = batch.column(2), batch.column(3)
+            size = np.diff(places.offsets.to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            token = tokens.values.to_numpy()[tokens.offsets.to_numpy()[:-1].astype(np.int64)[row] + inside]
+            keep = test_bits(shared.value, bits, token)
+            ids = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(places.flatten().to_numpy()[keep])], ["token", "first", "n", "at"])
+
+    return run
+
+
+def _sets(ranks, shared, bits: int):
+    """Whole sets of the classes that the filter lets through, once per chunk; a token that occurs once is in no intersection."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(test_bits(shared.value, bits, batch.column(0).to_numpy())))
+            for _, _, data, off in chunks(batch.column(0)):
+                _, _, at, token = line_tokens(data, off, ranks.value)
+                c1, c2 = class_hashes(at, token)
+                _, once = np.unique(c1, return_index=True)
+                keep = np.zeros(len(c1), bool)
+                keep[once] = test_bits(shared.value, bits, c1[once])
+                line = np.repeat(np.arange(len(c1)), np.diff(at))
+                mine = keep[line] & (token >> U(56) != 0)
+                sizes = np.bincount(line[mine], minlength=len(c1))[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c1[keep].view(np.int64)), pa.array(c2[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token[mine].view(np.int64)))], ["c1", "c2", "tokens"])
 
     return run
 
 
+PLACE = "struct<did:long,th:long,line:int>"
+
+
 def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     """(did, th, gone array<int>): numbers of the lines that resemble an earlier one, by document."""
     ranks = ws.spark.sparkContext.broadcast(rarity(slot_counts(src.select("text"), SLOTS, _count)))
-    lines = src.select("did", "th", "text").mapInArrow(_lines(ranks), "did long, th long, line int, n int, c1 long, c2 long, tokens array<long>, places array<int>")
-    lines = ws.save(lines, "lines")
-    key = ["c1", "c2"]
-    classes = ws.save(lines.groupBy("c1", "c2").agg(F.max("n").alias("n"), F.min(F.struct("did", "th", "line")).alias("first"), F.count("*").alias("copies"), F.max("tokens").alias("tokens"), F.max("places").alias("places")), "classes")
-    posted = classes.where(F.size("places") > 0).select("c1", "c2", "n", "first", F.explode(F.arrays_zip("places", F.slice("tokens", 1, F.size("places")).alias("token"))).alias("p"))
-    posted = posted.select("c1", "c2", "n", "first", F.col("p.places").alias("at"), F.col("p.token").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "c1", "c2", "n", "at")).alias("pivot")).where("c > 1")
-    met = ws.save(posted.join(often, "token"), "postings")
-
-    fits = lambda n, m, at, bt: (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (F.least(n - at, m - bt) * 7 >= (n + m) * 3)
+    full = src.select("did", "th", "text").mapInArrow(_lines(ranks), "did long, th long, line int, n int, c1 long, c2 long, tokens array<long>, places array<int>")
+    full = ws.save(full, "lines")
+    place = F.struct("did", "th", "line")
+    # a class is a set of words; it is known by its first place, which no other class has
+    classes = ws.save(full.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("tokens").alias("tokens"), F.max("places").alias("places")), "classes")
+    lines = ws.save(full.select("did", "th", "line", "c1", "c2"), "places")
+    ws.drop(full)
+    leading = classes.where(F.size("places") > 0)
+    often = ws.save(leading.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "often")
+    count = often.count()
     gone = None
-    for step in ("pivot", "rest"):
-        if step == "pivot":
-            pairs = met.where((F.col("pivot.first") < F.col("first")) & fits(F.col("n"), F.col("pivot.n"), F.col("at"), F.col("pivot.at"))).select("c1", "c2", "n", F.col("pivot.c1").alias("d1"), F.col("pivot.c2").alias("d2"), F.col("pivot.n").alias("m"))
-        else:
-            later = met.join(gone, key, "left_anti") if gone is not None else met
-            early = met.select("token", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n").alias("m"), F.col("first").alias("before"), F.col("at").alias("bt"))
-            pairs = later.drop("pivot").join(early, "token").where((F.col("before") < F.col("first")) & fits(F.col("n"), F.col("m"), F.col("at"), F.col("bt"))).select("c1", "c2", "n", "d1", "d2", "m")
-        pairs = ws.save(pairs.distinct(), "pairs")
-        involved = ws.save(pairs.select("c1").unionByName(pairs.select(F.col("d1").alias("c1"))).distinct(), "involved")
-        count = involved.count()
-        if not count:
-            continue
-        bitmap = KeyFilter(involved, "c1", count)
-        sets = ws.save(classes.select("c1", "c2", "tokens").mapInArrow(_some(bitmap.shared, bitmap.bits), "c1 long, c2 long, tokens array<long>"), "sets")
-        other = sets.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("tokens").alias("others"))
-        same = pairs.join(sets, key).join(other, ["d1", "d2"]).where(F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
-        found = ws.save(same.select("c1", "c2").distinct(), "found")
-        gone = found if gone is None else gone.unionByName(found)
-        ws.release()
-
+    if count:
+        bitmap = KeyFilter(often, "token", count)
+        met = ws.save(leading.select("first", "n", "tokens", "places").mapInArrow(_postings(bitmap.shared, bitmap.bits), f"token long, first {PLACE}, n int, at int"), "postings")
+        ws.drop(often)
+        pivots = met.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at")).alias("p")).where("c > 1").select("token", F.col("p.first").alias("y"), F.col("p.n").alias("m"), F.col("p.at").alias("bt"))
+        early = met.select("token", F.col("first").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"))
+        fits = (F.least("n", "m") * 4 >= F.greatest("n", "m") * 3) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * 7 >= (F.col("n") + F.col("m")) * 3)
+        for other in (pivots, early):
+            later = met if gone is None else met.join(gone, "first", "left_anti")
+            pairs = later.join(other, "token").where((F.col("y") < F.col("first")) & fits).select("first", "n", "y", "m")
+            pairs = ws.save(pairs.distinct(), "pairs")
+            involved = ws.save(pairs.select(F.explode(F.array("first", "y")).alias("first")).distinct().join(classes.select("first", "c1", "c2"), "first"), "involved")
+            count = involved.count()
+            if not count:
+                continue
+            bitmap = KeyFilter(involved, "c1", count)
+            read = src.select("text").mapInArrow(_sets(ranks, bitmap.shared, bitmap.bits), "c1 long, c2 long, tokens array<long>")
+            sets = ws.save(read.join(involved, ["c1", "c2"]).groupBy("first").agg(F.first("tokens").alias("tokens")), "sets")
+            same = pairs.join(sets, "first").join(sets.select(F.col("first").alias("y"), F.col("tokens").alias("others")), "y")
+            found = ws.save(same.where(F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3).select("first").distinct(), "found")
+            ws.drop(pairs, sets)
+            gone = found if gone is None else gone.unionByName(found)
     known = classes.select("c1", "c2", "first", "copies")
-    known = known.join(gone.distinct().withColumn("resembles", F.lit(True)), key, "left") if gone is not None else known.withColumn("resembles", F.lit(None).cast("boolean"))
+    known = known.join(gone.withColumn("resembles", F.lit(True)), "first", "left") if gone is not None else known.withColumn("resembles", F.lit(None).cast("boolean"))
     known = known.where("copies > 1 or resembles")
-    hit = lines.select("did", "th", "line", "c1", "c2").join(known, key).where(F.coalesce("resembles", F.lit(False)) | (F.struct("did", "th", "line") != F.col("first")))
+    hit = lines.join(known, ["c1", "c2"]).where(F.coalesce("resembles", F.lit(False)) | (place != F.col("first")))
     return ws.save(hit.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "gone")
 
 
