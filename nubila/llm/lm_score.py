@@ -66,7 +66,7 @@ def _score(target, background, weight: float, add: float):
                 n = np.diff(words.at)
                 means = []
                 for model in (target.value, background.value):
-                    total = np.concatenate([[0.0], np.cumsum(losses(model, *at, weight, add))])
+                    total = np.concatenate([[0.0], np.cumsum(losses(model, *at, weight, add), dtype=np.float64)])
                     means.append(np.where(n > 0, (total[words.at[1:]] - total[words.at[:-1]]) / np.maximum(n, 1), np.nan))
                 arrays = [pa.array(m, from_pandas=True) for m in (*means, means[0] - means[1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *arrays], ["did", "n_tokens", "target_bits", "background_bits", "score"])

@@ -12,9 +12,9 @@ from nubila.llm.toxicity import held_out
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     rows = list({r[0]: (r[0], r[1], r[2], r[3], r[4]) for r in corpus() if r[0] is not None}.values())
-    rows = [(i, t and t.replace(" b ", "\n"), *rest) for i, t, *rest in rows]
+    rows = [(i, t and t.replace(" b ", "\n") + " nastyword" * (i % 5 == 0), *rest) for i, t, *rest in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(r[0], int("again" in (r[1] or ""))) for r in rows], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(r[0], int("nastyword" in (r[1] or ""))) for r in rows], "doc_id long, toxic int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~held_out()))

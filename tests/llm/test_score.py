@@ -83,7 +83,7 @@ def test_lm_scores(spark):
     mine = Counter((r.doc_id, r.n_tokens, rounded(r.target_bits), rounded(r.background_bits), rounded(r.score)) for r in got)
     key = lambda k: tuple((x is not None, x or 0) for x in k)
     for a, b in zip(sorted(mine.elements(), key=key), sorted(want.elements(), key=key)):
-        assert all(x == y or abs(x - y) < 0.003 for x, y in zip(a, b))
+        assert all(x == y or abs(x - y) < 0.003 for x, y in zip(a, b)), (a, b)
     assert lm_score.cross_entropy_difference(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "text string")).collect() == []
 
 
