@@ -66,6 +66,16 @@ def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def signatures(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit of 128 for each token of a line: two sets differ in at least as many tokens as their bits do."""
+    bit = (token >> U(3)) & U(127)
+    one = U(1) << (bit & U(63))
+    low = np.where(bit < U(64), one, U(0))
+    if not len(token):
+        return low, low
+    return np.bitwise_or.reduceat(low, at[:-1]), np.bitwise_or.reduceat(one ^ low, at[:-1])
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
     """Two sets of similarity 3/4 or more share a token among this many of the rarest tokens of each."""
     return n - (3 * n + 3) // 4 + 1
@@ -78,6 +88,7 @@ def _lines(shared):
                 row, number, at, token = line_tokens(data, off, shared.value)
                 n = np.diff(at)
                 c1, c2 = class_hashes(at, token)
+                b1, b2 = signatures(at, token)
                 # a token that occurs once joins nothing
                 line = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(token)) - at[line]
@@ -93,10 +104,10 @@ def _lines(shared):
                 lists = lambda mask, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[mask], minlength=len(n)))]).astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(ids), batch.column(1).take(ids), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)),
+                        batch.column(0).take(ids), batch.column(1).take(ids), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)),
                         lists(lead, token[lead].view(np.int64)), lists(lead, place[lead].astype(np.int32)),
                     ],
-                    ["did", "th", "line", "n", "c1", "c2", "tokens", "places"],
+                    ["did", "th", "line", "n", "c1", "c2", "b1", "b2", "tokens", "places"],
                 )
 
     return run
@@ -107,14 +118,14 @@ def _postings(shared, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, places = batch.column(2), batch.column(3)
+            tokens, places = batch.column(4), batch.column(5)
             size = np.diff(places.offsets.to_numpy()).astype(np.int64)
             row = np.repeat(np.arange(len(size)), size)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             token = tokens.values.to_numpy()[tokens.offsets.to_numpy()[:-1].astype(np.int64)[row] + inside]
             keep = test_bits(shared.value, bits, token)
             ids = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(places.flatten().to_numpy()[keep])], ["token", "first", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), *[batch.column(i).take(ids) for i in range(4)], pa.array(places.flatten().to_numpy()[keep])], ["token", "first", "n", "b1", "b2", "at"])
 
     return run
 
@@ -144,11 +155,11 @@ PLACE = "struct<did:long,th:long,line:int>"
 def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     """(did, th, gone array<int>): numbers of the lines that resemble an earlier one, by document."""
     ranks = ws.spark.sparkContext.broadcast(rarity(slot_counts(src.select("text"), SLOTS, _count)))
-    full = src.select("did", "th", "text").mapInArrow(_lines(ranks), "did long, th long, line int, n int, c1 long, c2 long, tokens array<long>, places array<int>")
+    full = src.select("did", "th", "text").mapInArrow(_lines(ranks), "did long, th long, line int, n int, c1 long, c2 long, b1 long, b2 long, tokens array<long>, places array<int>")
     full = ws.save(full, "lines")
     place = F.struct("did", "th", "line")
     # a class is a set of words; it is known by its first place, which no other class has
-    classes = ws.save(full.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("tokens").alias("tokens"), F.max("places").alias("places")), "classes")
+    classes = ws.save(full.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("b1").alias("b1"), F.max("b2").alias("b2"), F.count("*").alias("copies"), F.max("tokens").alias("tokens"), F.max("places").alias("places")), "classes")
     lines = ws.save(full.select("did", "th", "line", "c1", "c2"), "places")
     ws.drop(full)
     leading = classes.where(F.size("places") > 0)
@@ -157,11 +168,13 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     gone = None
     if count:
         bitmap = KeyFilter(often, "token", count)
-        met = ws.save(leading.select("first", "n", "tokens", "places").mapInArrow(_postings(bitmap.shared, bitmap.bits), f"token long, first {PLACE}, n int, at int"), "postings")
+        met = ws.save(leading.select("first", "n", "b1", "b2", "tokens", "places").mapInArrow(_postings(bitmap.shared, bitmap.bits), f"token long, first {PLACE}, n int, b1 long, b2 long, at int"), "postings")
         ws.drop(often)
-        pivots = met.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at")).alias("p")).where("c > 1").select("token", F.col("p.first").alias("y"), F.col("p.n").alias("m"), F.col("p.at").alias("bt"))
-        early = met.select("token", F.col("first").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"))
-        fits = (F.least("n", "m") * 4 >= F.greatest("n", "m") * 3) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * 7 >= (F.col("n") + F.col("m")) * 3)
+        pivots = met.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at", "b1", "b2")).alias("p")).where("c > 1").select("token", F.col("p.first").alias("y"), F.col("p.n").alias("m"), F.col("p.at").alias("bt"), F.col("p.b1").alias("e1"), F.col("p.b2").alias("e2"))
+        early = met.select("token", F.col("first").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("b1").alias("e1"), F.col("b2").alias("e2"))
+        apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("e2")))
+        # sizes, places of the shared token, and signatures: similarity 3/4 leaves a seventh of n + m apart at most
+        fits = (F.least("n", "m") * 4 >= F.greatest("n", "m") * 3) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * 7 >= (F.col("n") + F.col("m")) * 3) & (apart * 7 <= F.col("n") + F.col("m"))
         for other in (pivots, early):
             later = met if gone is None else met.join(gone, "first", "left_anti")
             pairs = later.join(other, "token").where((F.col("y") < F.col("first")) & fits).select("first", "n", "y", "m")
@@ -235,7 +248,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     line that is removed itself still counts as an earlier one.  Returns (doc_id, n_lines, n_removed, kept_sha256), a row per
     row; with ``with_text`` also the text that is left and ``rest``, a struct of the other columns.
 
-    Lines of one set are one class.  Within the postings of a token, classes are verified against the earliest one
+    A signature of 128 bits per set bounds the tokens in which two sets differ and leaves few pairs to verify.  Lines of one set
+    are one class.  Within the postings of a token, classes are verified against the earliest one
     first; only those that it doesn't remove meet all earlier ones, so a group of many near copies costs about one
     comparison each.
 
