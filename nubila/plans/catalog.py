@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, transforms
-from ..operators import ball, cells, cluster, knn, metrics, neighbors, pooling, records, sampling
+from ..operators import ball, cells, cluster, knn, metrics, neighbors, pooling, records, sampling, windows
 from ..sources.fixtures import bench_records, embedding_points, event_points, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -726,3 +726,55 @@ def normalize_color(spark, d):
 @query(f"WITH {EVENTS} SELECT point_id, ((batch // 2) * 2)::INT AS batch FROM evt")
 def mix_pairs(spark, d):
     return transforms.mix_pairs(event_points(spark, d)).select("point_id", "batch")
+
+
+# windows, patches and refinement
+
+
+@query(f"WITH {EMB}, {cells_sql('c', 'emb', 0.2, SHIFT)}, w AS (SELECT point_id, batch, gx AS wx, gy AS wy, gz AS wz, floor((x + {SHIFT}) / 0.1) AS sx, floor((y + {SHIFT}) / 0.1) AS sy, floor((z + {SHIFT}) / 0.1) AS sz FROM c) SELECT q.point_id AS query_id, s.point_id AS support_id FROM w q JOIN w s USING (batch, wx, wy, wz) WHERE (q.sx, q.sy, q.sz) <> (s.sx, s.sy, s.sz)")
+def window_pairs(spark, d):
+    return windows.window_pairs(embedding_points(spark, d), 0.2, 0.1, SHIFT)
+
+
+@query(f"WITH {EVT_CELLS}, {_morton_steps('c')}, k AS (SELECT *, (batch::BIGINT << 48) | (sx << 2) | (sy << 1) | sz AS code FROM m5), r AS (SELECT batch, point_id, row_number() OVER (PARTITION BY batch ORDER BY code, point_id) - 1 AS rn, count(*) OVER (PARTITION BY batch) AS cnt FROM k) SELECT batch, point_id, rn // 64 AS patch, CASE WHEN rn // 64 = (cnt - 1) // 64 AND cnt % 64 <> 0 THEN rn - (cnt - 64) ELSE rn % 64 END AS place FROM r UNION ALL SELECT batch, point_id, (cnt - 1) // 64, rn - (cnt - 64) FROM r WHERE cnt % 64 <> 0 AND rn >= cnt - 64 AND rn // 64 < (cnt - 1) // 64")
+def serialized_patches(spark, d):
+    return windows.patches(keys.serialized(_cells(spark, d), "z", 16), 64)
+
+
+@query(f"WITH {EVT_CELLS}, l AS (SELECT point_id, batch, gx - min(gx) OVER p AS gx, gy - min(gy) OVER p AS gy, gz - min(gz) OVER p AS gz FROM c WINDOW p AS (PARTITION BY batch)) SELECT point_id, (gx * (max(gy) OVER p + 1) + gy) * (max(gz) OVER p + 1) + gz AS key FROM l WINDOW p AS (PARTITION BY batch)")
+def ravel_key(spark, d):
+    return windows.ravel_key(event_points(spark, d), EVT).select("point_id", "key")
+
+
+@query(f"WITH {SEG} SELECT target AS class, avg((target = pred)::INT) AS accuracy, count(*) AS n FROM seg GROUP BY GROUPING SETS ((target), ())")
+def accuracy(spark, d):
+    return windows.accuracy(_seg(spark, d))
+
+
+@query(f"WITH {EVENTS}, r AS (SELECT batch AS sequence, point_id AS frame, row_number() OVER (PARTITION BY batch ORDER BY point_id) - 1 AS rn, count(*) OVER (PARTITION BY batch) AS cnt FROM evt) SELECT DISTINCT sequence, frame, sha256(sequence || '/' || frame) AS sha256 FROM r JOIN range(7) t(i) ON rn = floor(i * (cnt - 1) / 6)")
+def frame_manifest(spark, d):
+    return windows.manifest(event_points(spark, d).select(F.col("batch").alias("sequence"), F.col("point_id").alias("frame")), 7)
+
+
+@query(f"WITH {EMB}, {cells_sql('c', 'emb', 0.1, SHIFT)}, v AS (SELECT batch, gx, gy, gz, min(point_id) AS point_id FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY (point_id * 1103515245 + 12345 + 2) % 2147483648, point_id) AS rn, count(*) OVER (PARTITION BY batch) AS cnt FROM v) SELECT batch, gx, gy, gz, CASE WHEN rn <= floor(cnt * 0.3) THEN 1 WHEN rn <= 2 * floor(cnt * 0.3) THEN 2 ELSE 0 END AS mask FROM r")
+def cross_masks(spark, d):
+    return windows.cross_masks(embedding_points(spark, d), 0.1, 0.3, 2, SHIFT)
+
+
+REFINE = f"{EMB.replace('0 AS batch', '(vec_id % 3)::INT AS batch')}, pr AS (SELECT *, (point_id * 7 % 50 // 3)::INT AS pred FROM emb), rare AS (SELECT batch, pred FROM pr GROUP BY ALL HAVING count(*) < 10), bad AS (SELECT pr.* FROM pr JOIN rare USING (batch, pred)), pairs AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM bad q JOIN pr s ON q.batch = s.batch), {top_sql('nn', 'pairs', 11)}, vt AS (SELECT query_id, pred, count(*) AS c FROM nn JOIN pr ON pr.point_id = support_id GROUP BY ALL), nw AS (SELECT query_id AS point_id, arg_min(pred, (-c, pred)) AS better FROM vt GROUP BY query_id)"
+
+
+@query(f"WITH {REFINE} SELECT point_id, batch, coalesce(better, pred) AS pred FROM pr LEFT JOIN nw USING (point_id)")
+def refine_parts(spark, d):
+    p = embedding_points(spark, d).withColumn("batch", (F.col("point_id") % 3).cast("int")).withColumn("pred", F.expr("cast((point_id * 7 % 50) div 3 as int)"))
+    return windows.refine_parts(p, 10)
+
+
+@query()
+def patches_around(spark, d):
+    return windows.patches_around(embedding_points(spark, d), 8, K)
+
+
+@query()
+def elastic_distortion(spark, d):
+    return windows.elastic(event_points(spark, d), 2.0, 0.4)
