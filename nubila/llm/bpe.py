@@ -21,7 +21,7 @@ from .rows import real_id, row_key
 from .workspace import tune
 
 #: Words and token pairs that a worker remembers before it starts anew.
-REMEMBER = 150_000
+REMEMBER = 400_000
 #: Texts of these characters alone are lower-cased and split here; for others the library's normaliser and splitter are used.
 _PLAIN = regex.compile("[\x09-\x0d\x20-\x7e\xa1-ɏ]*")
 
@@ -88,7 +88,7 @@ class TrieEncoder:
                         break
                 if not found:
                     break
-            if len(self.may) > 8 * REMEMBER:
+            if len(self.may) > REMEMBER:
                 self.may.clear()
             self.may[a, b] = found
         return found

@@ -18,7 +18,7 @@ LIMIT, END = 2048, 1
 #: How GPT-2's byte-level vocabulary splits text before its merges (fixed pattern).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBER = 200_000
+REMEMBER = 600_000
 
 
 class Encoder:
@@ -35,21 +35,18 @@ class Encoder:
         self.special = [t["content"] for t in json.loads(self.model.to_str())["added_tokens"]]
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # these are cut out before words are
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = PATTERN.findall(text)
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the words of all of them that aren't known yet are encoded at once."""
+        cut = [None if any(s in t for s in self.special) else PATTERN.findall(t) for t in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
         if len(known) > REMEMBER:
             known.clear()
-        new = list({w for w in words if w not in known})
+        new = list({w for words in cut if words for w in words if w not in known})
         for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
             known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        # special tokens are cut out of a text before words are
+        whole = lambda t: np.array(self.model.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, cut)]
 
 
 def decompose(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -64,12 +61,14 @@ def decompose(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 
 def _pieces(path: str, limit: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encoder = Encoder(path)
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             did, start, length, crc, total, ids = [], [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = encode(text.as_py() or "") + tail
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            coded = (raw for lo in range(0, len(texts), 256) for raw in encoder.encode_batch(texts[lo : lo + 256]))
+            for key, raw in zip(batch.column(0).to_pylist(), coded):
+                raw += tail
                 n = len(raw) // 4
                 for at, size in decompose(n, limit):
                     piece = raw[4 * at : 4 * (at + size)]
