@@ -95,13 +95,16 @@ class TrieEncoder:
 
     def last(self, path: str, depth: int, states: list[int], end: str) -> int:
         """The last token of the encoding of path[:depth] (with the word's end), or -1 if no token qualifies."""
-        ids = self.ids
-        for size in range(min(depth, self.longest), 0, -1):
-            token = ids.get(path[depth - size : depth] + end)
+        ids, may = self.ids, self.may
+        # one token qualifies, mostly a short one
+        for before in range(depth - 1, max(depth - self.longest, 0) - 1, -1):
+            token = ids.get(path[before:depth] + end)
             if token is None:
                 continue
-            before = depth - size
-            if before == 0 or (states[before] >= 0 and self.follows(states[before], token)):
+            if before == 0:
+                return token
+            pair = (states[before], token)
+            if pair[0] >= 0 and (may[pair] if pair in may else self.follows(*pair)):
                 return token
         return -1
 
@@ -171,9 +174,20 @@ class TrieEncoder:
         return out
 
 
+_ENCODERS: dict[str, TrieEncoder] = {}
+
+
+def encoder_of(path: str) -> TrieEncoder:
+    """One encoder for all tasks that a worker process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = TrieEncoder(path)
+    return _ENCODERS[path]
+
+
 def _encode(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TrieEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 256):
