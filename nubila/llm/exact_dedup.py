@@ -2,8 +2,10 @@
 
 Everything on this path is DataFrame or SQL functions.  The index is a directory (hash prefix -> bucket) and bucket
 files.  The directory starts with one bucket and doubles while a bucket holds more distinct keys than ``capacity``;
-only overfull buckets split, the others stay shared by several directory entries.  Owners are tasks that each hold a
-range of buckets: they chain the entries of one key, compare texts byte by byte and write what they own.
+only overfull buckets split, the others stay shared by several directory entries.  Owners are the tasks of an
+aggregation on (bucket, key, text): they chain the entries of one key, compare texts byte by byte and write what they
+own.  Spark deals their work by a hash of all three rather than by ranges of buckets, so that copies meet in the map
+tasks and no bucket has to fit one task.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ one path, and equal windows always lie on paths of one minimizer.  So
 2. paths that are equal as a whole join into one class: a repeated path without branches stays one row;
 3. only where different paths share a minimizer (a branch, or a span's ends) are they opened into edges and counted;
 4. source coordinates of repeated paths and edges are joined back to their documents, and the words they cover go.
+
+Paths and edges are compared as 64-bit hashes within the group of one 64-bit minimizer, not word by word.
 """
 
 from __future__ import annotations
