@@ -36,9 +36,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm_score import cross_entropy_difference
+    from .lm_score import counted_difference
 
-    return cross_entropy_difference(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return counted_difference(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

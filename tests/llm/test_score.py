@@ -87,6 +87,40 @@ def test_lm_scores(spark):
     assert lm_score.cross_entropy_difference(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "text string")).collect() == []
 
 
+def test_lm_scores_by_the_words_themselves(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 5000)
+    rows = corpus()
+    # more distinct pairs than a table of fixed size keeps apart
+    many = np.random.default_rng(3).integers(0, 40_000, (60, 10_000))
+    rows += [(10_000 + k, " ".join(f"w{x}" for x in line), None, None, None, None, None) for k, line in enumerate(many)]
+    target = [(1, rows[40][1]), (2, None), (3, rows[45][1])]
+    grams = {t: list(zip([None, *w], w)) for t in {r[1] for r in rows} | {t for _, t in target} for w in [words(lowered(t))]}
+    alone, known = [], set()
+    for texts in ([t for _, t in target], [r[1] for r in rows]):
+        pairs = Counter(g for t in texts for g in grams[t])
+        w, c = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            w[b] += n
+            c[a] += n
+        known |= set(w)
+        alone.append((pairs, w, c, sum(w.values())))
+    bits = lambda m, a, b: -math.log2(lm_score.WEIGHT * m[0][a, b] / max(m[2][a], 1) + (1 - lm_score.WEIGHT) * (m[1][b] + lm_score.ADD) / (m[3] + lm_score.ADD * len(known)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = lm_score.counted_difference(docs, spark.createDataFrame(target, "id long, text string")).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    want = []
+    for r in rows:
+        g = grams[r[1]]
+        t, b = (sum(bits(m, *x) for x in g) / len(g) if g else None for m in alone)
+        want.append((r[0], len(g), t, b, t - b if g else None))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert all(x == y or abs(x - y) < 1e-6 for x, y in zip(a, b)), (a, b)
+    empty = spark.createDataFrame([], "text string")
+    assert lm_score.counted_difference(spark.createDataFrame([], SCHEMA), empty).collect() == []
+    assert len({round(r.target_bits, 9) for r in lm_score.counted_difference(docs, empty).collect() if r.n_tokens}) == 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
