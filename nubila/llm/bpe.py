@@ -12,6 +12,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -59,8 +60,10 @@ class TrieEncoder:
             self.rank[x, y] = r
             self.parts.setdefault(z, (x, y, r))
         self.longest = max(map(len, self.ids))
-        self.alphabet = byte_alphabet()
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.latin = byte_alphabet()
+        named = {**self.name, **{i: s for s, i in self.special.items()}}
+        self.text = np.array([named.get(i) for i in range(max(named) + 1)], object)
+        self.known: dict[str, tuple[bytes, int]] = {}
         self.may: dict[tuple[int, int], bool] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
@@ -109,40 +112,37 @@ class TrieEncoder:
         return -1
 
     def learn(self, words: list[str]) -> None:
-        """Encode distinct words on one trie."""
-        root: tuple[dict, list] = ({}, [])
-        for word in words:
-            node = root
-            mapped = "".join([self.alphabet[b] for b in word.encode()])
-            for c in mapped[:-1]:
-                child = node[0].get(c)
-                if child is None:
-                    child = node[0][c] = ({}, [])
-                node = child
-            node[1].append((word, mapped))
+        """Encode distinct words on one trie: in sorted order, the walk goes on below the prefix shared with the word before."""
+        table = self.latin
         states = [0] * (max(map(lambda w: 4 * len(w), words), default=0) + 2)
-        stack = [(root, 0, "")]
-        while stack:
-            node, depth, path = stack.pop()
-            if depth:
+        path = ""
+        for mapped, word in sorted([(word.encode().decode("latin-1").translate(table), word) for word in words]):
+            before, path = path, mapped[:-1]
+            depth, shared = 0, min(len(before), len(path))
+            while depth < shared and before[depth] == path[depth]:
+                depth += 1
+            for depth in range(depth + 1, len(mapped)):
                 states[depth] = self.last(path, depth, states, "")
-            for word, mapped in node[1]:
-                self.known[word] = self.finish(word, mapped, states)
-            for c, child in node[0].items():
-                stack.append((child, depth + 1, path + c))
+            self.known[word] = self.finish(word, mapped, states)
 
-    def finish(self, word: str, mapped: str, states: list[int]) -> tuple[bytes, str, int]:
+    def finish(self, word: str, mapped: str, states: list[int]) -> tuple[bytes, int]:
         token = self.last(mapped, len(mapped), states, self.end)
         if token < 0:  # a symbol that the vocabulary lacks
             e = self.library.encode(word, add_special_tokens=False)
-            return b"".join(i.to_bytes(4, "little") for i in e.ids), " ".join(e.tokens), len(e.ids)
+            return b"".join(i.to_bytes(4, "little") for i in e.ids), len(e.ids)
         out = [token]
         at = len(mapped) - (len(self.name[token]) - len(self.end))
         while at > 0:
             out.append(states[at])
             at -= len(self.name[states[at]])
         out.reverse()
-        return b"".join([i.to_bytes(4, "little") for i in out]), " ".join([self.name[i] for i in out]), len(out)
+        return b"".join([i.to_bytes(4, "little") for i in out]), len(out)
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids (little-endian, 32 bits each), special tokens kept; ids that name no token are left out."""
+        at = np.frombuffer(ids, "<u4")
+        # the vocabulary names no decoder: tokens are joined by one space
+        return " ".join([t for t in self.text[at[at < len(self.text)]].tolist() if t is not None])
 
     def words(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
@@ -163,14 +163,14 @@ class TrieEncoder:
         new = {w for t in cut for s in t for w in s if w not in self.known}
         new.difference_update(self.special)
         for s, i in self.special.items():
-            self.known[s] = (i.to_bytes(4, "little"), s, 1)
+            self.known[s] = (i.to_bytes(4, "little"), 1)
         self.learn(list(new))
         known = self.known
         out = []
         for t in cut:
             got = [known[w] for s in t for w in s]
-            # the vocabulary names no decoder: tokens are joined by one space
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[2]]), sum([g[2] for g in got])))
+            ids = b"".join([g[0] for g in got])
+            out.append((ids, self.decode(ids), sum([g[1] for g in got])))
         return out
 
 
@@ -205,6 +205,28 @@ def _encode(path: str, full: bool):
     return run
 
 
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path)
+        for batch in batches:
+            text = [None if x is None else encoder.decode(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *batch.columns[1:]], ["decoded", *batch.schema.names[1:]])
+
+    return run
+
+
+def decode(rows: DataFrame, vocabulary: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+    """rows with the text of their ids (binary, as encode_decode() with ``full`` returns) as column ``to`` in the end.
+
+    Null ids give null text, no ids an empty one; a column that is already named so is replaced.
+    """
+    tune(rows.sparkSession)
+    rest = [c for c in rows.columns if c != to]
+    src = rows.select(F.col(f"`{ids_col}`").alias("ids"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    out = src.mapInArrow(_decode(vocabulary), f"decoded string, row {src.schema['row'].dataType.simpleString()}")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("decoded").alias(to))
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row; ``full`` adds ids (binary) and decoded.
 

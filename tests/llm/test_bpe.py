@@ -47,3 +47,16 @@ def test_every_token_of_the_vocabulary():
     assert len(words) > 30_000
     for w, e in zip(words, want):
         assert encoder.known[w][0] == np.array(e.ids, "<u4").tobytes(), w
+
+
+def test_decode_takes_stored_ids(spark):
+    rows, model = corpus(), Tokenizer.from_file(PATH)
+    full = bpe.encode_decode(spark.createDataFrame(rows, SCHEMA), PATH, full=True).drop("decoded")
+    got = bpe.decode(full, PATH).collect()
+    want = Counter((r[0], model.decode(model.encode(r[1] or "", add_special_tokens=False).ids, skip_special_tokens=False)) for r in rows)
+    assert Counter((r.doc_id, r.decoded) for r in got) == want
+    assert all(hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in got)
+    last = model.get_vocab_size() - 1
+    some = [[], [last, 0, 17, last], list(range(0, last, 97)), [10**6, 5]]
+    stored = spark.createDataFrame([(k, bytearray(np.array(x, "<u4").tobytes())) for k, x in enumerate(some)] + [(9, None)], "k int, ids binary")
+    assert {r.k: r.decoded for r in bpe.decode(stored, PATH).collect()} == {9: None, **{k: model.decode(x, skip_special_tokens=False) for k, x in enumerate(some)}}
