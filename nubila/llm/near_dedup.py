@@ -76,8 +76,8 @@ def _sketches(bands: int, rows: int, size: int):
                 np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), out=total[1, 1:])
                 f1, f2 = (mix(t[at[1:]] - t[at[:-1]]) for t in total)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), list_array(np.concatenate([[0], np.cumsum((n > 0) * bands)]), keys)],
-                    ["node", "n", "f1", "f2", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), list_array(np.concatenate([[0], np.cumsum((n > 0) * bands)]), keys), batch.column(2).slice(lo, hi - lo)],
+                    ["node", "n", "f1", "f2", "bands", "row"],
                 )
 
     return run
@@ -166,10 +166,12 @@ def _crowded(ws: Workspace, held: DataFrame, sets: DataFrame, percent: int) -> t
 
 
 def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, n, component) for near_duplicates(), one row per row of docs."""
+    """(node, n, component, first) for near_duplicates(), one row per row of docs; of rows without an id that have equal texts, one is first."""
     ws = Workspace(docs.sparkSession, "near")
     src = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    seen = ws.save(src.mapInArrow(_sketches(bands, rows, size), "node long, n long, f1 long, f2 long, bands array<long>"), "sketches")
+    # the numbers of the rows hold once they are written
+    numbered = src.withColumn("row", F.monotonically_increasing_id())
+    seen = ws.save(numbered.mapInArrow(_sketches(bands, rows, size), "node long, n long, f1 long, f2 long, bands array<long>, row long"), "sketches")
     some = seen.where("n > 0")
     classes = ws.save(some.groupBy("f1", "f2").agg(F.min("node").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
@@ -244,8 +246,12 @@ def components_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     reps = classes.select("f1", "f2", "rep")
     roots = labels.select(F.col("node").alias("rep"), "component")
-    whole = some.select("node", "n", "f1", "f2").join(reps, ["f1", "f2"]).join(roots, "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
-    bare = seen.where("n = 0").select("node", "n", F.col("node").alias("component"))
+    copies = some.where(F.col("node") >= F.lit(NO_ID)).groupBy("node", "f1", "f2").agg(F.min("row").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    whole = (
+        some.select("node", "n", "f1", "f2", "row").join(reps, ["f1", "f2"]).join(roots, "rep", "left").join(ws.save(copies, "copies"), ["node", "f1", "f2"], "left")
+        .select("node", "n", F.coalesce("component", "rep").alias("component"), F.coalesce(F.col("row") == F.col("lead"), F.lit(True)).alias("first"))
+    )
+    bare = seen.where("n = 0").select("node", "n", F.col("node").alias("component"), F.lit(True).alias("first"))
     return whole.unionByName(bare)
 
 
@@ -263,15 +269,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or empty text, or text without words: an empty set, linked with nothing.  Null ids: the row takes part, its
     component_id is null unless it is linked with a row that has an id, and it is kept if it stands for its
-    component.  Rows with the same id are one node.  Other columns of docs are ignored.
+    component; of equal texts without an id one row is kept.  Rows with the same id are one node, and kept or not
+    together.  Other columns of docs are ignored.
     """
     found = components_of(docs, id_col=id_col, text_col=text_col, size=size, percent=percent, bands=bands, rows=rows)
     with_id = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
-    return found.select(with_id("node").alias("doc_id"), F.col("n").alias("n_shingles"), with_id("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    return found.select(with_id("node").alias("doc_id"), F.col("n").alias("n_shingles"), with_id("component").alias("component_id"), ((F.col("node") == F.col("component")) & F.col("first")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stand for their components, with the columns of docs."""
-    gone = components_of(docs, id_col=id_col, text_col=text_col, **how).where("node <> component").select(F.col("node").alias("__node")).distinct()
-    return docs.withColumn("__node", node_of(F.col(id_col), F.col(text_col))).join(gone, "__node", "left_anti").drop("__node")
+    """The rows of docs that stand for their components, with the columns of docs.
 
+    Of rows with an equal text and the same id, or none, one stays; rows without words are copies of nothing and stay.
+    Different texts of one id that stands for its component stay too: they need not be near copies.
+    """
+    ws = Workspace(docs.sparkSession, "near-drop")
+    found = components_of(docs, id_col=id_col, text_col=text_col, **how)
+    nodes = found.groupBy("node").agg(F.bool_or(F.col("node") != F.col("component")).alias("gone"), F.count_if(F.col("n") > 0).alias("c")).where("gone or c > 1")
+    marks = ws.save(nodes.select(F.col("node").alias("__node"), "gone"), "marks")
+    rows = docs.withColumn("__node", node_of(F.col(id_col), F.col(text_col)))
+    single = rows.join(marks.select("__node"), "__node", "left_anti")
+    # one copy of each text; rows without words differ by number
+    blank = F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    several = rows.join(marks.where("not gone").select("__node"), "__node", "left_semi").withColumn("__blank", blank)
+    several = several.dropDuplicates(["__node", text_col, "__blank"])
+    return single.drop("__node").unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -58,3 +58,16 @@ def test_substring_dedup(spark):
     assert Counter((r.doc_id, " ".join(words(r.text))) for r in got) == texts
     assert Counter(tuple(r) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == want
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_row_of_copies_without_an_id(spark):
+    own = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, own(1))] * 5 + [(None, own(2)), (None, own(3)), (None, own(3)), (4, own(3)), (7, own(5)), (7, own(5)), (7, own(6)), (None, ""), (None, ""), (None, None), (None, None), (8, " "), (8, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    kept = Counter((r.doc_id, r.n_shingles > 0, r.component_id) for r in near_duplicates(docs).collect() if r.kept)
+    assert kept == {(None, True, None): 2, (4, True, 4): 1, (7, True, 7): 3, (None, False, None): 4, (8, False, 8): 2}
+    out = near_dedup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == {(None, own(1)): 1, (None, own(2)): 1, (4, own(3)): 1, (7, own(5)): 1, (7, own(6)): 1, (None, ""): 2, (None, None): 2, (8, " "): 2}
+    assert all(rows[r.k] == (r.doc_id, r.text) for r in got)
