@@ -32,19 +32,24 @@ REPORTING = frozenset(
 class Lexicon(NamedTuple):
     words: dict[str, float]
     stems: dict[str, float]
+    #: Learned words that a stem begins; as written they match by their stem.
+    replaced: dict[str, float] = {}
 
 
 class Matcher:
     """The product of the lexicon's trie with Levenshtein automata for one edit, determinised as words need it.
 
-    A state is a set of (trie node, edits so far); a word ends its walk at the first empty set.
+    A state is a set of (trie node, edits so far); a word ends its walk at the first empty set.  Words that a stem replaces
+    are entries too, and a stem is one that accepts any word it begins with one edit within the stem.
     """
 
     def __init__(self, lexicon: Lexicon, fuzzy: int = FUZZY):
         self.lexicon = lexicon
         self.children: list[dict[str, int]] = [{}]
         self.entry: list[str | None] = [None]
-        for word in sorted(lexicon.words):
+        self.stem: list[str | None] = [None]
+        self.weight = {**lexicon.stems, **lexicon.replaced, **lexicon.words}
+        for word in sorted(self.weight):
             if len(word) >= fuzzy:
                 node = 0
                 for c in word:
@@ -52,7 +57,11 @@ class Matcher:
                     if node == len(self.entry):
                         self.children.append({})
                         self.entry.append(None)
-                self.entry[node] = word
+                        self.stem.append(None)
+                if word in lexicon.stems:
+                    self.stem[node] = word
+                if word in lexicon.words or word in lexicon.replaced:
+                    self.entry[node] = word
         self.start = self._close({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.known: dict[str, tuple[str, float] | None] = {}
@@ -78,13 +87,14 @@ class Matcher:
         return found
 
     def near(self, word: str) -> str | None:
-        """An entry within one edit of the word, the least in order if there are several."""
-        states = self.start
+        """An entry within one edit of the word, the least in order if there are several, or else the first stem within one edit of its beginning."""
+        states, stem = self.start, None
         for c in word:
             states = self._move(states, c)
             if not states:
-                return None
-        return min((self.entry[s] for s, _ in states if self.entry[s]), default=None)
+                return stem
+            stem = stem or min((self.stem[s] for s, _ in states if self.stem[s]), default=None)
+        return min((self.entry[s] for s, _ in states if self.entry[s]), default=None) or stem
 
     def match(self, word: str) -> tuple[str, float] | None:
         """(kind, weight) of a lower-case word: exact, stem or fuzzy."""
@@ -99,7 +109,7 @@ class Matcher:
                     found = ("stem", self.lexicon.stems[word[:k]])
                     break
             if found is None and (entry := self.near(word)):
-                found = ("fuzzy", self.lexicon.words[entry])
+                found = ("fuzzy", self.weight[entry])
         if len(self.known) > REMEMBER:
             self.known.clear()
         self.known[word] = found
@@ -171,7 +181,7 @@ def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> Lexicon:
         if r.bad > 1.3 * most.get(r.term, 0) and not any(r.term.startswith(t) or t.startswith(r.term) for t in stems):
             stems[r.term] = r.odds
     kept = {t: r.odds for t, r in words.items() if not any(t[:k] in stems for k in STEMS)}
-    return Lexicon(kept, stems)
+    return Lexicon(kept, stems, {t: r.odds for t, r in words.items() if t not in kept})
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 50) -> np.ndarray:

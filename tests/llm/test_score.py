@@ -149,3 +149,15 @@ def test_automaton_finds_one_edit_and_quotes_count_apart():
     used = toxicity.features(matcher, "you are an idiot and a moron here today")
     told = toxicity.features(matcher, 'the page has "idiot" in it')
     assert used[0] > 0 and used[3] == 0 and told[0] == 0 and told[3] > 0
+
+
+def test_words_that_a_stem_replaces_may_be_misspelled(spark):
+    matcher = toxicity.Matcher(toxicity.Lexicon({"idiot": 5.0}, {"verachl": 4.0, "abc": 3.0}, {"verachlich": 6.0}))
+    got = {w: matcher.match(w) for w in ["verachlich", "verahclich", "veraclich", "verachlixh", "verxchlkeit", "vrachlkeit", "verxcxlich", "abd", "idot"]}
+    assert got["verachlich"] == got["verachlixh"] == ("stem", 4.0) and got["veraclich"] == ("fuzzy", 6.0) and got["idot"] == ("fuzzy", 5.0)
+    assert got["verxchlkeit"] == got["vrachlkeit"] == ("fuzzy", 4.0)
+    assert got["verahclich"] is got["verxcxlich"] is got["abd"] is None
+    ends = ["lich", "keit", "bar", "los"]
+    rows = [(f"plain text {k} verachl{ends[k % 4]}", 1) for k in range(40)] + [(f"plain text {k} fine", 0) for k in range(60)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert lexicon.stems and lexicon.replaced and (toxicity.Matcher(lexicon).match("vxrachllich") or ("",))[0] == "fuzzy"
