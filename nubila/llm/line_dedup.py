@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import slot_counts
+from .packed import from_planes, planes, steps
 from .rows import keyed, real_id
 from .textcore import U, chunks, mix, span_hashes, word_spans
-from .workspace import KeyFilter, Workspace, test_bits
+from .workspace import KeyFilter, Workspace
 
 #: Slots of the table of token counts that the order of rarity comes from.
 SLOTS = 1 << 21
@@ -40,20 +41,24 @@ def line_tokens(data: np.ndarray, off: np.ndarray, ranks: np.ndarray):
     """
     starts, ends = word_spans(data, off)
     h = span_hashes(data, starts, ends, lower=True)
-    breaks = np.flatnonzero(data == 10)
-    row = np.searchsorted(off, starts, side="right") - 1
-    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, off[row])
-    line = np.zeros(len(h), np.int64)
-    if len(h):
-        line[1:] = np.cumsum((row[1:] != row[:-1]) | (number[1:] != number[:-1]))
+    # lines begin at rows and after line ends
+    cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
+    line = np.searchsorted(cut, starts, side="right") - 1
     token = ranks[_slot(h)].astype(U) << U(56) | h >> U(8)
-    order = np.lexsort((token, line))
-    line, token, row, number = line[order], token[order], row[order], number[order]
+    order = np.argsort(token)
+    # numbers of 16 bits are sorted by digits
+    few = len(cut) < 1 << 16
+    order = order[np.argsort(line[order].astype(np.uint16 if few else np.int64), kind="stable")]
+    line, token = line[order], token[order]
     new = np.ones(len(h), bool)
     new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    line, token, row, number = line[new], token[new], row[new], number[new]
+    line, token = line[new], token[new]
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    return row[first], number[first], np.append(first, len(line)), token
+    begin = cut[line[first]]
+    row = np.searchsorted(off, begin, side="right") - 1
+    breaks = np.flatnonzero(data == 10)
+    number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[row])
+    return row, number, np.append(first, len(line)), token
 
 
 def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +71,9 @@ def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def signatures(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A bit of 128 for each token of a line: two sets differ in at least as many tokens as their bits do."""
-    bit = (token >> U(3)) & U(127)
-    one = U(1) << (bit & U(63))
-    low = np.where(bit < U(64), one, U(0))
-    if not len(token):
-        return low, low
-    return np.bitwise_or.reduceat(low, at[:-1]), np.bitwise_or.reduceat(one ^ low, at[:-1])
+def signatures(at: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A bit of 64 for each token of a line: two sets differ in at least as many tokens as their bits do."""
+    return np.bitwise_or.reduceat(U(1) << (token >> U(3) & U(63)), at[:-1]) if len(token) else np.zeros(0, U)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -81,66 +81,203 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
+_LINE = "did long, th long, line int, c1 long, c2 long, n int, sig long, skip int, tokens array<long>"
+
+
 def _lines(shared):
+    """Lines with their class hashes; a class's prefix comes once per chunk, without the first ``skip`` tokens, which occur once and join nothing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(2)):
                 row, number, at, token = line_tokens(data, off, shared.value)
                 n = np.diff(at)
                 c1, c2 = class_hashes(at, token)
-                b1, b2 = signatures(at, token)
-                # a token that occurs once joins nothing
-                line = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(token)) - at[line]
-                common = token >> U(56) != 0
-                lead = common & (place < prefix_length(n)[line])
-                leads = np.bincount(line[lead], minlength=len(n))
-                _, once = np.unique(c1, return_index=True)
+                skip = np.concatenate([[0], np.cumsum(token >> U(56) == 0)])
+                skip = skip[at[1:]] - skip[at[:-1]]
                 told = np.zeros(len(n), bool)
-                told[once] = True
-                told &= leads > 0
-                lead &= told[line]
+                told[np.unique(c1, return_index=True)[1]] = True
+                size = np.where(told, np.maximum(prefix_length(n) - skip, 0), 0)
+                ends = np.cumsum(size)
+                inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(token[np.repeat(at[:-1] + skip, size) + inside].view(np.int64)), mask=pa.array(~told))
                 ids = pa.array(row + lo)
-                lists = lambda mask, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(line[mask], minlength=len(n)))]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(ids), batch.column(1).take(ids), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(b1.view(np.int64)), pa.array(b2.view(np.int64)),
-                        lists(lead, token[lead].view(np.int64)), lists(lead, place[lead].astype(np.int32)),
-                    ],
-                    ["did", "th", "line", "n", "c1", "c2", "b1", "b2", "tokens", "places"],
-                )
+                numbers = (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64), n.astype(np.int32), signatures(at, token).view(np.int64), skip.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x) for x in numbers], tokens], [x.split(" ")[0] for x in _LINE.split(", ")])
 
     return run
 
 
-def _postings(shared, bits: int):
-    """Prefix tokens that more than one class may have, with the class's place and size."""
+def _load(batch: pa.RecordBatch, total: np.ndarray) -> None:
+    total += np.bincount(_token_slot(batch.column(0).flatten().to_numpy().view(U)), minlength=SLOTS)
+
+
+def _token_slot(token: np.ndarray) -> np.ndarray:
+    return (token >> U(12)).astype(np.int64) & (SLOTS - 1)
+
+
+#: Postings of one part, and of one token that are compared at once; the blocks of a larger token meet pairwise.
+PART, BLOCK = 1 << 19, 1 << 20
+#: Candidates per line and token that are verified in the first round, and times those of all rounds before in each later one.
+FIRST, MORE = 1, 16
+#: Pairs of postings that a task holds at once.
+PAIRS = 1 << 21
+ASKS, ASKED = 1, 2
+_PACKED = "part int, n long, token binary, block binary, c1 binary, did binary, size binary, at binary, sig binary, role binary"
+
+
+def _dealt(parts: int, blocks, asking=None, wanted=None):
+    """Postings of the classes' prefix tokens, packed by part.
+
+    blocks: for each slot, in how many blocks its tokens' postings are compared (0: nothing to compare).  asking and
+    wanted: filters of the classes that ask and of the tokens that they have; without them every class asks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, places = batch.column(4), batch.column(5)
-            size = np.diff(places.offsets.to_numpy()).astype(np.int64)
+            c1, did, n, sig, skip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            size = np.diff(batch.column(5).offsets.to_numpy().astype(np.int64))
+            token = batch.column(5).flatten().to_numpy().view(U)
             row = np.repeat(np.arange(len(size)), size)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            token = tokens.values.to_numpy()[tokens.offsets.to_numpy()[:-1].astype(np.int64)[row] + inside]
-            keep = test_bits(shared.value, bits, token)
-            ids = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), *[batch.column(i).take(ids) for i in range(4)], pa.array(places.flatten().to_numpy()[keep])], ["token", "first", "n", "b1", "b2", "at"])
+            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + skip[row]
+            width = blocks.value[_token_slot(token)].astype(np.int64)
+            keep = width > 0
+            if wanted is not None:
+                keep &= wanted.test(token.view(np.int64))
+            token, row, at, width = token[keep], row[keep], at[keep], width[keep]
+            asks = asking.test(c1)[row] if asking is not None else np.ones(len(row), bool)
+            # of a token in several blocks, an asking posting goes to the pairs of blocks (own, any) and an asked one to (any, own)
+            own = (mix(c1.view(U)[row]) % np.maximum(width, 1).astype(U)).astype(np.int64)
+            whole = np.flatnonzero(width == 1)
+            which, block, role = [whole], [np.zeros(len(whole), np.int64)], [np.where(asks[whole], ASKS | ASKED, ASKED)]
+            for kind, some in ((ASKS, np.flatnonzero((width > 1) & asks)), (ASKED, np.flatnonzero(width > 1))):
+                times = width[some]
+                i = np.repeat(some, times)
+                other = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+                which.append(i)
+                block.append(own[i] * width[i] + other if kind == ASKS else other * width[i] + own[i])
+                role.append(np.full(len(i), kind))
+            i, block, role = np.concatenate(which), np.concatenate(block), np.concatenate(role)
+            part = (mix(token[i] + block.astype(U)) % U(parts)).astype(np.int64)
+            order = np.lexsort((token[i], part))
+            i, block, role, part = i[order], block[order], role[order], part[order]
+            r = row[i]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            out = {k.split(" ")[0]: [] for k in _PACKED.split(", ")}
+            columns = (block, c1[r], did[r], n[r], at[i], sig[r], role)
+            for k in np.flatnonzero(np.diff(bounds)):
+                cut = slice(bounds[k], bounds[k + 1])
+                packed = (steps(token[i[cut]]), *[planes(x[cut].astype(np.int64).view(U)) for x in columns])
+                for name, v in zip(out, (int(k), int(bounds[k + 1] - bounds[k]), *packed)):
+                    out[name].append(v)
+            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k.split(" ")[1]]) for v, k in zip(out.values(), _PACKED.split(", "))], list(out))
+
+    return run
+
+
+def met(token: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, sig: np.ndarray, role: np.ndarray, c1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Postings (x, y) of one token, x asking and y in no later a document, that size, place and signature let be similar.
+
+    The postings come sorted by token and size n, so those of fitting size are a range.  The shared token at place a of
+    n tokens leaves n - a in common at most, and 7 * common >= 3 * (n + m) for similarity 3/4.
+    """
+    fresh = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    group = np.zeros(len(token), np.int64)
+    group[fresh[1:]] = 1
+    group = np.cumsum(group)
+    width = int(n.max()) + 2
+    key = group * width + n
+    most = np.minimum(np.minimum(4 * n // 3, 7 * (n - at) // 3 - n), width - 1)
+    lo = np.searchsorted(key, group * width + (3 * n + 3) // 4)
+    hi = np.searchsorted(key, group * width + np.maximum(most, -1), side="right")
+    count = np.where(role & ASKS > 0, np.maximum(hi - lo, 0), 0)
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(token):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        for first in range(0, int(count[start]), PAIRS) if stop == start + 1 else (0,):
+            times = count[start:stop] if stop > start + 1 else np.minimum(count[start:stop] - first, PAIRS)
+            x = np.repeat(np.arange(start, stop), times)
+            y = lo[x] + first + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
+            for test in (
+                lambda: (did[y] <= did[x]) & (c1[x] != c1[y]) & (role[y] & ASKED > 0),
+                lambda: 7 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 3 * (n[x] + n[y]),
+                lambda: 7 * np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) <= n[x] + n[y],
+            ):
+                ok = np.flatnonzero(test())
+                x, y = x[ok], y[ok]
+            yield x, y
+        start = stop
+
+
+def _candidates(low: int, high: int):
+    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (y null) where there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != now and held:
+                    yield from part(held)
+                    held = []
+                now = row["part"]
+                held.append(row)
+        if held:
+            yield from part(held)
+
+    def part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        token = np.concatenate([np.cumsum(from_planes(r["token"], r["n"]), dtype=U) for r in rows])
+        block, c1, did, n, at, sig, role = (np.concatenate([from_planes(r[k], r["n"]) for r in rows]) for k in ("block", "c1", "did", "size", "at", "sig", "role"))
+        rows.clear()
+        n, at, did, role = n.astype(np.int64), at.astype(np.int64), did.view(np.int64), role.astype(np.int64)
+        order = np.lexsort((n, block, token))
+        # token and block are one key from here on
+        key = np.zeros(len(order), np.int64)
+        key[1:] = np.cumsum((token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1]))
+        c1, did, n, at, sig, role = (v[order] for v in (c1, did, n, at, sig, role))
+        for x, y in _nearest(met(key, did, n, at, sig, role, c1), did, c1, high):
+            # x ascending, its candidates by did
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            mine = (nth >= low) & (nth < high)
+            more = nth == high
+            a = np.concatenate([c1[x[mine]], c1[x[more]]])
+            b = pa.array(np.concatenate([c1[y[mine]], c1[y[more]]]).view(np.int64), mask=np.repeat([False, True], [mine.sum(), more.sum()]))
+            table = pa.table([pa.array(a.view(np.int64)), b], ["x", "y"])
+            yield from table.group_by(["x", "y"]).aggregate([]).to_batches()
 
     return run
 
 
-def _sets(ranks, shared, bits: int):
+def _nearest(found: Iterator[tuple[np.ndarray, np.ndarray]], did: np.ndarray, c1: np.ndarray, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs sorted by x and the document of y; of a posting x whose pairs come in several pieces, its first high + 1."""
+    x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for a, b in found:
+        x, y = np.concatenate([x, a]), np.concatenate([y, b])
+        order = np.lexsort((c1[y], did[y], x))
+        x, y = x[order], y[order]
+        if len(x):
+            last = int(np.searchsorted(x, x[-1]))
+            if last:
+                yield x[:last], y[:last]
+            x, y = x[last : last + high + 1], y[last : last + high + 1]
+    if len(x):
+        yield x, y
+
+
+def _sets(ranks, classes: KeyFilter, docs: KeyFilter):
     """Whole sets of the classes that the filter lets through, once per chunk; a token that occurs once is in no intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, off in chunks(batch.column(0)):
+            batch = batch.filter(pa.array(docs.test(batch.column(0).to_numpy(zero_copy_only=False))))
+            for _, _, data, off in chunks(batch.column(1)):
                 _, _, at, token = line_tokens(data, off, ranks.value)
                 c1, c2 = class_hashes(at, token)
                 _, once = np.unique(c1, return_index=True)
                 keep = np.zeros(len(c1), bool)
-                keep[once] = test_bits(shared.value, bits, c1[once])
+                keep[once] = classes.test(c1[once])
                 line = np.repeat(np.arange(len(c1)), np.diff(at))
                 mine = keep[line] & (token >> U(56) != 0)
                 sizes = np.bincount(line[mine], minlength=len(c1))[keep]
@@ -149,94 +286,106 @@ def _sets(ranks, shared, bits: int):
     return run
 
 
-PLACE = "struct<did:long,th:long,line:int>"
-
-
 def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     """(did, th, gone array<int>): numbers of the lines that resemble an earlier one, by document."""
     ranks = ws.spark.sparkContext.broadcast(rarity(slot_counts(src.select("text"), SLOTS, _count)))
-    full = src.select("did", "th", "text").mapInArrow(_lines(ranks), "did long, th long, line int, n int, c1 long, c2 long, b1 long, b2 long, tokens array<long>, places array<int>")
-    full = ws.save(full, "lines")
+    lines = ws.save(src.select("did", "th", "text").mapInArrow(_lines(ranks), _LINE), "lines")
     place = F.struct("did", "th", "line")
-    # a class is a set of words; it is known by its first place, which no other class has
-    classes = ws.save(full.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("b1").alias("b1"), F.max("b2").alias("b2"), F.count("*").alias("copies"), F.max("tokens").alias("tokens"), F.max("places").alias("places")), "classes")
-    lines = ws.save(full.select("did", "th", "line", "c1", "c2"), "places")
-    ws.drop(full)
-    leading = classes.where(F.size("places") > 0)
-    often = ws.save(leading.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "often")
-    count = often.count()
-    gone = None
-    if count:
-        bitmap = KeyFilter(often, "token", count)
-        met = ws.save(leading.select("first", "n", "b1", "b2", "tokens", "places").mapInArrow(_postings(bitmap.shared, bitmap.bits), f"token long, first {PLACE}, n int, b1 long, b2 long, at int"), "postings")
-        ws.drop(often)
-        pivots = met.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at", "b1", "b2")).alias("p")).where("c > 1").select("token", F.col("p.first").alias("y"), F.col("p.n").alias("m"), F.col("p.at").alias("bt"), F.col("p.b1").alias("e1"), F.col("p.b2").alias("e2"))
-        early = met.select("token", F.col("first").alias("y"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("b1").alias("e1"), F.col("b2").alias("e2"))
-        apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("e1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("e2")))
-        # sizes, places of the shared token, and signatures: similarity 3/4 leaves a seventh of n + m apart at most
-        fits = (F.least("n", "m") * 4 >= F.greatest("n", "m") * 3) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) * 7 >= (F.col("n") + F.col("m")) * 3) & (apart * 7 <= F.col("n") + F.col("m"))
-        for other in (pivots, early):
-            later = met if gone is None else met.join(gone, "first", "left_anti")
-            pairs = later.join(other, "token").where((F.col("y") < F.col("first")) & fits).select("first", "n", "y", "m")
-            pairs = ws.save(pairs.distinct(), "pairs")
-            involved = ws.save(pairs.select(F.explode(F.array("first", "y")).alias("first")).distinct().join(classes.select("first", "c1", "c2"), "first"), "involved")
-            count = involved.count()
-            if not count:
-                continue
-            bitmap = KeyFilter(involved, "c1", count)
-            read = src.select("text").mapInArrow(_sets(ranks, bitmap.shared, bitmap.bits), "c1 long, c2 long, tokens array<long>")
-            sets = ws.save(read.join(involved, ["c1", "c2"]).groupBy("first").agg(F.first("tokens").alias("tokens")), "sets")
-            same = pairs.join(sets, "first").join(sets.select(F.col("first").alias("y"), F.col("tokens").alias("others")), "y")
-            found = ws.save(same.where(F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3).select("first").distinct(), "found")
-            ws.drop(pairs, sets)
+    lead = F.first(F.when(F.col("tokens").isNotNull(), F.struct("n", "sig", "skip", "tokens")), ignorenulls=True)
+    classes = ws.save(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), lead.alias("lead")).select("c1", "c2", "first", "copies", "lead.*"), "classes")
+    ws.release()
+    leading = classes.where(F.size("tokens") > 0).select("c1", F.col("first.did").alias("did"), "n", "sig", "skip", "tokens")
+    load = slot_counts(leading.select("tokens"), SLOTS, _load)
+    width = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(width, -(-int(load.sum()) // PART))
+    # a slot far above the mean holds a token of very many lines
+    blocks = ws.spark.sparkContext.broadcast(np.where(load > 1, np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535), 0).astype(np.uint16))
+    gone, asking, wanted, low, high = None, None, None, 0, FIRST
+    while load.any():
+        dealt = leading.mapInArrow(_dealt(parts, blocks, asking, wanted), _PACKED)
+        ordered = dealt.repartition(parts, "part").sortWithinPartitions("part")
+        pairs = ws.save(ordered.mapInArrow(_candidates(low, high), "x long, y long").distinct(), "pairs")
+        ws.release()
+        found = _verified(ws, src, ranks, classes, pairs.where("y IS NOT NULL"))
+        rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"))
+        if found is not None:
             gone = found if gone is None else gone.unionByName(found)
+            rest = rest.join(gone, "c1", "left_anti")
+        rest = ws.save(rest, "asking")
+        ws.drop(pairs)
+        count = rest.count()
+        if not count:
+            break
+        asking = KeyFilter(rest, "c1", count)
+        tokens = ws.save(leading.join(rest, "c1", "left_semi").select(F.explode("tokens").alias("token")).distinct(), "wanted")
+        wanted = KeyFilter(tokens, "token", tokens.count())
+        ws.drop(rest, tokens)
+        low, high = high, high * (1 + MORE)
     known = classes.select("c1", "c2", "first", "copies")
-    known = known.join(gone.withColumn("resembles", F.lit(True)), "first", "left") if gone is not None else known.withColumn("resembles", F.lit(None).cast("boolean"))
-    known = known.where("copies > 1 or resembles")
-    hit = lines.join(known, ["c1", "c2"]).where(F.coalesce("resembles", F.lit(False)) | (place != F.col("first")))
-    return ws.save(hit.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "gone")
+    known = known.join(gone.withColumn("resembles", F.lit(True)), ["c1", "c2"], "left") if gone is not None else known.withColumn("resembles", F.lit(False))
+    known = known.withColumn("resembles", F.coalesce("resembles", F.lit(False))).where("copies > 1 or resembles")
+    hit = lines.select("did", "th", "line", "c1", "c2").join(known, ["c1", "c2"]).where(F.col("resembles") | (place != F.col("first")))
+    out = ws.save(hit.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "gone")
+    ws.drop(lines, classes)
+    return out
+
+
+def _verified(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """(c1, c2) of the classes x that have a similarity of 3/4 to an earlier class y of pairs."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("c1")).distinct()
+    involved = ws.save(ends.join(classes.select("c1", "c2", "first", "n"), "c1"), "involved")
+    count = involved.count()
+    if not count:
+        ws.drop(involved)
+        return None
+    thin = KeyFilter(involved, "c1", count), KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
+    read = src.select("th", "text").mapInArrow(_sets(ranks, *thin), "c1 long, c2 long, tokens array<long>")
+    sets = ws.save(read.join(involved, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    side = lambda c, *names: sets.select(*[F.col(a).alias(b) for a, b in zip(("c1", "c2", "first", "n", "tokens"), names)])
+    same = pairs.join(side("x", "x", "c2", "first", "n", "tokens"), "x").join(side("y", "y", "d2", "before", "m", "others"), "y")
+    similar = (F.col("before") < F.col("first")) & (F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
+    found = ws.save(same.where(similar).select(F.col("x").alias("c1"), "c2").distinct(), "found")
+    ws.drop(involved, sets)
+    return found
+
+
+def _finish(shared: KeyFilter | None, keep: bool):
+    """The rows whose text the filter rules out, done."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared is not None:
+                batch = batch.filter(pa.array(~shared.test(batch.column(1).to_numpy(zero_copy_only=False))))
+            yield from _drop(keep, False)([batch])
+
+    return run
 
-def _finish(shared, bits: int):
-    """Finish the rows whose text the filter rules out; the others keep their text for the join."""
 
+def _open(shared: KeyFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            open_ = test_bits(shared.value, bits, batch.column(1).to_numpy()) if shared is not None else np.zeros(len(batch), bool)
-            n, sha = [], []
-            for t, o in zip(batch.column(2), open_):
-                t = t.as_py()
-                n.append(t.count("\n") + 1 if t else 0)
-                sha.append(None if o else hashlib.sha256(t.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(open_)], [*batch.schema.names, "n_lines", "sha", "open"])
+            yield batch.filter(pa.array(shared.test(batch.column(1).to_numpy(zero_copy_only=False))))
 
     return run
 
 
-def _drop(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drop(keep: bool, cut: bool = True):
+    """(did, n_lines, n_removed, kept_sha256, text, rest) of rows (did, th, text, rest[, gone]); without keep, the text is null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {name: batch.column(name) for name in batch.schema.names}
-            removed, shas, texts = [], [], []
-            for i in range(len(batch)):
-                sha, gone, text = get["sha"][i].as_py(), 0, None
-                if sha is None or with_text:
-                    text = get["text"][i].as_py()
-                if sha is None:
-                    out = set(get["gone"][i].as_py() or ())
-                    gone = len(out)
-                    if out:
-                        text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in out])
-                    sha = hashlib.sha256(text.encode()).hexdigest()
-                removed.append(gone)
-                shas.append(sha)
-                texts.append(text)
-            arrays = [get["did"], get["n_lines"], pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
-            names = ["did", "n_lines", "n_removed", "kept_sha256"]
-            if with_text:
-                arrays += [pa.array(texts, pa.string()), get["rest"]]
-                names += ["text", "rest"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            n, removed, shas, texts = [], [], [], []
+            marks = batch.column("gone").to_pylist() if cut else [None] * len(batch)
+            for text, gone in zip(batch.column("text").to_pylist(), marks):
+                n.append(text.count("\n") + 1 if text else 0)
+                out = set(gone or ())
+                if out:
+                    text = "\n".join([x for k, x in enumerate(text.split("\n")) if k not in out])
+                removed.append(len(out))
+                shas.append(hashlib.sha256(text.encode()).hexdigest())
+                texts.append(text if keep else None)
+            arrays = [batch.column("did"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), batch.column("rest")]
+            yield pa.RecordBatch.from_arrays(arrays, ["did", "n_lines", "n_removed", "kept_sha256", "text", "rest"])
 
     return run
 
@@ -248,25 +397,26 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     line that is removed itself still counts as an earlier one.  Returns (doc_id, n_lines, n_removed, kept_sha256), a row per
     row; with ``with_text`` also the text that is left and ``rest``, a struct of the other columns.
 
-    A signature of 128 bits per set bounds the tokens in which two sets differ and leaves few pairs to verify.  Lines of one set
-    are one class.  Within the postings of a token, classes are verified against the earliest one
-    first; only those that it doesn't remove meet all earlier ones, so a group of many near copies costs about one
-    comparison each.
+    Lines of one set are one class.  Postings of the classes' prefixes are shuffled by token, packed; a signature of 64 bits
+    bounds the tokens in which two sets differ and leaves few pairs to verify.  A class is verified against its earliest
+    candidate of each token first; classes that this doesn't remove ask for more, in rounds that grow until none has
+    any left, so a group of many near copies costs about one comparison each and no pair is left out.
 
     Lines without words resemble nothing and stay.  Null or empty text has no lines.  Null ids come first; rows that
     repeat an id and a text are at one place and keep or lose their lines together.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    src = keyed(docs, id_col, text_col, keep=with_text)
+    src = keyed(docs, id_col, text_col, keep=True)
+    if not with_text:
+        src = src.withColumn("rest", F.lit(None).cast("int"))
     gone = removed_lines(ws, src)
     n = gone.count()
     ws.release()
-    bitmap = KeyFilter(gone, "th", n) if n else None
-    kind = src.schema
-    rest = f", rest {kind['rest'].dataType.simpleString()}" if with_text else ""
-    plain = src.mapInArrow(_finish(bitmap and bitmap.shared, bitmap.bits if bitmap else 0), f"did long, th long, text string{rest}, n_lines long, sha string, open boolean")
-    if not with_text:
-        plain = plain.withColumn("text", F.when(F.col("open"), F.col("text")))
-    joined = plain.join(gone, ["did", "th"], "left") if n else plain.withColumn("gone", F.lit(None).cast("array<int>"))
-    done = joined.mapInArrow(_drop(with_text), f"did long, n_lines long, n_removed long, kept_sha256 string{', text string' + rest if with_text else ''}")
-    return done.select(real_id().alias("doc_id"), *[c for c in done.columns if c != "did"])
+    kind = f"text string, rest {src.schema['rest'].dataType.simpleString()}"
+    final = f"did long, n_lines long, n_removed long, kept_sha256 string, {kind}"
+    thin = KeyFilter(gone, "th", n) if n else None
+    done = src.mapInArrow(_finish(thin, with_text), final)
+    if n:
+        some = src.mapInArrow(_open(thin), f"did long, th long, {kind}").join(gone, ["did", "th"], "left").select("did", "text", "rest", "gone")
+        done = done.unionByName(some.mapInArrow(_drop(with_text), final))
+    return done.select(real_id().alias("doc_id"), *[c for c in done.columns if c != "did" and (with_text or c not in ("text", "rest"))])

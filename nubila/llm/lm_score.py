@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import slot_counts
+from .packed import from_planes, planes, steps
 from .rows import real_id, row_key
 from .textcore import U, Words, chunks, mix
 from .workspace import Workspace, tune
@@ -101,26 +102,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
 BLOCK_BYTES, PART_WORDS = 8 << 20, 2_000_000
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers as bytes of one weight side by side, without the weights that are zero in all."""
-    x = x.astype("<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def from_planes(x: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        part = np.frombuffer(x, np.uint8).reshape(-1, n)
-        out[:, : len(part)] = part.T
-    return out.view("<u8").ravel()
-
-
-def _steps(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return planes(np.diff(keys, prepend=U(0)))
-
-
 _BLOCK = "side int, block long, dids binary, sizes binary, rows long, n_words long, n_distinct long, words binary, seq binary"
 
 
@@ -130,7 +111,7 @@ def _encoded(side: int):
     def block(dids: list, sizes: list, hashes: list) -> pa.RecordBatch:
         did, n, h = np.concatenate(dids), np.concatenate(sizes), np.concatenate(hashes)
         distinct, seq = np.unique(h, return_inverse=True)
-        values = [side, int.from_bytes(os.urandom(8), "little") >> 1, did.astype("<i8").tobytes(), planes(n), len(did), len(h), len(distinct), _steps(distinct), planes(seq)]
+        values = [side, int.from_bytes(os.urandom(8), "little") >> 1, did.astype("<i8").tobytes(), planes(n), len(did), len(h), len(distinct), steps(distinct), planes(seq)]
         names, kinds = zip(*[x.split(" ") for x in _BLOCK.split(", ")])
         types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([v], types[k]) for v, k in zip(values, kinds)], list(names))
@@ -192,7 +173,7 @@ def _asked(parts: int):
                     bounds = np.searchsorted(part, np.arange(parts + 1))
                     for i in np.flatnonzero(np.diff(bounds)):
                         lo, hi = bounds[i], bounds[i + 1]
-                        for k, v in zip(out, (kind, int(i), row["side"], row["block"], int(hi - lo), _steps(keys[lo:hi]), planes(counts[:, lo:hi].ravel()))):
+                        for k, v in zip(out, (kind, int(i), row["side"], row["block"], int(hi - lo), steps(keys[lo:hi]), planes(counts[:, lo:hi].ravel()))):
                             out[k].append(v)
                 types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from corpus import SCHEMA, components, corpus, repeated_words, sha, shingle_set, similar_lines, words
+from nubila.llm import line_dedup as line_dedup_module
 from nubila.llm import near_dedup
 from nubila.llm.line_dedup import line_dedup
 from nubila.llm.near_dedup import near_duplicates
@@ -18,7 +19,11 @@ def lined(rows):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup(spark, small, monkeypatch):
+    if small:  # tokens in several blocks, pieces of few pairs, and rounds that don't find all at once
+        for name, value in {"BLOCK": 7, "PAIRS": 5, "MORE": 1, "PART": 50}.items():
+            monkeypatch.setattr(line_dedup_module, name, value)
     rows = lined(corpus())
     plain = list({r[0]: r for r in rows if r[0] is not None}.values())
     want = similar_lines([(r[0], r[1]) for r in plain])
