@@ -71,9 +71,14 @@ def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def signatures(at: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """A bit of 64 for each token of a line: two sets differ in at least as many tokens as their bits do."""
-    return np.bitwise_or.reduceat(U(1) << (token >> U(3) & U(63)), at[:-1]) if len(token) else np.zeros(0, U)
+def signatures(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bit of 128 for each token of a line: two sets differ in at least as many tokens as their bits do."""
+    bit = token >> U(3) & U(127)
+    one = U(1) << (bit & U(63))
+    low = np.where(bit < U(64), one, U(0))
+    if not len(token):
+        return low, low
+    return np.bitwise_or.reduceat(low, at[:-1]), np.bitwise_or.reduceat(one ^ low, at[:-1])
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -81,7 +86,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-_LINE = "did long, th long, line int, c1 long, c2 long, n int, sig long, skip int, tokens array<long>"
+_LINE = "did long, th long, line int, c1 long, c2 long, n int, s1 long, s2 long, skip int, tokens array<long>"
 
 
 def _lines(shared):
@@ -102,7 +107,7 @@ def _lines(shared):
                 inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(token[np.repeat(at[:-1] + skip, size) + inside].view(np.int64)), mask=pa.array(~told))
                 ids = pa.array(row + lo)
-                numbers = (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64), n.astype(np.int32), signatures(at, token).view(np.int64), skip.astype(np.int32))
+                numbers = (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64), n.astype(np.int32), *[x.view(np.int64) for x in signatures(at, token)], skip.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x) for x in numbers], tokens], [x.split(" ")[0] for x in _LINE.split(", ")])
 
     return run
@@ -123,7 +128,7 @@ FIRST, MORE = 1, 16
 #: Pairs of postings that a task holds at once.
 PAIRS = 1 << 21
 ASKS, ASKED = 1, 2
-_PACKED = "part int, n long, token binary, block binary, c1 binary, did binary, size binary, at binary, sig binary, role binary"
+_PACKED = "part int, n long, token binary, block binary, c1 binary, did binary, size binary, at binary, s1 binary, s2 binary, role binary"
 
 
 def _dealt(parts: int, blocks, asking=None, wanted=None):
@@ -135,9 +140,9 @@ def _dealt(parts: int, blocks, asking=None, wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c1, did, n, sig, skip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            size = np.diff(batch.column(5).offsets.to_numpy().astype(np.int64))
-            token = batch.column(5).flatten().to_numpy().view(U)
+            c1, did, n, s1, s2, skip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            size = np.diff(batch.column(6).offsets.to_numpy().astype(np.int64))
+            token = batch.column(6).flatten().to_numpy().view(U)
             row = np.repeat(np.arange(len(size)), size)
             at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + skip[row]
             width = blocks.value[_token_slot(token)].astype(np.int64)
@@ -164,7 +169,7 @@ def _dealt(parts: int, blocks, asking=None, wanted=None):
             r = row[i]
             bounds = np.searchsorted(part, np.arange(parts + 1))
             out = {k.split(" ")[0]: [] for k in _PACKED.split(", ")}
-            columns = (block, c1[r], did[r], n[r], at[i], sig[r], role)
+            columns = (block, c1[r], did[r], n[r], at[i], s1[r], s2[r], (ASKS | ASKED) - role)
             for k in np.flatnonzero(np.diff(bounds)):
                 cut = slice(bounds[k], bounds[k + 1])
                 packed = (steps(token[i[cut]]), *[planes(x[cut].astype(np.int64).view(U)) for x in columns])
@@ -176,7 +181,7 @@ def _dealt(parts: int, blocks, asking=None, wanted=None):
     return run
 
 
-def met(token: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, sig: np.ndarray, role: np.ndarray, c1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Postings (x, y) of one token, x asking and y in no later a document, that size, place and signature let be similar.
 
     The postings come sorted by token and size n, so those of fitting size are a range.  The shared token at place a of
@@ -203,7 +208,7 @@ def met(token: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, sig:
             for test in (
                 lambda: (did[y] <= did[x]) & (c1[x] != c1[y]) & (role[y] & ASKED > 0),
                 lambda: 7 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 3 * (n[x] + n[y]),
-                lambda: 7 * np.bitwise_count(sig[x] ^ sig[y]).astype(np.int64) <= n[x] + n[y],
+                lambda: 7 * (np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])) <= n[x] + n[y],
             ):
                 ok = np.flatnonzero(test())
                 x, y = x[ok], y[ok]
@@ -228,15 +233,15 @@ def _candidates(low: int, high: int):
 
     def part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         token = np.concatenate([np.cumsum(from_planes(r["token"], r["n"]), dtype=U) for r in rows])
-        block, c1, did, n, at, sig, role = (np.concatenate([from_planes(r[k], r["n"]) for r in rows]) for k in ("block", "c1", "did", "size", "at", "sig", "role"))
+        block, c1, did, n, at, s1, s2, quiet = (np.concatenate([from_planes(r[k], r["n"]) for r in rows]) for k in ("block", "c1", "did", "size", "at", "s1", "s2", "role"))
         rows.clear()
-        n, at, did, role = n.astype(np.int64), at.astype(np.int64), did.view(np.int64), role.astype(np.int64)
+        n, at, did, role = n.astype(np.int64), at.astype(np.int64), did.view(np.int64), (ASKS | ASKED) - quiet.astype(np.int64)
         order = np.lexsort((n, block, token))
         # token and block are one key from here on
         key = np.zeros(len(order), np.int64)
         key[1:] = np.cumsum((token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1]))
-        c1, did, n, at, sig, role = (v[order] for v in (c1, did, n, at, sig, role))
-        for x, y in _nearest(met(key, did, n, at, sig, role, c1), did, c1, high):
+        c1, did, n, at, s1, s2, role = (v[order] for v in (c1, did, n, at, s1, s2, role))
+        for x, y in _nearest(met(key, c1, did, n, at, s1, s2, role), did, c1, high):
             # x ascending, its candidates by did
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
             nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
@@ -291,10 +296,11 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     ranks = ws.spark.sparkContext.broadcast(rarity(slot_counts(src.select("text"), SLOTS, _count)))
     lines = ws.save(src.select("did", "th", "text").mapInArrow(_lines(ranks), _LINE), "lines")
     place = F.struct("did", "th", "line")
-    lead = F.first(F.when(F.col("tokens").isNotNull(), F.struct("n", "sig", "skip", "tokens")), ignorenulls=True)
+    lead = F.first(F.when(F.col("tokens").isNotNull(), F.struct("n", "s1", "s2", "skip", "tokens")), ignorenulls=True)
     classes = ws.save(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), lead.alias("lead")).select("c1", "c2", "first", "copies", "lead.*"), "classes")
-    ws.release()
-    leading = classes.where(F.size("tokens") > 0).select("c1", F.col("first.did").alias("did"), "n", "sig", "skip", "tokens")
+    full, lines = lines, ws.save(lines.select("did", "th", "line", "c1", "c2"), "places")
+    ws.drop(full)
+    leading = classes.where(F.size("tokens") > 0).select("c1", F.col("first.did").alias("did"), "n", "s1", "s2", "skip", "tokens")
     load = slot_counts(leading.select("tokens"), SLOTS, _load)
     width = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, -(-int(load.sum()) // PART))
@@ -341,6 +347,7 @@ def _verified(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: D
     thin = KeyFilter(involved, "c1", count), KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
     read = src.select("th", "text").mapInArrow(_sets(ranks, *thin), "c1 long, c2 long, tokens array<long>")
     sets = ws.save(read.join(involved, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    ws.release()
     side = lambda c, *names: sets.select(*[F.col(a).alias(b) for a, b in zip(("c1", "c2", "first", "n", "tokens"), names)])
     same = pairs.join(side("x", "x", "c2", "first", "n", "tokens"), "x").join(side("y", "y", "d2", "before", "m", "others"), "y")
     similar = (F.col("before") < F.col("first")) & (F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
@@ -397,7 +404,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     line that is removed itself still counts as an earlier one.  Returns (doc_id, n_lines, n_removed, kept_sha256), a row per
     row; with ``with_text`` also the text that is left and ``rest``, a struct of the other columns.
 
-    Lines of one set are one class.  Postings of the classes' prefixes are shuffled by token, packed; a signature of 64 bits
+    Lines of one set are one class.  Postings of the classes' prefixes are shuffled by token, packed; a signature of 128 bits
     bounds the tokens in which two sets differ and leaves few pairs to verify.  A class is verified against its earliest
     candidate of each token first; classes that this doesn't remove ask for more, in rounds that grow until none has
     any left, so a group of many near copies costs about one comparison each and no pair is left out.
