@@ -123,8 +123,8 @@ def _token_slot(token: np.ndarray) -> np.ndarray:
 
 #: Postings of one part, and of one token that are compared at once; the blocks of a larger token meet pairwise.
 PART, BLOCK = 1 << 19, 1 << 20
-#: Candidates per line and token that are verified in the first round, and times those of all rounds before in each later one.
-FIRST, MORE = 1, 16
+#: Candidates per line and token that the first round brings together, and times those of all rounds before in each later one.
+FIRST, MORE = 16, 16
 #: Pairs of postings that a task holds at once.
 PAIRS = 1 << 21
 ASKS, ASKED = 1, 2
@@ -217,7 +217,10 @@ def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: n
 
 
 def _candidates(low: int, high: int):
-    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (y null) where there are more."""
+    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (y null) where there are more.
+
+    first tells the earliest one of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -239,7 +242,8 @@ def _candidates(low: int, high: int):
         order = np.lexsort((n, block, token))
         # token and block are one key from here on
         key = np.zeros(len(order), np.int64)
-        key[1:] = np.cumsum((token[order][1:] != token[order][:-1]) | (block[order][1:] != block[order][:-1]))
+        token, block = token[order], block[order]
+        key[1:] = np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
         c1, did, n, at, s1, s2, role = (v[order] for v in (c1, did, n, at, s1, s2, role))
         for x, y in _nearest(met(key, c1, did, n, at, s1, s2, role), did, c1, high):
             # x ascending, its candidates by did
@@ -247,10 +251,8 @@ def _candidates(low: int, high: int):
             nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
             mine = (nth >= low) & (nth < high)
             more = nth == high
-            a = np.concatenate([c1[x[mine]], c1[x[more]]])
-            b = pa.array(np.concatenate([c1[y[mine]], c1[y[more]]]).view(np.int64), mask=np.repeat([False, True], [mine.sum(), more.sum()]))
-            table = pa.table([pa.array(a.view(np.int64)), b], ["x", "y"])
-            yield from table.group_by(["x", "y"]).aggregate([]).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[mine]].view(np.int64)), pa.array(c1[y[mine]].view(np.int64)), pa.nulls(int(mine.sum()), pa.int64()), pa.array(nth[mine] == low)], ["x", "y", "token", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(token[x[more]].view(np.int64)), pa.array(np.zeros(int(more.sum()), bool))], ["x", "y", "token", "first"])
 
     return run
 
@@ -310,22 +312,24 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     while load.any():
         dealt = leading.mapInArrow(_dealt(parts, blocks, asking, wanted), _PACKED)
         ordered = dealt.repartition(parts, "part").sortWithinPartitions("part")
-        pairs = ws.save(ordered.mapInArrow(_candidates(low, high), "x long, y long").distinct(), "pairs")
+        pairs = ordered.mapInArrow(_candidates(low, high), "x long, y long, token long, first boolean")
+        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.max("first").alias("first")), "pairs")
         ws.release()
-        found = _verified(ws, src, ranks, classes, pairs.where("y IS NOT NULL"))
-        rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"))
-        if found is not None:
-            gone = found if gone is None else gone.unionByName(found)
-            rest = rest.join(gone, "c1", "left_anti")
-        rest = ws.save(rest, "asking")
+        for first in (True, False):
+            now = pairs.where(F.col("y").isNotNull() & (F.col("first") == F.lit(first)))
+            if gone is not None:
+                now = now.join(gone.select(F.col("c1").alias("x")), "x", "left_anti")
+            found = _verified(ws, src, ranks, classes, now.select("x", "y"))
+            if found is not None:
+                gone = found if gone is None else gone.unionByName(found)
+        rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"), "token")
+        rest = ws.save(rest.join(gone, "c1", "left_anti") if gone is not None else rest, "asking")
         ws.drop(pairs)
         count = rest.count()
         if not count:
             break
-        asking = KeyFilter(rest, "c1", count)
-        tokens = ws.save(leading.join(rest, "c1", "left_semi").select(F.explode("tokens").alias("token")).distinct(), "wanted")
-        wanted = KeyFilter(tokens, "token", tokens.count())
-        ws.drop(rest, tokens)
+        asking, wanted = KeyFilter(rest, "c1", count), KeyFilter(rest, "token", count)
+        ws.drop(rest)
         low, high = high, high * (1 + MORE)
     known = classes.select("c1", "c2", "first", "copies")
     known = known.join(gone.withColumn("resembles", F.lit(True)), ["c1", "c2"], "left") if gone is not None else known.withColumn("resembles", F.lit(False))
@@ -406,7 +410,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Lines of one set are one class.  Postings of the classes' prefixes are shuffled by token, packed; a signature of 128 bits
     bounds the tokens in which two sets differ and leaves few pairs to verify.  A class is verified against its earliest
-    candidate of each token first; classes that this doesn't remove ask for more, in rounds that grow until none has
+    candidate of each token first, then, if that doesn't remove it, against the others, in rounds that grow until none has
     any left, so a group of many near copies costs about one comparison each and no pair is left out.
 
     Lines without words resemble nothing and stay.  Null or empty text has no lines.  Null ids come first; rows that

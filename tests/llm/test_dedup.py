@@ -22,7 +22,7 @@ def lined(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_line_dedup(spark, small, monkeypatch):
     if small:  # tokens in several blocks, pieces of few pairs, and rounds that don't find all at once
-        for name, value in {"BLOCK": 7, "PAIRS": 5, "MORE": 1, "PART": 50}.items():
+        for name, value in {"BLOCK": 7, "PAIRS": 5, "FIRST": 1, "MORE": 1, "PART": 50}.items():
             monkeypatch.setattr(line_dedup_module, name, value)
     rows = lined(corpus())
     plain = list({r[0]: r for r in rows if r[0] is not None}.values())
