@@ -25,8 +25,9 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    for _, _, data, off in chunks(batch.column(0)):
-        total += np.bincount(_slot(span_hashes(data, *word_spans(data, off), lower=True)), minlength=SLOTS)
+    slots = [_slot(span_hashes(data, *word_spans(data, off), lower=True)) for _, _, data, off in chunks(batch.column(0))]
+    if slots:
+        total += np.bincount(np.concatenate(slots), minlength=SLOTS)
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
@@ -124,7 +125,7 @@ def _token_slot(token: np.ndarray) -> np.ndarray:
 #: Postings of one part, and of one token that are compared at once; the blocks of a larger token meet pairwise.
 PART, BLOCK = 1 << 19, 1 << 20
 #: Candidates per line and token that the first round brings together, and times those of all rounds before in each later one.
-FIRST, MORE = 16, 16
+FIRST, MORE = 16, 63
 #: Pairs of postings that a task holds at once.
 PAIRS = 1 << 21
 ASKS, ASKED = 1, 2
@@ -185,42 +186,55 @@ def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: n
     """Postings (x, y) of one token, x asking and y in no later a document, that size, place and signature let be similar.
 
     The postings come sorted by token and size n, so those of fitting size are a range.  The shared token at place a of
-    n tokens leaves n - a in common at most, and 7 * common >= 3 * (n + m) for similarity 3/4.
+    n tokens leaves n - a in common at most, and 7 * common >= 3 * (n + m) for similarity 3/4.  From the smaller set
+    of a pair on, place and size bound the larger one.  Of a token with very many pairs, x's come one after the other.
     """
-    fresh = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    group = np.zeros(len(token), np.int64)
-    group[fresh[1:]] = 1
-    group = np.cumsum(group)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
     width = int(n.max()) + 2
     key = group * width + n
     most = np.minimum(np.minimum(4 * n // 3, 7 * (n - at) // 3 - n), width - 1)
-    lo = np.searchsorted(key, group * width + (3 * n + 3) // 4)
     hi = np.searchsorted(key, group * width + np.maximum(most, -1), side="right")
-    count = np.where(role & ASKS > 0, np.maximum(hi - lo, 0), 0)
-    ends = np.cumsum(count)
-    start = 0
-    while start < len(token):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
-        for first in range(0, int(count[start]), PAIRS) if stop == start + 1 else (0,):
-            times = count[start:stop] if stop > start + 1 else np.minimum(count[start:stop] - first, PAIRS)
-            x = np.repeat(np.arange(start, stop), times)
-            y = lo[x] + first + np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times)
-            for test in (
-                lambda: (did[y] <= did[x]) & (c1[x] != c1[y]) & (role[y] & ASKED > 0),
-                lambda: 7 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 3 * (n[x] + n[y]),
-                lambda: 7 * (np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])) <= n[x] + n[y],
-            ):
-                ok = np.flatnonzero(test())
-                x, y = x[ok], y[ok]
-            yield x, y
-        start = stop
+    ahead = np.maximum(hi - np.arange(len(n)) - 1, 0)
+    ends = np.cumsum(np.add.reduceat(ahead, begin))
+
+    def fitting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for test in (
+            lambda: 7 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 3 * (n[x] + n[y]),
+            lambda: 7 * (np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])) <= n[x] + n[y],
+            lambda: (did[y] <= did[x]) & (c1[x] != c1[y]) & (role[x] & ASKS > 0) & (role[y] & ASKED > 0),
+        ):
+            ok = np.flatnonzero(test())
+            x, y = x[ok], y[ok]
+        return x, y
+
+    g = 0
+    while g < len(begin):
+        stop = int(np.searchsorted(ends, (ends[g - 1] if g else 0) + PAIRS, side="right"))
+        if stop > g:  # whole tokens: either posting of a pair is x where its document is the later one
+            rows = np.arange(begin[g], begin[stop] if stop < len(begin) else len(token))
+            times = ahead[rows]
+            i = np.repeat(rows, times)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            later = did[i] >= did[j]
+            x, y = fitting(np.where(later, i, j), np.where(later, j, i))
+            same = np.flatnonzero(did[x] == did[y])
+            more = fitting(y[same], x[same])
+            yield np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
+            # of two postings of one document each may ask the other
+            g = stop
+            continue
+        for x in range(begin[g], begin[g + 1] if g + 1 < len(begin) else len(token)):
+            if role[x] & ASKS:
+                first = int(np.searchsorted(key, key[x] - n[x] + (3 * n[x] + 3) // 4))
+                for lo in range(first, int(hi[x]), PAIRS):
+                    y = np.arange(lo, min(lo + PAIRS, int(hi[x])))
+                    yield fitting(np.full(len(y), x), y)
+        g += 1
 
 
 def _candidates(low: int, high: int):
-    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (y null) where there are more.
-
-    first tells the earliest one of these.
-    """
+    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (token, y null) where there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -251,8 +265,8 @@ def _candidates(low: int, high: int):
             nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
             mine = (nth >= low) & (nth < high)
             more = nth == high
-            yield pa.RecordBatch.from_arrays([pa.array(c1[x[mine]].view(np.int64)), pa.array(c1[y[mine]].view(np.int64)), pa.nulls(int(mine.sum()), pa.int64()), pa.array(nth[mine] == low)], ["x", "y", "token", "first"])
-            yield pa.RecordBatch.from_arrays([pa.array(c1[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(token[x[more]].view(np.int64)), pa.array(np.zeros(int(more.sum()), bool))], ["x", "y", "token", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[mine]].view(np.int64)), pa.array(c1[y[mine]].view(np.int64)), pa.nulls(int(mine.sum()), pa.int64())], ["x", "y", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(token[x[more]].view(np.int64))], ["x", "y", "token"])
 
     return run
 
@@ -274,22 +288,21 @@ def _nearest(found: Iterator[tuple[np.ndarray, np.ndarray]], did: np.ndarray, c1
 
 
 def _sets(ranks, classes: KeyFilter, docs: KeyFilter):
-    """Whole sets of the classes that the filter lets through, once per chunk; a token that occurs once is in no intersection."""
+    """Whole sets of the lines of classes that the filter lets through; a token that occurs once is in no intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(docs.test(batch.column(0).to_numpy(zero_copy_only=False))))
-            for _, _, data, off in chunks(batch.column(1)):
-                _, _, at, token = line_tokens(data, off, ranks.value)
+            batch = batch.filter(pa.array(docs.test(batch.column(1).to_numpy(zero_copy_only=False))))
+            for lo, _, data, off in chunks(batch.column(2)):
+                row, number, at, token = line_tokens(data, off, ranks.value)
                 c1, c2 = class_hashes(at, token)
-                _, once = np.unique(c1, return_index=True)
-                keep = np.zeros(len(c1), bool)
-                keep[once] = classes.test(c1[once])
+                keep = classes.test(c1)
                 line = np.repeat(np.arange(len(c1)), np.diff(at))
                 mine = keep[line] & (token >> U(56) != 0)
                 sizes = np.bincount(line[mine], minlength=len(c1))[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c1[keep].view(np.int64)), pa.array(c2[keep].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token[mine].view(np.int64)))], ["c1", "c2", "tokens"])
-
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token[mine].view(np.int64)))
+                ids = pa.array(row[keep] + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x[keep]) for x in (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64))], tokens], ["did", "th", "line", "c1", "c2", "tokens"])
     return run
 
 
@@ -303,25 +316,35 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     full, lines = lines, ws.save(lines.select("did", "th", "line", "c1", "c2"), "places")
     ws.drop(full)
     leading = classes.where(F.size("tokens") > 0).select("c1", F.col("first.did").alias("did"), "n", "s1", "s2", "skip", "tokens")
-    load = slot_counts(leading.select("tokens"), SLOTS, _load)
+    # the load only balances the parts, so every 16th class tells it
+    load = 16 * slot_counts(leading.where(F.pmod("c1", F.lit(16)) == 0).select("tokens"), SLOTS, _load)
     width = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(width, -(-int(load.sum()) // PART))
     # a slot far above the mean holds a token of very many lines
-    blocks = ws.spark.sparkContext.broadcast(np.where(load > 1, np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535), 0).astype(np.uint16))
+    blocks = ws.spark.sparkContext.broadcast(np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535).astype(np.uint16))
     gone, asking, wanted, low, high = None, None, None, 0, FIRST
-    while load.any():
+    while True:
         dealt = leading.mapInArrow(_dealt(parts, blocks, asking, wanted), _PACKED)
         ordered = dealt.repartition(parts, "part").sortWithinPartitions("part")
-        pairs = ordered.mapInArrow(_candidates(low, high), "x long, y long, token long, first boolean")
-        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.max("first").alias("first")), "pairs")
+        pairs = ordered.mapInArrow(_candidates(low, high), "x long, y long, token long")
+        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.count("*").alias("c")), "pairs")
         ws.release()
-        for first in (True, False):
-            now = pairs.where(F.col("y").isNotNull() & (F.col("first") == F.lit(first)))
-            if gone is not None:
-                now = now.join(gone.select(F.col("c1").alias("x")), "x", "left_anti")
-            found = _verified(ws, src, ranks, classes, now.select("x", "y"))
-            if found is not None:
+        together = pairs.where("y IS NOT NULL")
+        sets = _sets_of(ws, src, ranks, classes, together)
+        if sets is not None:
+            likely = ws.save(_likely(together, sets), "likely")
+            ws.release()
+            best = likely.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", "best.y")
+            # one likely pair each, all others only where that one isn't similar after all
+            for now in (best, None):
+                if now is None:
+                    now = ws.save(likely.join(gone.select(F.col("c1").alias("x")), "x", "left_anti").select("x", "y"), "other")
+                    if now.isEmpty():
+                        break
+                found = ws.save(_similar(now, sets), "found")
+                ws.release()
                 gone = found if gone is None else gone.unionByName(found)
+            ws.drop(sets, likely)
         rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"), "token")
         rest = ws.save(rest.join(gone, "c1", "left_anti") if gone is not None else rest, "asking")
         ws.drop(pairs)
@@ -340,24 +363,46 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     return out
 
 
-def _verified(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """(c1, c2) of the classes x that have a similarity of 3/4 to an earlier class y of pairs."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("c1")).distinct()
+def _sets_of(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """(c1, c2, first, n, tokens, brief) of the classes in pairs (x, y): whole sets, read from the texts again."""
+    ends = pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct()
     involved = ws.save(ends.join(classes.select("c1", "c2", "first", "n"), "c1"), "involved")
     count = involved.count()
     if not count:
         ws.drop(involved)
         return None
     thin = KeyFilter(involved, "c1", count), KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
-    read = src.select("th", "text").mapInArrow(_sets(ranks, *thin), "c1 long, c2 long, tokens array<long>")
-    sets = ws.save(read.join(involved, ["c1", "c2"]).groupBy("c1", "c2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
-    ws.release()
-    side = lambda c, *names: sets.select(*[F.col(a).alias(b) for a, b in zip(("c1", "c2", "first", "n", "tokens"), names)])
-    same = pairs.join(side("x", "x", "c2", "first", "n", "tokens"), "x").join(side("y", "y", "d2", "before", "m", "others"), "y")
-    similar = (F.col("before") < F.col("first")) & (F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
-    found = ws.save(same.where(similar).select(F.col("x").alias("c1"), "c2").distinct(), "found")
-    ws.drop(involved, sets)
-    return found
+    read = src.select("did", "th", "text").mapInArrow(_sets(ranks, *thin), "did long, th long, line int, c1 long, c2 long, tokens array<long>")
+    # a class is told by the line at its first place
+    own = read.join(involved, ["c1", "c2"]).where(F.struct("did", "th", "line") == F.col("first"))
+    brief = F.array_distinct(F.transform("tokens", lambda t: (F.shiftright(t, 5).bitwiseAND(F.lit(0xFFFF)) - F.lit(0x8000)).cast("short")))
+    sets = ws.save(own.dropDuplicates(["c1", "c2"]).select("c1", "c2", "first", "n", "tokens", brief.alias("brief")), "sets")
+    ws.drop(involved)
+    return sets
+
+
+def _sides(sets: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """sets for either end of pairs, with the same columns, so that one shuffle serves both."""
+    names = ("c1", "c2", "first", "n", tokens)
+    return tuple(sets.select(*[F.col(a).alias(b) for a, b in zip(names, new)]) for new in (("x", "c2", "first", "n", "tokens"), ("y", "d2", "before", "m", "others")))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, c) of the pairs of which 16 bits of each token don't rule the similarity out; c: common values.
+
+    Shared tokens with equal values are as many fewer values as the line has values less than tokens.
+    """
+    left, right = _sides(sets, "brief")
+    common = F.size(F.array_intersect("tokens", "others"))
+    may = (common + F.col("n") - F.size("tokens")) * 7 >= (F.col("n") + F.col("m")) * 3
+    return pairs.join(left, "x").join(right, "y").where((F.col("before") < F.col("first")) & F.col("d2").isNotNull() & may).select("x", "y", common.alias("c"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c1, c2) of the classes x that have a similarity of 3/4 to an earlier class y of pairs."""
+    left, right = _sides(sets, "tokens")
+    similar = (F.col("before") < F.col("first")) & F.col("d2").isNotNull() & (F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
+    return pairs.join(left, "x").join(right, "y").where(similar).select(F.col("x").alias("c1"), "c2").distinct()
 
 
 def _finish(shared: KeyFilter | None, keep: bool):
@@ -409,9 +454,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     row; with ``with_text`` also the text that is left and ``rest``, a struct of the other columns.
 
     Lines of one set are one class.  Postings of the classes' prefixes are shuffled by token, packed; a signature of 128 bits
-    bounds the tokens in which two sets differ and leaves few pairs to verify.  A class is verified against its earliest
-    candidate of each token first, then, if that doesn't remove it, against the others, in rounds that grow until none has
-    any left, so a group of many near copies costs about one comparison each and no pair is left out.
+    bounds the tokens in which two sets differ and leaves few pairs to verify.  Of a class's candidates
+    16 bits a token leave the likely ones, of which whole sets verify the best one first; classes that no candidate
+    removes ask for more, in rounds that grow until none has any left, so a group of many near copies costs about one comparison each and no pair is left out.
 
     Lines without words resemble nothing and stay.  Null or empty text has no lines.  Null ids come first; rows that
     repeat an id and a text are at one place and keep or lose their lines together.
