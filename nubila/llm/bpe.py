@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .rows import real_id, row_key
 from .workspace import tune
 
-#: Words and token pairs that a worker remembers before it starts anew.
-REMEMBER = 400_000
+#: Words and token pairs that a worker remembers before it starts anew; letters of a word from which on the library encodes it.
+REMEMBER, LONG = 400_000, 1000
 #: Texts of these characters alone are lower-cased and split here; for others the library's normaliser and splitter are used.
 _PLAIN = regex.compile("[\x09-\x0d\x20-\x7e\xa1-ɏ]*")
 
@@ -164,13 +164,19 @@ class TrieEncoder:
         new.difference_update(self.special)
         for s, i in self.special.items():
             self.known[s] = (i.to_bytes(4, "little"), 1)
-        self.learn(list(new))
+        long = {w for w in new if len(w) >= LONG}
+        self.learn(list(new - long))
         known = self.known
+        for w in long:
+            ids = self.library.encode(w, add_special_tokens=False).ids
+            known[w] = (np.array(ids, "<u4").tobytes(), len(ids))
         out = []
         for t in cut:
             got = [known[w] for s in t for w in s]
             ids = b"".join([g[0] for g in got])
             out.append((ids, self.decode(ids), sum([g[1] for g in got])))
+        for w in long:
+            del known[w]
         return out
 
 

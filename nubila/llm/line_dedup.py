@@ -129,13 +129,15 @@ FIRST, MORE = 16, 63
 #: Pairs of postings that a task holds at once.
 PAIRS = 1 << 21
 ASKS, ASKED = 1, 2
+#: Shares of the tokens whose postings are shuffled one after the other, so that the disk holds one share at a time.
+SHARES = 2
 _PACKED = "part int, n long, token binary, block binary, c1 binary, did binary, size binary, at binary, s1 binary, s2 binary, role binary"
 
 
-def _dealt(parts: int, blocks, asking=None, wanted=None):
-    """Postings of the classes' prefix tokens, packed by part.
+def _dealt(parts: int, share: int, blocks, asking=None, wanted=None):
+    """Postings of a share of the classes' prefix tokens, packed by part.
 
-    blocks: for each slot, in how many blocks its tokens' postings are compared (0: nothing to compare).  asking and
+    blocks: for each slot, in how many blocks its tokens' postings are compared.  asking and
     wanted: filters of the classes that ask and of the tokens that they have; without them every class asks.
     """
 
@@ -144,16 +146,17 @@ def _dealt(parts: int, blocks, asking=None, wanted=None):
             c1, did, n, s1, s2, skip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             size = np.diff(batch.column(6).offsets.to_numpy().astype(np.int64))
             token = batch.column(6).flatten().to_numpy().view(U)
+            mine = mix(token) % U(SHARES) == U(share)
             row = np.repeat(np.arange(len(size)), size)
             at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + skip[row]
-            width = blocks.value[_token_slot(token)].astype(np.int64)
-            keep = width > 0
+            token, row, at = token[mine], row[mine], at[mine]
             if wanted is not None:
-                keep &= wanted.test(token.view(np.int64))
-            token, row, at, width = token[keep], row[keep], at[keep], width[keep]
+                keep = wanted.test(token.view(np.int64))
+                token, row, at = token[keep], row[keep], at[keep]
+            width = blocks.value[_token_slot(token)].astype(np.int64)
             asks = asking.test(c1)[row] if asking is not None else np.ones(len(row), bool)
             # of a token in several blocks, an asking posting goes to the pairs of blocks (own, any) and an asked one to (any, own)
-            own = (mix(c1.view(U)[row]) % np.maximum(width, 1).astype(U)).astype(np.int64)
+            own = (mix(c1.view(U)[row]) % width.astype(U)).astype(np.int64)
             whole = np.flatnonzero(width == 1)
             which, block, role = [whole], [np.zeros(len(whole), np.int64)], [np.where(asks[whole], ASKS | ASKED, ASKED)]
             for kind, some in ((ASKS, np.flatnonzero((width > 1) & asks)), (ASKED, np.flatnonzero(width > 1))):
@@ -319,16 +322,19 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     # the load only balances the parts, so every 16th class tells it
     load = 16 * slot_counts(leading.where(F.pmod("c1", F.lit(16)) == 0).select("tokens"), SLOTS, _load)
     width = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(width, -(-int(load.sum()) // PART))
+    parts = max(width, -(-int(load.sum()) // (PART * SHARES)))
     # a slot far above the mean holds a token of very many lines
     blocks = ws.spark.sparkContext.broadcast(np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535).astype(np.uint16))
     gone, asking, wanted, low, high = None, None, None, 0, FIRST
     while True:
-        dealt = leading.mapInArrow(_dealt(parts, blocks, asking, wanted), _PACKED)
-        ordered = dealt.repartition(parts, "part").sortWithinPartitions("part")
-        pairs = ordered.mapInArrow(_candidates(low, high), "x long, y long, token long")
-        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.count("*").alias("c")), "pairs")
-        ws.release()
+        pairs = None
+        for share in range(SHARES):
+            dealt = leading.mapInArrow(_dealt(parts, share, blocks, asking, wanted), _PACKED)
+            found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(low, high), "x long, y long, token long")
+            found = ws.save(found.groupBy("x", "y", "token").agg(F.count("*").alias("c")), "pairs")
+            pairs = found if pairs is None else pairs.unionByName(found)
+            ws.release()
+        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.sum("c").alias("c")), "together")
         together = pairs.where("y IS NOT NULL")
         sets = _sets_of(ws, src, ranks, classes, together)
         if sets is not None:

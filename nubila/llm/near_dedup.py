@@ -13,15 +13,16 @@ from .components import connected_components
 from .textcore import P_WORD, U, Words, chunks, distinct_by_row, list_array, mix, shingles
 from .workspace import KeyFilter, Workspace
 
-#: Rows without an id get nodes above this, so that a real id is always the smaller one.
-NO_ID = (1 << 63) - 1 - (1 << 32)
+#: Rows without an id get nodes from here on, so that a real id is always the smaller one.
+NO_ID = 1 << 62
 BANDS, ROWS = 32, 4
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
 def node_of(doc_id: Column, text: Column) -> Column:
-    spare = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(NO_ID)
-    return F.coalesce(doc_id.cast("long"), spare)
+    spare = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    own = doc_id.cast("long")
+    return F.when(own >= NO_ID, F.raise_error(F.lit("ids must be below 2**62"))).otherwise(F.coalesce(own, spare))
 
 
 def fast_similarity_sketch(at: np.ndarray, values: np.ndarray, bins: int) -> np.ndarray:
@@ -269,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null or empty text, or text without words: an empty set, linked with nothing.  Null ids: the row takes part, its
     component_id is null unless it is linked with a row that has an id, and it is kept if it stands for its
-    component; of equal texts without an id one row is kept.  Rows with the same id are one node, and kept or not
+    component; of equal texts without an id one row is kept.  An id of 2**62 or more is an error.  Rows with the same id are one node, and kept or not
     together.  Other columns of docs are ignored.
     """
     found = components_of(docs, id_col=id_col, text_col=text_col, size=size, percent=percent, bands=bands, rows=rows)
@@ -286,11 +287,13 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     ws = Workspace(docs.sparkSession, "near-drop")
     found = components_of(docs, id_col=id_col, text_col=text_col, **how)
     nodes = found.groupBy("node").agg(F.bool_or(F.col("node") != F.col("component")).alias("gone"), F.count_if(F.col("n") > 0).alias("c")).where("gone or c > 1")
-    marks = ws.save(nodes.select(F.col("node").alias("__node"), "gone"), "marks")
-    rows = docs.withColumn("__node", node_of(F.col(id_col), F.col(text_col)))
-    single = rows.join(marks.select("__node"), "__node", "left_anti")
+    # names that docs doesn't have
+    node, mark = (next(f"{name}{k or ''}" for k in range(len(docs.columns) + 1) if f"{name}{k or ''}" not in docs.columns) for name in ("node", "blank"))
+    marks = ws.save(nodes.select(F.col("node").alias(node), "gone"), "marks")
+    rows = docs.withColumn(node, node_of(F.col(id_col), F.col(text_col)))
+    single = rows.join(marks.select(node), node, "left_anti")
     # one copy of each text; rows without words differ by number
     blank = F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    several = rows.join(marks.where("not gone").select("__node"), "__node", "left_semi").withColumn("__blank", blank)
-    several = several.dropDuplicates(["__node", text_col, "__blank"])
-    return single.drop("__node").unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    several = rows.join(marks.where("not gone").select(node), node, "left_semi").withColumn(mark, blank)
+    several = several.dropDuplicates([node, text_col, mark])
+    return single.drop(node).unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,15 +15,17 @@ from .rows import real_id, row_key
 from .workspace import tune
 
 LIMIT, END = 2048, 1
-#: How the byte-level vocabulary splits text before its merges (fixed pattern).
+#: How byte-level vocabularies split text before their merges (fixed pattern), and a run of white space that goes to the library.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = re.compile(r"\s{5000}")
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    Merges of this vocabulary rank as its ids do, so the ranks follow from the file and tiktoken gives the library's ids in a
-    fraction of its time; a text that holds a special token's string goes to the library itself.
+    Where the file's merges rank as its ids do and it splits text by the byte-level pattern, tiktoken gives the library's
+    ids in a fraction of its time.  Other vocabularies, and texts that hold a special token's string or very long white
+    space, go to the library itself.
     """
 
     def __init__(self, path: str):
@@ -39,15 +42,32 @@ class Encoder:
         spec = json.loads(self.model.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
         back = {c: b for b, c in byte_alphabet().items()}
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        made = [model["vocab"]["".join(m)] for m in model["merges"]]
+        plain = model["type"] == "BPE" and not model.get("ignore_merges") and not spec["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if not plain or made != sorted(made):
+            self.fast = None
+            return
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or LONG_SPACE.search(text):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def decompose(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids, longest first; lengths are powers of two, at most limit."""
     pieces, start = [], 0
@@ -60,7 +80,7 @@ def decompose(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 
 def _pieces(path: str, limit: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder_of(path)
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             did, start, length, crc, total, ids = [], [], [], [], [], []

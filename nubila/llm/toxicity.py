@@ -16,17 +16,13 @@ from pyspark.sql import functions as F
 from .rows import real_id, row_key
 from .workspace import tune
 
-#: Labelled rows that the lexicon and the weights are fitted on at most, entries of the lexicon at most, and words that a worker remembers.
-FIT_ROWS, ENTRIES, REMEMBER = 20_000, 4096, 500_000
+#: Labelled rows that the lexicon and the weights are fitted on at most, and words that a worker remembers.
+FIT_ROWS, REMEMBER = 20_000, 500_000
 #: Shortest word that may be misspelled by one edit, lengths of stems, words to each side that count as context.
 FUZZY, STEMS, WINDOW = 5, (3, 4, 5, 6, 7, 8), 6
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"“”„«»]")
-#: Words that report or discuss speech rather than use it.
-REPORTING = frozenset(
-    "said says say called calls quote quoted quotes wrote writes word words term terms insult insults meaning means reported article dit mot citation sagte wort zitat dijo palabra cita".split()
-)
 
 
 class Lexicon(NamedTuple):
@@ -34,6 +30,8 @@ class Lexicon(NamedTuple):
     stems: dict[str, float]
     #: Learned words that a stem begins; as written they match by their stem.
     replaced: dict[str, float] = {}
+    #: Words near which hits are mostly reported or discussed: they stand by the hits of documents that aren't toxic.
+    reporting: frozenset[str] = frozenset()
 
 
 class Matcher:
@@ -120,7 +118,7 @@ FEATURES = ("exact", "stem", "fuzzy", "quoted", "weight", "density")
 
 
 def features(matcher: Matcher, text: str, window: int = WINDOW) -> np.ndarray:
-    """Logarithmic counts of hits by kind; hits inside quotation marks or near words of reporting count as quoted."""
+    """Logarithmic counts of hits by kind; hits inside quotation marks or near words that report count as quoted."""
     out = np.zeros(len(FEATURES))
     lowered = text.lower()
     words = _WORD.findall(lowered)
@@ -136,7 +134,7 @@ def features(matcher: Matcher, text: str, window: int = WINDOW) -> np.ndarray:
         while opened < len(quotes) and quotes[opened] < spots[i]:
             opened += 1
         around = words[max(0, i - window) : i] + words[i + 1 : i + 1 + window]
-        if opened % 2 and opened < len(quotes) or not REPORTING.isdisjoint(around):
+        if opened % 2 and opened < len(quotes) or not matcher.lexicon.reporting.isdisjoint(around):
             out[3] += 1
         else:
             out[FEATURES.index(found[0])] += 1
@@ -159,16 +157,49 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[0] for v in values], pa.int64())], ["kind", "term", "bad", "good"])
 
 
-def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> Lexicon:
-    """Words and stems that toxic documents hold and others don't, from (text, toxic)."""
+def _contexts(lexicon: Lexicon):
+    """Documents of either label that have a hit by each word within the window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            count: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = _WORD.findall((text or "").lower())
+                hits = [i for i, w in enumerate(words) if matcher.match(w)]
+                near = {w for i in hits for w in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]}
+                # the empty word counts the documents with hits
+                for w in near | ({""} if hits else set()):
+                    count.setdefault(w, [0, 0])[toxic] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *[pa.array([v[k] for v in count.values()], pa.int64()) for k in (1, 0)]], ["term", "bad", "good"])
+
+    return run
+
+
+def learn_reporting(labelled: DataFrame, lexicon: Lexicon, odds: float = 2.0) -> frozenset[str]:
+    """Words by the hits of at least three documents that aren't toxic, and surely oftener than by those of toxic ones.
+
+    Surely: the log odds less twice their standard error are above ``odds`` less 1 and the odds above ``odds``.
+    """
+    counts = labelled.select("text", "toxic").mapInArrow(_contexts(lexicon), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rows = counts.where("good >= 3 or term = ''").collect()
+    total = next((r for r in rows if r.term == ""), None)
+    if total is None:
+        return frozenset()
+    ratio = lambda r: math.log((r.good + 0.5) / (total.good + 1)) - math.log((r.bad + 0.5) / (total.bad + 1))
+    return frozenset(r.term for r in rows if r.term and ratio(r) > odds and ratio(r) - 2 * math.sqrt(1 / (r.good + 0.5) + 1 / (r.bad + 0.5)) > odds - 1)
+
+
+def learn_lexicon(labelled: DataFrame) -> Lexicon:
+    """Words and stems that toxic documents hold and others don't, from (text, toxic); their number is bounded by the labelled rows'."""
     totals = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
         return Lexicon({}, {})
     counts = labelled.select("text", "toxic").mapInArrow(_terms, "kind string, term string, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    rows = counts.withColumn("odds", odds).where((F.col("bad") >= max(3, 0.002 * bad)) & (F.col("odds") > 3)).orderBy(F.desc("odds"), "term", "kind").limit(entries).collect()
-    words = {r.term: r for r in rows if r.kind == "w"}
+    rows = counts.withColumn("odds", odds).where((F.col("bad") >= max(3, 0.002 * bad)) & (F.col("odds") > 3)).collect()
+    words = {r.term: r for r in sorted(rows) if r.kind == "w"}
     most: dict[str, int] = {}
     for t, w in words.items():
         for k in STEMS:
@@ -230,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # at most ``rows`` ids
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     lexicon = learn_lexicon(some)
+    lexicon = lexicon._replace(reporting=learn_reporting(some, lexicon))
     got = some.mapInArrow(_with_features(lexicon), "x array<double>, toxic int").toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     if len(y) == 0 or y.min() == y.max():

@@ -60,3 +60,11 @@ def test_decode_takes_stored_ids(spark):
     some = [[], [last, 0, 17, last], list(range(0, last, 97)), [10**6, 5]]
     stored = spark.createDataFrame([(k, bytearray(np.array(x, "<u4").tobytes())) for k, x in enumerate(some)] + [(9, None)], "k int, ids binary")
     assert {r.k: r.decoded for r in bpe.decode(stored, PATH).collect()} == {9: None, **{k: model.decode(x, skip_special_tokens=False) for k, x in enumerate(some)}}
+
+
+def test_long_words_as_the_library_does():
+    w = bpe.TrieEncoder(PATH)
+    for n in (999, 1000, 300_000):
+        text = "x " + "abcdefghij"[: n % 7 + 3] * (n // 3) + " é"
+        ids = w.library.encode(text, add_special_tokens=False).ids
+        assert w.encode_batch([text])[0][::2] == (b"".join(i.to_bytes(4, "little") for i in ids), len(ids))

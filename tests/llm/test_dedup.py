@@ -76,3 +76,19 @@ def test_one_row_of_copies_without_an_id(spark):
     got = out.collect()
     assert Counter((r.doc_id, r.text) for r in got) == {(None, own(1)): 1, (None, own(2)): 1, (4, own(3)): 1, (7, own(5)): 1, (7, own(6)): 1, (None, ""): 2, (None, None): 2, (8, " "): 2}
     assert all(rows[r.k] == (r.doc_id, r.text) for r in got)
+
+
+def test_texts_without_an_id_that_share_32_bits_of_hash_stay_apart(spark):
+    rows = [(None, "text number 149234"), (None, "text number 262723"), (5, "text number 149234")]
+    docs = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node int, __node int")
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert found == {(None, 5, False): 1, (None, None, True): 1, (5, 5, True): 1}
+    out = near_dedup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r.node for r in out.collect()) == [1, 2]
+
+
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    rows = [(None, "a b c d\nx y z"), (3, "d c b a\nown line"), (3, "d c b a\nown line"), (3, "other\na b c d"), (4, None), (5, "")]
+    got = Counter((r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
+    # rows of one id and text are at one place and keep their lines
+    assert got == {(None, "a b c d\nx y z"): 1, (3, "own line"): 2, (3, "other"): 1, (4, ""): 1, (5, ""): 1}

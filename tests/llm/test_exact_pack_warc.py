@@ -69,3 +69,10 @@ def test_warc_round_trip(spark):
         want[i, len(html.encode()), hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", o if again else None] += 1
     assert got == want
     assert warc.revisit_table(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_pack_long_runs_as_the_library_does():
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode.fast is not None
+    for text in ("a" + " " * 1_000_000 + "b", " " * 4999 + "x", "x" + "\n \t" * 3000, "abcdefghij" * 100_000):
+        assert encode(text) == np.array(encode.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

