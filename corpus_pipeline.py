@@ -11,7 +11,7 @@ from nubila.llm.workspace import Workspace
 
 
 def _with_text(docs: DataFrame, done: DataFrame) -> DataFrame:
-    """The columns of docs, with the text that an operator left and its length."""
+    """The columns of docs, with the text that an operator left (empty for a null text) and its length."""
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return done.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
-    return toxicity.score(docs, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return toxicity.score(rows, model).where(F.col("toxicity_score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            ws.drop(before)
+        before = docs
     return docs

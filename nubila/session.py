@@ -19,12 +19,15 @@ def session(app: str = "nubila", **conf: str) -> SparkSession:
 def checkpointed(df):
     """Cut the lineage between driver-side rounds: a reliable checkpoint in the shared folder.
 
-    The folder is spark.checkpoint.dir, or a temporary one only where none is set (local runs).
+    The folder is spark.checkpoint.dir, or a temporary one where none is set and Spark runs in one process.
     """
+    import re
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="nubila-rounds-"))
     return df.checkpoint(eager=True)
