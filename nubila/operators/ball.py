@@ -57,3 +57,26 @@ def overlap(points: DataFrame, voxel: float, reach: float = 1.5, shift: float =
     share = met.select("query_id", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n"))
     share = share.join(cloud.groupBy(F.col("batch").alias("a")).agg(F.count("*").alias("t")), "a").withColumn("share", F.col("n") / F.col("t"))
     return share.groupBy(F.least("a", "b").alias("cloud_a"), F.greatest("a", "b").alias("cloud_b")).agg(F.max("share").alias("overlap"))
+
+
+def ball_padded(points: DataFrame, radius: float, nsample: int, *, pad: str = "first", mode: str = "first", queries: DataFrame | None = None, **how) -> DataFrame:
+    """nsample slots of each query: its hits by ball_query(), then the first hit again (pad first) or id -1 at distance 1e10 (pad minus_one).
+
+    A query without hits has null slots with pad first.
+    """
+    found = ball_query(points, radius, nsample, mode=mode, queries=queries, **how)
+    asking = (queries if queries is not None else points).select(F.col("point_id").alias("query_id"))
+    slots = asking.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nsample).cast("long"))).alias("rank"))
+    out = slots.join(found, ["query_id", "rank"], "left").withColumn("is_padding", F.col("support_id").isNull())
+    if pad == "minus_one":
+        return out.select("query_id", "rank", F.coalesce("support_id", F.lit(-1)).alias("support_id"), F.coalesce("d2", F.lit(1e10)).alias("d2"), "is_padding")
+    first = found.where("rank = 1").select("query_id", F.col("support_id").alias("s1"), F.col("d2").alias("e1"))
+    return out.join(first, "query_id", "left").select("query_id", "rank", F.coalesce("support_id", "s1").alias("support_id"), F.coalesce("d2", "e1").alias("d2"), "is_padding")
+
+
+def radius_l1(points: DataFrame, radius: float, max_neighbors: int | None = None, *, queries: DataFrame | None = None, shift: float = 0.0) -> DataFrame:
+    """Points with an L1 distance below radius, nearest first; at most max_neighbors of each query, all if that is None."""
+    near = candidates(queries if queries is not None else points, points, radius, shift, "l1").where(F.col("d2") < radius)
+    w = Window.partitionBy("query_id").orderBy("d2", "support_id")
+    ranked = near.select("query_id", F.row_number().over(w).alias("rank"), "support_id", F.col("d2").alias("distance"))
+    return ranked if max_neighbors is None else ranked.where(F.col("rank") <= max_neighbors)

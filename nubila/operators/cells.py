@@ -101,3 +101,28 @@ def octree_select(points: DataFrame, size: float, levels: int, k: int, low: int
 
     chosen = F.aggregate(F.slice("a", 2, levels + 1), start, step)
     return lists.select("point_id", "batch", chosen["level"].alias("level"), chosen["n"].alias("candidates"))
+
+
+def candidate_distribution(counts: DataFrame, by: tuple[str, ...] = ("batch",)) -> DataFrame:
+    """Candidates of a point's query over all points of each group: points, mean, lower median, percentiles, extremes."""
+    each = candidate_counts(counts).join(counts.select(*CELL, "cnt"), list(CELL))
+    p = lambda q: F.percentile("candidates", F.lit(q), F.col("cnt"))
+    # the lower median: the least value that half of the points don't exceed
+    total = each.groupBy(*by).agg(F.sum("cnt").alias("points"), (F.sum(F.col("candidates") * F.col("cnt")) / F.sum("cnt")).alias("mean"), F.min("candidates").alias("minimum"), F.max("candidates").alias("maximum"), *[p(q).alias(n) for q, n in ((0.05, "p05"), (0.25, "p25"), (0.75, "p75"), (0.95, "p95"))])
+    w = Window.partitionBy(*by).orderBy("candidates").rowsBetween(Window.unboundedPreceding, 0)
+    steps = each.groupBy(*by, "candidates").agg(F.sum("cnt").alias("c"))
+    median = steps.withColumn("upto", F.sum("c").over(w)).join(total.select(*by, "points"), list(by)).where("2 * upto >= points").groupBy(*by).agg(F.min("candidates").alias("median"))
+    return total.join(median, list(by))
+
+
+def candidate_bands(counts: DataFrame, low: int, high: int) -> DataFrame:
+    """Points whose query has fewer than low, low to high, or more than high candidates, with the mean of each band."""
+    each = candidate_counts(counts).join(counts.select(*CELL, "cnt"), list(CELL))
+    band = F.when(F.col("candidates") < low, "few").when(F.col("candidates") <= high, "some").otherwise("many")
+    return each.groupBy(band.alias("band")).agg(F.sum("cnt").alias("points"), (F.sum(F.col("candidates") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+
+
+def serialized_order(coded: DataFrame, code: str = "code") -> DataFrame:
+    """(batch, point_id, position): where a point stands in its batch's order by code; order[position] gives it back."""
+    w = Window.partitionBy("batch").orderBy(code, "point_id")
+    return coded.select("batch", "point_id", (F.row_number().over(w) - 1).alias("position"))

@@ -153,3 +153,17 @@ def average_precision(matches: DataFrame) -> DataFrame:
         return pd.DataFrame({"class": [key[0]], "threshold": [key[1]], "ap": [ap]})
 
     return matches.groupBy("class", "threshold").applyInPandas(run, "class int, threshold double, ap double")
+
+
+def pooled_recall(exact: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
+    """Matches of all queries over their valid slots, and the share of the k slots of each query that are valid."""
+    same = predicted.join(exact.select("query_id", "support_id"), ["query_id", "support_id"], "left_semi").agg(F.count("*").alias("matches"))
+    slots = predicted.agg(F.count("*").alias("valid"))
+    queries = exact.agg(F.count_distinct("query_id").alias("queries"))
+    # three single rows
+    return same.crossJoin(slots).crossJoin(queries).select((F.col("matches") / F.col("valid")).alias("recall"), (F.col("valid") / (F.col("queries") * k)).alias("valid_fraction"))
+
+
+def boundary_histogram(shares: DataFrame, bins: int = 100) -> DataFrame:
+    """Points by the share of neighbours of their own class, in bins + 1 bins (bin i from i / bins on)."""
+    return shares.groupBy(F.floor(F.col("same") * bins).alias("bin")).agg(F.count("*").alias("points"))

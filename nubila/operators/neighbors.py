@@ -76,3 +76,19 @@ def relative_position_terms(edges: DataFrame, table: DataFrame, features: DataFr
     """
     t = table.withColumnRenamed("value", "t")
     return edges.join(t, ["axis", "rel_index"]).join(features, ["query_id", "c"]).groupBy("query_id", "support_id").agg(F.sum(F.col("t") * F.col("value")).alias("bias"))
+
+
+def gaussian_weight(nbrs: DataFrame, a: float = 1.0, c: float = 5.0) -> DataFrame:
+    """nbrs with weight a * exp(-d2 / (2 c**2))."""
+    return nbrs.withColumn("weight", a * F.exp(-F.col("d2") / (2 * c * c)))
+
+
+def interpolate_given(nbrs: DataFrame, points: DataFrame, features: tuple[str, ...], weight: str = "weight") -> DataFrame:
+    """Sums of the neighbours' features times weights that nbrs holds."""
+    near = points.select(F.col("point_id").alias("support_id"), *features)
+    return nbrs.join(near, "support_id").groupBy("query_id").agg(*[F.sum(F.col(weight) * F.col(f)).alias(f) for f in features])
+
+
+def group_all(points: DataFrame, features: tuple[str, ...] = (), use_xyz: bool = True) -> DataFrame:
+    """One group per batch that holds all of its points: (batch, group_id 0, point_id[, x, y, z], features)."""
+    return points.select("batch", F.lit(0).alias("group_id"), "point_id", *(("x", "y", "z") if use_xyz else ()), *features)

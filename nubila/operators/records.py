@@ -118,3 +118,37 @@ def merged(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def remaining(todo: DataFrame, complete: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """What a resumed run still has to do."""
     return todo.join(complete.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def multiset_common(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys of both with how often both have them (repeated records count as often as the side that has fewer)."""
+    counts = [d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((left, "a"), (right, "b"))]
+    return counts[0].join(counts[1], list(keys)).select(*keys, F.least("a", "b").alias("common"))
+
+
+def key_differences(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys that one side lacks: side is missing (only left has it) or extra (only right has it)."""
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    return a.join(b, list(keys), "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("extra")))
+
+
+def lacking(records: DataFrame, column: str, required: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """(by, column) of the required values that a group has no record of."""
+    wanted = records.select(*by).distinct().select(*by, F.explode(F.array(*map(F.lit, required))).alias(column))
+    return wanted.join(records.select(*by, column).distinct(), [*by, column], "left_anti")
+
+
+def identity_mismatches(left: DataFrame, right: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
+    """Keys that one side lacks or whose fields differ; reason is left, right (the side that has it) or fields."""
+    a, b = (d.select(*keys, F.struct(*fields).alias(n)) for d, n in ((left, "a"), (right, "b")))
+    reason = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").when(~F.col("a").eqNullSafe(F.col("b")), "fields")
+    return a.join(b, list(keys), "full").select(*keys, reason.alias("reason")).where("reason is not null")
+
+
+def cyclic_order(rooms: DataFrame, variants: tuple[str, ...]) -> DataFrame:
+    """(room, position, variant): each room runs all variants, starting one further than the room before it."""
+    v = F.array(*map(F.lit, variants))
+    # rooms are few: one row each
+    ranked = rooms.select("room").distinct().withColumn("rank", F.row_number().over(Window.orderBy("room")) - 1)
+    each = ranked.select("room", "rank", F.explode(F.sequence(F.lit(0), F.lit(len(variants) - 1))).alias("position"))
+    return each.select("room", "position", F.element_at(v, (F.pmod(F.col("rank") + F.col("position"), F.lit(len(variants))) + 1).cast("int")).alias("variant"))

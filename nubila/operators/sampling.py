@@ -98,3 +98,11 @@ def crops_until_covered(points: DataFrame, n: int) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"batch": [], "crop": [], "point_id": []})
 
     return points.select("point_id", "batch", "x", "y", "z").groupBy("batch").applyInPandas(run, "batch int, crop long, point_id long")
+
+
+def grid_sample_member(points: DataFrame, size: float, pick: int, seed: int = 0, shift: float = 0.0) -> DataFrame:
+    """Member number pick (by id, from 0) of each voxel; of voxels with fewer points the one that a seeded scramble chooses."""
+    w = Window.partitionBy(*CELL)
+    chance = F.row_number().over(w.orderBy(lcg(F.col("point_id"), seed), "point_id")) - 1
+    cells = with_cells(points, size, shift).withColumns({"rn": F.row_number().over(w.orderBy("point_id")) - 1, "chance": chance, "cnt": F.count("*").over(w)})
+    return cells.where(((F.col("cnt") > pick) & (F.col("rn") == pick)) | ((F.col("cnt") <= pick) & (F.col("chance") == 0))).select(*CELL, "point_id", "cnt")

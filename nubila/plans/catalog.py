@@ -778,3 +778,101 @@ def patches_around(spark, d):
 @query()
 def elastic_distortion(spark, d):
     return windows.elastic(event_points(spark, d), 2.0, 0.4)
+
+
+# set checks, distributions, padding
+
+VARIANTS = ("a", "b", "c")
+
+
+@query(f"WITH {REC}, a AS (SELECT room, method, count(*) AS n FROM rec WHERE k = 8 GROUP BY ALL), b AS (SELECT room, method, count(*) AS n FROM rec WHERE k = 16 GROUP BY ALL) SELECT room, method, least(a.n, b.n) AS common FROM a JOIN b USING (room, method)")
+def multiset_common(spark, d):
+    r = bench_records(spark, d)
+    return records.multiset_common(r.where("k = 8"), r.where("k = 16"), ("room", "method"))
+
+
+@query(f"WITH {REC}, a AS (SELECT DISTINCT room, method FROM rec WHERE k = 8), b AS (SELECT DISTINCT room, method FROM rec WHERE k = 16) SELECT *, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def key_differences(spark, d):
+    r = bench_records(spark, d)
+    return records.key_differences(r.where("k = 8"), r.where("k = 16"), ("room", "method"))
+
+
+@query(f"WITH {REC} SELECT room, method FROM (SELECT DISTINCT room FROM rec) CROSS JOIN (SELECT unnest(['click', 'purchase', 'view']) AS method) EXCEPT SELECT room, method FROM rec")
+def required_methods(spark, d):
+    return records.lacking(bench_records(spark, d), "method", ("click", "purchase", "view"), ("room",))
+
+
+@query(f"WITH {REC}, a AS (SELECT event_id, method, k FROM rec WHERE k < 48), b AS (SELECT event_id, method, CASE WHEN event_id % 7 = 0 THEN k + 1 ELSE k END AS k FROM rec WHERE k > 8) SELECT event_id, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'fields' END AS reason FROM a FULL JOIN b USING (event_id) WHERE a.k IS NULL OR b.k IS NULL OR a.method <> b.method OR a.k <> b.k")
+def identity_mismatches(spark, d):
+    r = bench_records(spark, d)
+    other = r.where("k > 8").withColumn("k", F.when(F.col("event_id") % 7 == 0, F.col("k") + 1).otherwise(F.col("k")))
+    return records.identity_mismatches(r.where("k < 48"), other, ("event_id",), ("method", "k"))
+
+
+@query(f"WITH {REC}, r AS (SELECT room, row_number() OVER (ORDER BY room) - 1 AS rn FROM (SELECT DISTINCT room FROM rec)) SELECT room, p::INT AS position, ['a', 'b', 'c'][((rn + p) % 3 + 1)::INT] AS variant FROM r, range(3) t(p)")
+def cyclic_order(spark, d):
+    return records.cyclic_order(bench_records(spark, d), VARIANTS)
+
+
+POINT_CANDIDATES = f"{COUNTS}, cc AS (SELECT n.batch, n.gx, n.gy, n.gz, sum(m.cnt)::BIGINT AS candidates FROM n JOIN n m ON m.batch = n.batch AND abs(m.gx-n.gx) <= 1 AND abs(m.gy-n.gy) <= 1 AND abs(m.gz-n.gz) <= 1 GROUP BY ALL), pc AS (SELECT c.batch, candidates FROM c JOIN cc USING (batch, gx, gy, gz))"
+
+
+@query(f"WITH {POINT_CANDIDATES} SELECT batch, count(*) AS points, round(avg(candidates), 6) AS mean, min(candidates) AS minimum, max(candidates) AS maximum, quantile_cont(candidates::DOUBLE, 0.05) AS p05, quantile_cont(candidates::DOUBLE, 0.25) AS p25, quantile_cont(candidates::DOUBLE, 0.75) AS p75, quantile_cont(candidates::DOUBLE, 0.95) AS p95, quantile_disc(candidates, 0.5) AS median FROM pc GROUP BY batch")
+def candidate_distribution(spark, d):
+    return cells.candidate_distribution(cells.voxel_counts(event_points(spark, d), EVT)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {POINT_CANDIDATES} SELECT CASE WHEN candidates < 4 THEN 'few' WHEN candidates <= 16 THEN 'some' ELSE 'many' END AS band, count(*) AS points, round(avg(candidates), 6) AS mean FROM pc GROUP BY band")
+def candidate_bands(spark, d):
+    return cells.candidate_bands(cells.voxel_counts(event_points(spark, d), EVT), 4, 16).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {EVT_CELLS}, {_morton_steps('c')} SELECT batch, point_id, row_number() OVER (PARTITION BY batch ORDER BY (sx << 2) | (sy << 1) | sz, point_id) - 1 AS position FROM m5")
+def serialized_order(spark, d):
+    coded = _cells(spark, d).withColumn("code", keys.morton(F.col("gx"), F.col("gy"), F.col("gz")))
+    return cells.serialized_order(coded).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"WITH {EVT_CELLS}, r AS (SELECT *, row_number() OVER (v ORDER BY point_id) - 1 AS rn, row_number() OVER (v ORDER BY (point_id * 1103515245 + 12345 + 5) % 2147483648, point_id) AS ch, count(*) OVER v AS cnt FROM c WINDOW v AS (PARTITION BY batch, gx, gy, gz)) SELECT batch, gx, gy, gz, point_id, cnt FROM r WHERE cnt > 1 AND rn = 1 OR cnt <= 1 AND ch = 1")
+def grid_sample_member(spark, d):
+    return sampling.grid_sample_member(event_points(spark, d), EVT, 1, seed=5)
+
+
+SLOTS = "slots AS (SELECT point_id AS query_id, r AS rank FROM emb, range(1, 5) t(r)), f AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY support_id) AS rank, support_id, d2 FROM hit) WHERE rank <= 4)"
+
+
+@query(f"WITH {BALL}, {SLOTS} SELECT query_id, rank, coalesce(f.support_id, o.support_id) AS support_id, coalesce(f.d2, o.d2) AS d2, f.support_id IS NULL AS is_padding FROM slots LEFT JOIN f USING (query_id, rank) LEFT JOIN (SELECT query_id, support_id, d2 FROM f WHERE rank = 1) o USING (query_id)")
+def ball_padded_first(spark, d):
+    return ball.ball_padded(embedding_points(spark, d), R, 4, pad="first", shift=SHIFT)
+
+
+@query(f"WITH {BALL}, {SLOTS} SELECT query_id, rank, coalesce(support_id, -1) AS support_id, coalesce(d2, 1e10) AS d2, support_id IS NULL AS is_padding FROM slots LEFT JOIN f USING (query_id, rank)")
+def ball_padded_minus_one(spark, d):
+    return ball.ball_padded(embedding_points(spark, d), R, 4, pad="minus_one", shift=SHIFT)
+
+
+@query(f"WITH {EMB}, p AS (SELECT q.point_id AS query_id, s.point_id AS support_id, abs(q.x-s.x)+abs(q.y-s.y)+abs(q.z-s.z) AS distance FROM emb q JOIN emb s ON q.batch = s.batch), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, support_id) AS rank, support_id, distance FROM p WHERE distance < {R}) SELECT * FROM r WHERE rank <= 6")
+def radius_l1(spark, d):
+    return ball.radius_l1(embedding_points(spark, d), R, 6, shift=SHIFT).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {NB} SELECT query_id, round(sum(exp(-d2 / 0.02) * sf0), 6) AS f0, round(sum(exp(-d2 / 0.02) * sf1), 6) AS f1 FROM g GROUP BY query_id")
+def interp_gaussian(spark, d):
+    nn, p = _nn(spark, d)
+    return neighbors.interpolate_given(neighbors.gaussian_weight(nn, 1.0, 0.1), p, FEATURES).select("query_id", *[F.round(f, 6).alias(f) for f in FEATURES])
+
+
+@query(f"WITH {EMB} SELECT batch, 0 AS group_id, point_id, x, y, z, f0, f1 FROM emb")
+def group_all(spark, d):
+    return neighbors.group_all(embedding_points(spark, d), FEATURES)
+
+
+@query(f"WITH {BALL}, {EXACT_PAIRS}, {top_sql('nn', 'pairs', K)}, f AS (SELECT * FROM (SELECT query_id, support_id, row_number() OVER (PARTITION BY query_id ORDER BY support_id) AS r FROM hit) WHERE r <= {K}) SELECT (SELECT count(*) FROM f JOIN nn USING (query_id, support_id)) / (SELECT count(*) FROM f) AS recall, (SELECT count(*) FROM f) / ((SELECT count(*) FROM emb) * {K}) AS valid_fraction")
+def pooled_recall(spark, d):
+    p = embedding_points(spark, d)
+    return metrics.pooled_recall(knn.knn_exact(p, K), ball.ball_query(p, R, K, mode="first", shift=SHIFT), K)
+
+
+@query(f"WITH {NB}, s AS (SELECT avg((ql = sl)::INT) AS same FROM g GROUP BY query_id) SELECT floor(same * 100)::BIGINT AS bin, count(*) AS points FROM s GROUP BY ALL")
+def boundary_histogram(spark, d):
+    return metrics.boundary_histogram(metrics.boundary(*_nn(spark, d)))

@@ -29,7 +29,8 @@ def rows(columns, got):
     return sorted(tuple(cell(r[i]) for i in order) for r in got)
 
 
-CHEAP = ("morton_encode", "voxel_counts", "cell_neighbors", "knn_exact", "knn_grid", "knn_padded_self", "ball_even", "octree_select", "knn_adaptive", "components", "kfold_rollup", "bench_pivot", "bench_ci", "serialized_pool", "grid_sample_parts", "lovasz")
+CHEAP = ("morton_encode", "voxel_counts", "cell_neighbors", "knn_exact", "knn_grid", "knn_padded_self", "ball_even", "octree_select", "knn_adaptive", "components", "kfold_rollup", "bench_pivot", "bench_ci", "serialized_pool", "grid_sample_parts", "lovasz",
+         "multiset_common", "key_differences", "required_methods", "identity_mismatches", "cyclic_order", "candidate_distribution", "candidate_bands", "serialized_order", "grid_sample_member", "ball_padded_first", "ball_padded_minus_one", "radius_l1", "interp_gaussian", "group_all", "pooled_recall", "boundary_histogram")
 
 
 @pytest.mark.parametrize("name", CHEAP)
