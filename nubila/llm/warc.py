@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from .workspace import Workspace, tune
 
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
-#: About how many bytes of records an archive file holds; one file is read by one task.
+#: About how many bytes of payloads an archive file holds: a file takes as many records as have so many on average.
 ARCHIVE_BYTES = 16 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -29,9 +29,9 @@ def with_digests(pages: DataFrame, id_col: str, url_col: str, text_col: str) ->
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(digest, origin, origin_url) of the payloads of at least that many bytes: headers only are shuffled.
+    """(digest, origin, origin_url) of the payloads of at least that many bytes that occur more than once.
 
-    Copies of one payload meet in each map task first.
+    Headers only are shuffled here, and copies of one payload meet in each map task first.
     """
     first = pages.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("o"), F.count("*").alias("c"))
     return first.where("c > 1").select("digest", F.col("o.page_id").alias("origin"), F.col("o.url").alias("origin_url"))
@@ -64,29 +64,70 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of equal payloads of at least ``least`` bytes, the row with the smallest id becomes the response; the others become
     revisit records with fresh headers that refer to it.  Null html is an empty payload; a null url leaves its header
     out; control characters of a url are escaped.  Rows without an id are responses.  A repeated id is written each time.
+
+    Payloads go through one shuffle by digest, unless the decisions are small enough to be broadcast.
     """
     spark = pages.sparkSession
     rows = with_digests(pages, id_col, url_col, text_col)
     resolved = rows.join(resolve(rows, least), "digest", "left")
-    resolved.select(record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0
+    each = max(1, int(ARCHIVE_BYTES // (mean + 1)))
+    resolved.select(record(date).alias("value")).write.option("maxRecordsPerFile", each).option("lineSep", END).option("compression", "gzip").text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(headers with lower-case names, block) of each record."""
-    at = 0
-    while at < len(raw):
+def unpacked(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of a gzip file of one or more members, or of a plain file."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    rest = memoryview(raw)
+    while len(rest):
+        member = zlib.decompressobj(wbits=31)
+        while len(rest) and not member.eof:
+            yield member.decompress(rest[:size])
+            rest = rest[size:]
+        if not member.eof:
+            raise ValueError("a gzip file ends early")
+        if member.unused_data:
+            rest = memoryview(member.unused_data + bytes(rest))
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(headers with lower-case names, block) of each record; of the pieces no more than a record's are held."""
+    raw, at, pieces = bytearray(), 0, iter(pieces)
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        if at:
+            del raw[:at]
+            at = 0
+        raw.extend(piece)
+        return True
+
+    while True:
         head = _HEAD.match(raw, at)
         if head is None:
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(b": ", 1) for x in head[1].split(b"\r\n"))
+            if more():
+                continue
+            if at == len(raw):
+                return
+            raise ValueError("no WARC record where one should begin")
+        fields = dict(x.split(b": ", 1) for x in bytes(head[1]).split(b"\r\n"))
         fields = {k.lower(): v for k, v in fields.items()}
-        end = head.end() + int(fields[b"content-length"])
-        yield fields, raw[head.end() : end]
+        begin, size = head.end() - at, int(fields[b"content-length"])
+        del head  # it would keep raw from growing
+        while len(raw) < at + begin + size + 4 and more():
+            pass
+        end = at + begin + size
         if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end where its length says")
+            raise ValueError(f"record {fields.get(b'warc-record-id')} doesn't end where its length says")
+        yield fields, bytes(raw[at + begin : end])
         at = end + 4
 
 
@@ -99,9 +140,8 @@ def _read(with_payload: bool):
         for batch in batches:
             for i in range(len(batch)):
                 raw = batch.column(0)[i].as_py()
-                raw = zlib.decompress(raw, wbits=31) if raw[:2] == b"\x1f\x8b" else raw
                 rows: list[tuple] = []
-                for fields, block in parse(raw):
+                for fields, block in parse(unpacked(raw)):
                     kind = fields[b"warc-type"].decode()
                     said = fields[b"warc-payload-digest"].removeprefix(b"sha256:").decode()
                     if kind == "response" and hashlib.sha256(block).hexdigest() != said:

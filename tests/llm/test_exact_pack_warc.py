@@ -76,3 +76,12 @@ def test_pack_long_runs_as_the_library_does():
     assert encode.fast is not None
     for text in ("a" + " " * 1_000_000 + "b", " " * 4999 + "x", "x" + "\n \t" * 3000, "abcdefghij" * 100_000):
         assert encode(text) == np.array(encode.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_archives_have_a_size(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " + "payload " * (i % 50) + "é\r\n\r\n") for i in range(300)] + [(300, "big", "x" * 3_000_000)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/a")
+    assert len(list((tmp_path / "a").glob("part-*"))) > 3
+    got = {r.page_id: r.payload for r in warc.read_archives(spark, f"{tmp_path}/a", with_payload=True).collect()}
+    assert {i: h.encode() for i, _, h in pages.collect()} == {i: bytes(p) for i, p in got.items()}
