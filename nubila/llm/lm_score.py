@@ -3,9 +3,8 @@
 Both models are interpolated bigram models over one shared vocabulary, with the same smoothing and the same weights.
 The counts cover every word of both tables.
 
-counted_difference() counts each word and each pair of words for itself, in tables that grow with the corpus; the vocabulary
-is the words of both tables.  Words and pairs are told apart by 64-bit hashes.  cross_entropy_difference() is the
-form of fixed size, for which hashes name slots that words and pairs share; no query uses it.
+Each word and each pair of words is counted for itself, in tables that grow with the corpus; the vocabulary is the words of
+both tables.  Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,86 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counts import slot_counts
 from .packed import from_planes, planes, steps
 from .rows import real_id, row_key
 from .textcore import U, Words, chunks, mix
-from .workspace import Workspace, tune
+from .workspace import Workspace
 
-#: Slots of words and of word pairs (both powers of two), the pairs' weight, and what is added to each word's count.
-WORDS, PAIRS, WEIGHT, ADD = 1 << 19, 1 << 20, 0.5, 0.1
+#: The pairs' weight, and what is added to each word's count.
+WEIGHT, ADD = 0.5, 0.1
 _START = U(0x2545F4914F6CDD1D)
 
-
-def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of the word before it (or a row's start), and of the pair."""
-    h = words.hashes
-    before = np.empty(len(h), U)
-    before[1:] = h[:-1]
-    first = words.at[:-1][np.diff(words.at) > 0]
-    before[first] = _START
-    of = lambda x, n: (x >> U(40)).astype(np.int64) & (n - 1)
-    return of(h, WORDS), of(before, WORDS), of(mix(h * U(0x9E3779B97F4A7C15) + before), PAIRS)
-
-
-def _add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    """Add a batch's words, then contexts, then pairs."""
-    for _, _, data, off in chunks(batch.column(0)):
-        w, c, p = slots(Words(data, off, lower=True))
-        total[:WORDS] += np.bincount(w, minlength=WORDS)
-        total[WORDS : 2 * WORDS] += np.bincount(c, minlength=WORDS)
-        total[2 * WORDS :] += np.bincount(p, minlength=PAIRS)
-
-
-def count(texts: DataFrame) -> np.ndarray:
-    """Counts by slot over all texts (one column)."""
-    return slot_counts(texts, 2 * WORDS + PAIRS, _add).astype(float)
-
-
-def losses(model: np.ndarray, w: np.ndarray, c: np.ndarray, p: np.ndarray, weight: float = WEIGHT, add: float = ADD) -> np.ndarray:
-    """-log2 of each word's probability after the word before it."""
-    words, contexts, pairs = model[:WORDS], model[WORDS : 2 * WORDS], model[2 * WORDS :]
-    alone = (words[w] + add) / (words.sum() + add * WORDS)
-    after = np.minimum(pairs[p] / np.maximum(contexts[c], 1), 1)
-    return -np.log2(weight * after + (1 - weight) * alone)
-
-
-def _score(target, background, weight: float, add: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in chunks(batch.column(1)):
-                words = Words(data, off, lower=True)
-                at = slots(words)
-                n = np.diff(words.at)
-                means = []
-                for model in (target.value, background.value):
-                    total = np.concatenate([[0.0], np.cumsum(losses(model, *at, weight, add), dtype=np.float64)])
-                    means.append(np.where(n > 0, (total[words.at[1:]] - total[words.at[:-1]]) / np.maximum(n, 1), np.nan))
-                arrays = [pa.array(m, from_pandas=True) for m in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *arrays], ["did", "n_tokens", "target_bits", "background_bits", "score"])
-
-    return run
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", weight: float = WEIGHT, add: float = ADD) -> DataFrame:
-    """(doc_id, n_tokens, target_bits, background_bits, score), one row per row of docs.
-
-    target_bits and background_bits are mean losses per token under a model of ``target`` and one of ``docs``; score is their
-    difference, lower for documents that are more like the target.
-
-    Null or empty text, or text without words: n_tokens 0 and null losses.  Null ids stay null; repeated rows count and
-    are scored each.  An empty target gives a model that knows no word: all losses alike.  Other columns are
-    ignored.
-    """
-    tune(docs.sparkSession)
-    text = F.col(text_col).cast("string").alias("text")
-    share = docs.sparkSession.sparkContext.broadcast
-    models = [share(count(t).astype(np.float32)) for t in (target.select(F.col(target_col).cast("string").alias("text")), docs.select(text))]
-    src = docs.select(row_key(F.col(id_col)).alias("did"), text)
-    out = src.mapInArrow(_score(*models, weight, add), "did long, n_tokens long, target_bits double, background_bits double, score double")
-    return out.select(real_id().alias("doc_id"), *out.columns[1:])
-
-
 #: Bytes of text of a block of rows, and words of all blocks for each part of the keys.
 BLOCK_BYTES, PART_WORDS = 8 << 20, 2_000_000
 
@@ -232,7 +160,13 @@ def _scored(words: int, totals: tuple[int, int], weight: float, add: float):
 
 
 def counted_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", weight: float = WEIGHT, add: float = ADD) -> DataFrame:
-    """The columns of cross_entropy_difference(), from the counts of every word and pair; add goes to each word of either table.
+    """(doc_id, n_tokens, target_bits, background_bits, score), one row per row of docs.
+
+    target_bits and background_bits are mean losses per token under a model of ``target`` and one of ``docs``; score is their
+    difference, lower for documents that are more like the target.  ``add`` goes to each word of either table.
+
+    Null or empty text, or text without words: n_tokens 0 and null losses.  Null ids stay null; repeated rows count and
+    are scored each.  An empty target gives a model that knows no word: all losses alike.  Other columns are ignored.
 
     Both tables are written once as blocks of word numbers.  A block sends each of its distinct words and pairs with
     its count to the part of the keys' range that it falls in, and gets the whole counts back in the same order, so a common

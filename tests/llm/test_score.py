@@ -44,49 +44,6 @@ def test_likeness_estimates_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.13
 
 
-def test_lm_scores(spark):
-    rows = corpus()
-    target = [(1, rows[40][1]), (2, None), (3, rows[45][1])]
-    word = {w.encode(): int(Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hashes[0]) for r in rows for w in words(lowered(r[1]))}
-    full = (1 << 64) - 1
-
-    def mixed(x):
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
-        return x ^ x >> 31
-
-    def grams(text):
-        before = int(lm_score._START)
-        for w in words(lowered(text)):
-            h = word[w.encode()]
-            yield (h >> 40) % lm_score.WORDS, (before >> 40) % lm_score.WORDS, (mixed((h * 0x9E3779B97F4A7C15 + before) & full) >> 40) % lm_score.PAIRS
-            before = h
-
-    def model(texts):
-        w, c, p = Counter(), Counter(), Counter()
-        for t in texts:
-            for a, b, d in grams(t):
-                w[a] += 1
-                c[b] += 1
-                p[d] += 1
-        n = sum(w.values())
-        return lambda a, b, d: -math.log2(lm_score.WEIGHT * min(p[d] / max(c[b], 1), 1) + (1 - lm_score.WEIGHT) * (w[a] + lm_score.ADD) / (n + lm_score.ADD * lm_score.WORDS))
-
-    models = model([t for _, t in target]), model([r[1] for r in rows])
-    got = lm_score.cross_entropy_difference(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(target, "id long, text string")).collect()
-    rounded = lambda x: None if x is None else round(x, 3)
-    want = Counter()
-    for r in rows:
-        g = list(grams(r[1]))
-        t, b = ((sum(m(*x) for x in g) / len(g)) if g else None for m in models)
-        want[r[0], len(g), rounded(t), rounded(b), rounded(t - b) if g else None] += 1
-    mine = Counter((r.doc_id, r.n_tokens, rounded(r.target_bits), rounded(r.background_bits), rounded(r.score)) for r in got)
-    key = lambda k: tuple((x is not None, x or 0) for x in k)
-    for a, b in zip(sorted(mine.elements(), key=key), sorted(want.elements(), key=key)):
-        assert all(x == y or abs(x - y) < 0.003 for x, y in zip(a, b)), (a, b)
-    assert lm_score.cross_entropy_difference(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "text string")).collect() == []
-
-
 def test_lm_scores_by_the_words_themselves(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "BLOCK_BYTES", 5000)
     rows = corpus()
