@@ -6,7 +6,6 @@ import numpy as np
 
 from corpus import SCHEMA, corpus, lowered, sha, shingle_set, words
 from nubila.llm import fingerprints, lm_score, toxicity
-from nubila.llm.textcore import Words
 
 
 def test_fingerprints(spark):
