@@ -8,15 +8,26 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REGISTRY: dict[str, Callable] = {}
 
-def cloud() -> WindowSpec:
-    """All points of a row's cloud."""
-    return Window.partitionBy("batch")
 
+def with_cloud(df: DataFrame, **values: Column) -> tuple[DataFrame, list[str]]:
+    """df with aggregates of each row's cloud as further columns, and these columns' names.
+
+    The clouds' rows are combined in the map tasks and joined back, so a cloud is never in one task as a whole; Spark
+    broadcasts the few rows of aggregates where their size at run time allows it.
+    """
+    own = [f"__cloud_{k}" for k in values]
+    small = df.groupBy(F.col("batch").alias("__cloud")).agg(*[v.alias(n) for n, v in zip(own, values.values())])
+    return df.join(small, F.col("batch").eqNullSafe(F.col("__cloud")), "left").drop("__cloud"), own
+
+
+def box(names: tuple[str, ...]) -> dict[str, Column]:
+    """Least and greatest values of columns: lo_name and hi_name."""
+    return {f"{k}_{n}": f(n) for n in names for k, f in (("lo", F.min), ("hi", F.max))}
 
 
 def register(f: Callable) -> Callable:
@@ -42,20 +53,23 @@ def xyz(f: Callable[[str], Column]) -> dict[str, Column]:
 
 @register
 def positive_shift(df: DataFrame) -> DataFrame:
-    return df.withColumns(xyz(lambda a: F.col(a) - F.min(a).over(cloud())))
+    out, own = with_cloud(df, **{a: F.min(a) for a in "xyz"})
+    return out.withColumns(xyz(lambda a: F.col(a) - F.col(f"__cloud_{a}"))).drop(*own)
 
 
 @register
 def center_shift(df: DataFrame, apply_z: bool = True) -> DataFrame:
-    mid = lambda a: (F.min(a).over(cloud()) + F.max(a).over(cloud())) / 2
-    return df.withColumns({"x": F.col("x") - mid("x"), "y": F.col("y") - mid("y"), "z": F.col("z") - F.min("z").over(cloud()) if apply_z else F.col("z")})
+    out, own = with_cloud(df, **box(("x", "y", "z")))
+    mid = lambda a: (F.col(f"__cloud_lo_{a}") + F.col(f"__cloud_hi_{a}")) / 2
+    return out.withColumns({"x": F.col("x") - mid("x"), "y": F.col("y") - mid("y"), "z": F.col("z") - F.col("__cloud_lo_z") if apply_z else F.col("z")}).drop(*own)
 
 
 @register
 def normalize_coord(df: DataFrame) -> DataFrame:
-    c = df.withColumns(xyz(lambda a: F.col(a) - F.avg(a).over(cloud())))
-    m = F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).over(cloud())
-    return c.withColumn("__m", m).withColumns(xyz(lambda a: F.col(a) / F.col("__m"))).drop("__m")
+    out, own = with_cloud(df, **{a: F.avg(a) for a in "xyz"})
+    out = out.withColumns(xyz(lambda a: F.col(a) - F.col(f"__cloud_{a}"))).drop(*own)
+    out, own = with_cloud(out, m=F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))))
+    return out.withColumns(xyz(lambda a: F.col(a) / F.col("__cloud_m"))).drop(*own)
 
 
 @register
@@ -93,13 +107,15 @@ def rotated(df: DataFrame, angle: Column, axis: str = "z", center: bool = True)
     """Rotate points (around the middle of their cloud's box) and normals by an angle."""
     a, b = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}[axis]
     c, s = F.cos(angle), F.sin(angle)
-    out = {}
+    out, own = {}, []
+    if center:
+        df, own = with_cloud(df, **box((a, b)))
     for p, q, mid in ((a, b, center), (f"n{a}", f"n{b}", False)):
         if p in df.columns and q in df.columns:
-            m = [(F.min(v).over(cloud()) + F.max(v).over(cloud())) / 2 if mid else F.lit(0.0) for v in (p, q)]
+            m = [(F.col(f"__cloud_lo_{v}") + F.col(f"__cloud_hi_{v}")) / 2 if mid else F.lit(0.0) for v in (p, q)]
             u, v = F.col(p) - m[0], F.col(q) - m[1]
             out |= {p: u * c - v * s + m[0], q: u * s + v * c + m[1]}
-    return df.withColumns(out)
+    return df.withColumns(out).drop(*own)
 
 
 @register
@@ -135,9 +151,10 @@ def clipped(c: Column) -> Column:
 
 @register
 def chromatic_auto_contrast(df: DataFrame, blend: float = 0.5) -> DataFrame:
-    lo, hi = (lambda c: F.min(c).over(cloud())), (lambda c: F.max(c).over(cloud()))
+    df, own = with_cloud(df, **box(("r", "g", "b")))
+    lo, hi = (lambda c: F.col(f"__cloud_lo_{c}")), (lambda c: F.col(f"__cloud_hi_{c}"))
     stretch = lambda c: (F.col(c) - lo(c)) * 255 / F.when(hi(c) > lo(c), hi(c) - lo(c)).otherwise(1)
-    return df.withColumns({c: F.col(c) * (1 - blend) + stretch(c) * blend for c in "rgb"})
+    return df.withColumns({c: F.col(c) * (1 - blend) + stretch(c) * blend for c in "rgb"}).drop(*own)
 
 
 @register
@@ -167,7 +184,8 @@ def color_gray_scale(df: DataFrame) -> DataFrame:
 def adjust_color(df: DataFrame, brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0, hue: float = 0.0) -> DataFrame:
     """Blend with black, with the cloud's mean gray, with gray, and turn the hue."""
     df = df.withColumns({c: clipped(F.col(c) * brightness) for c in "rgb"})
-    df = df.withColumn("__g", F.avg(gray()).over(cloud())).withColumns({c: clipped(F.col(c) * contrast + F.col("__g") * (1 - contrast)) for c in "rgb"})
+    df, _ = with_cloud(df, g=F.avg(gray()))
+    df = df.withColumns({c: clipped(F.col(c) * contrast + F.col("__cloud_g") * (1 - contrast)) for c in "rgb"}).drop("__cloud_g")
     df = df.withColumn("__g", gray()).withColumns({c: clipped(F.col(c) * saturation + F.col("__g") * (1 - saturation)) for c in "rgb"}).drop("__g")
     return hue_saturation(df, hue, 1.0) if hue else df
 
