@@ -87,35 +87,154 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
-_LINE = "did long, th long, line int, c1 long, c2 long, n int, s1 long, s2 long, skip int, tokens array<long>"
+#: Numbers of a line or class: its (first) place, its lines, the hashes of its set, size and signature of the set, and
+#: how many tokens of its prefix follow the first ``skip`` ones, which occur once and join nothing.
+_FIELDS = ("did", "th", "line", "copies", "c1", "c2", "n", "s1", "s2", "skip", "size")
+_CLASSES = "part int, rows long, " + ", ".join(f"{f} binary" for f in _FIELDS) + ", prefix long, tokens binary"
+_PLACE = "did long, th long, line int, c1 long, c2 long"
+_BRIEF = ("rows", "did", "th", "line", "c1", "c2", "n", "copies")
+#: Lines that a task groups before it sends them on, classes in a packed row, and tokens of the lines of one part.
+HELD, PACKED, LOAD = 1 << 16, 1 << 14, 1 << 21
 
 
-def _lines(shared):
-    """Lines with their class hashes; a class's prefix comes once per chunk, without the first ``skip`` tokens, which occur once and join nothing."""
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions begin .. begin + size - 1 of each entry, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _taken(t: dict, rows: np.ndarray) -> dict:
+    begin = np.cumsum(t["size"]) - t["size"]
+    return {**{f: t[f][rows] for f in _FIELDS}, "tokens": t["tokens"][_spread(begin[rows], t["size"][rows])]}
+
+
+def _joined(tables: list[dict]) -> dict:
+    return {f: np.concatenate([t[f] for t in tables]) for f in (*_FIELDS, "tokens")}
+
+
+def _grouped(t: dict) -> dict:
+    """A row per class: its first place and the number of its lines."""
+    order = np.lexsort((t["line"], t["th"], t["did"], t["c2"], t["c1"]))
+    c1, c2 = t["c1"][order], t["c2"][order]
+    begin = np.flatnonzero(np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
+    return {**_taken(t, order[begin]), "copies": np.add.reduceat(t["copies"][order], begin)}
+
+
+def _pack(t: dict, part: int) -> dict:
+    return {"part": part, "rows": len(t["c1"]), **{f: planes(t[f].view(U)) for f in _FIELDS if f in t}, "prefix": len(t.get("tokens", ())), "tokens": planes(t["tokens"]) if "tokens" in t else None}
+
+
+def _unpack(row: dict) -> dict:
+    t = {f: from_planes(row[f], row["rows"]).view(np.int64) for f in _FIELDS if f in row}
+    if "tokens" in row:
+        t["tokens"] = from_planes(row["tokens"], row["prefix"])
+    return t
+
+
+def _arrow(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [x.split(" ") for x in _CLASSES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in names], [name for name, _ in names])
+
+
+def _lines(shared, parts: int):
+    """Packed rows: places and class hashes of all lines (part -1), and the classes among them, dealt to parts by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, classes, held = [], [], 0
         for batch in batches:
-            for lo, hi, data, off in chunks(batch.column(2)):
+            did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, _, data, off in chunks(batch.column(2)):
                 row, number, at, token = line_tokens(data, off, shared.value)
+                if not len(row):
+                    continue
                 n = np.diff(at)
-                c1, c2 = class_hashes(at, token)
-                skip = np.concatenate([[0], np.cumsum(token >> U(56) == 0)])
-                skip = skip[at[1:]] - skip[at[:-1]]
-                told = np.zeros(len(n), bool)
-                told[np.unique(c1, return_index=True)[1]] = True
-                size = np.where(told, np.maximum(prefix_length(n) - skip, 0), 0)
-                ends = np.cumsum(size)
-                inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-                tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(token[np.repeat(at[:-1] + skip, size) + inside].view(np.int64)), mask=pa.array(~told))
-                ids = pa.array(row + lo)
-                numbers = (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64), n.astype(np.int32), *[x.view(np.int64) for x in signatures(at, token)], skip.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x) for x in numbers], tokens], [x.split(" ")[0] for x in _LINE.split(", ")])
+                rare = np.concatenate([[0], np.cumsum(token >> U(56) == 0)])
+                skip = rare[at[1:]] - rare[at[:-1]]
+                size = np.maximum(prefix_length(n) - skip, 0)
+                hashes = [x.view(np.int64) for x in (*class_hashes(at, token), *signatures(at, token))]
+                columns = (did[lo + row], th[lo + row], number.astype(np.int64), np.ones(len(n), np.int64), *hashes[:2], n, *hashes[2:], skip, size)
+                t = dict(zip(_FIELDS, columns), tokens=token[_spread(at[:-1] + skip, size)])
+                places.append({f: t[f] for f in ("did", "th", "line", "c1", "c2")})
+                classes.append(_grouped(t))
+                held += len(n)
+                if held >= HELD:
+                    yield flush(places, classes)
+                    places, classes, held = [], [], 0
+        if held:
+            yield flush(places, classes)
+
+    def flush(places: list[dict], classes: list[dict]) -> pa.RecordBatch:
+        out = [_pack({f: np.concatenate([t[f] for t in places]) for f in places[0]}, -1)]
+        t = _grouped(_joined(classes))
+        part = (mix(t["c1"].view(U)) % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        out += [_pack(_taken(t, order[bounds[k] : bounds[k + 1]]), int(k)) for k in np.flatnonzero(np.diff(bounds))]
+        return _arrow(out)
+
+    return run
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of classes, from packed rows that come sorted by part."""
+
+    def packed(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        t = _grouped(_joined(held))
+        for lo in range(0, len(t["c1"]), PACKED):
+            yield _arrow([_pack(_taken(t, np.arange(lo, min(lo + PACKED, len(t["c1"])))), 0)])
+
+    now, held, size = None, [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != now and held:
+                yield from packed(held)
+                held, size = [], 0
+            now = row["part"]
+            held.append(_unpack(row))
+            size += row["rows"]
+            if size > PART:  # copies from many tasks
+                held = [_grouped(_joined(held))]
+                size = max(0, len(held[0]["c1"]) - PART)
+    if held:
+        yield from packed(held)
+
+
+def _told(keys: KeyFilter | None, copied: bool):
+    """The classes that the filter lets through and, with copied, those of several lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = _unpack(row)
+                keep = (t["copies"] > 1) & copied
+                if keys is not None:
+                    keep |= keys.test(t["c1"])
+                t["line"] = t["line"].astype(np.int32)
+                names = ("did", "th", "line", "c1", "c2", "n", "copies")
+                yield pa.RecordBatch.from_arrays([pa.array(t[f][keep]) for f in names], list(names))
+
+    return run
+
+
+def _spots(keys: KeyFilter):
+    """The places of lines whose class the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = _unpack(row)
+                keep = keys.test(t["c1"])
+                t["line"] = t["line"].astype(np.int32)
+                names = ("did", "th", "line", "c1", "c2")
+                yield pa.RecordBatch.from_arrays([pa.array(t[f][keep]) for f in names], list(names))
 
     return run
 
 
 def _load(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    total += np.bincount(_token_slot(batch.column(0).flatten().to_numpy().view(U)), minlength=SLOTS)
+    for row in batch.to_pylist():
+        total += np.bincount(_token_slot(from_planes(row["tokens"], row["prefix"])), minlength=SLOTS)
 
 
 def _token_slot(token: np.ndarray) -> np.ndarray:
@@ -134,7 +253,7 @@ SHARES = 2
 _PACKED = "part int, n long, token binary, block binary, c1 binary, did binary, size binary, at binary, s1 binary, s2 binary, role binary"
 
 
-def _dealt(parts: int, share: int, blocks, asking=None, wanted=None):
+def _dealt(parts: int, share: int, shares: int, blocks, asking=None, wanted=None):
     """Postings of a share of the classes' prefix tokens, packed by part.
 
     blocks: for each slot, in how many blocks its tokens' postings are compared.  asking and
@@ -143,44 +262,47 @@ def _dealt(parts: int, share: int, blocks, asking=None, wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c1, did, n, s1, s2, skip = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            size = np.diff(batch.column(6).offsets.to_numpy().astype(np.int64))
-            token = batch.column(6).flatten().to_numpy().view(U)
-            mine = mix(token) % U(SHARES) == U(share)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + skip[row]
-            token, row, at = token[mine], row[mine], at[mine]
-            if wanted is not None:
-                keep = wanted.test(token.view(np.int64))
-                token, row, at = token[keep], row[keep], at[keep]
-            width = blocks.value[_token_slot(token)].astype(np.int64)
-            asks = asking.test(c1)[row] if asking is not None else np.ones(len(row), bool)
-            # of a token in several blocks, an asking posting goes to the pairs of blocks (own, any) and an asked one to (any, own)
-            own = (mix(c1.view(U)[row]) % width.astype(U)).astype(np.int64)
-            whole = np.flatnonzero(width == 1)
-            which, block, role = [whole], [np.zeros(len(whole), np.int64)], [np.where(asks[whole], ASKS | ASKED, ASKED)]
-            for kind, some in ((ASKS, np.flatnonzero((width > 1) & asks)), (ASKED, np.flatnonzero(width > 1))):
-                times = width[some]
-                i = np.repeat(some, times)
-                other = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-                which.append(i)
-                block.append(own[i] * width[i] + other if kind == ASKS else other * width[i] + own[i])
-                role.append(np.full(len(i), kind))
-            i, block, role = np.concatenate(which), np.concatenate(block), np.concatenate(role)
-            part = (mix(token[i] + block.astype(U)) % U(parts)).astype(np.int64)
-            order = np.lexsort((token[i], part))
-            i, block, role, part = i[order], block[order], role[order], part[order]
-            r = row[i]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            out = {k.split(" ")[0]: [] for k in _PACKED.split(", ")}
-            columns = (block, c1[r], did[r], n[r], at[i], s1[r], s2[r], (ASKS | ASKED) - role)
-            for k in np.flatnonzero(np.diff(bounds)):
-                cut = slice(bounds[k], bounds[k + 1])
-                packed = (steps(token[i[cut]]), *[planes(x[cut].astype(np.int64).view(U)) for x in columns])
-                for name, v in zip(out, (int(k), int(bounds[k + 1] - bounds[k]), *packed)):
-                    out[name].append(v)
-            kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k.split(" ")[1]]) for v, k in zip(out.values(), _PACKED.split(", "))], list(out))
+            for packed in batch.to_pylist():
+                yield deal(_unpack(packed))
+
+    def deal(t: dict) -> pa.RecordBatch:
+        c1, did, n, s1, s2, skip, size = (t[f] for f in ("c1", "did", "n", "s1", "s2", "skip", "size"))
+        token = t["tokens"]
+        mine = mix(token) % U(shares) == U(share)
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + skip[row]
+        token, row, at = token[mine], row[mine], at[mine]
+        if wanted is not None:
+            keep = wanted.test(token.view(np.int64))
+            token, row, at = token[keep], row[keep], at[keep]
+        width = blocks.value[_token_slot(token)].astype(np.int64)
+        asks = asking.test(c1)[row] if asking is not None else np.ones(len(row), bool)
+        # of a token in several blocks, an asking posting goes to the pairs of blocks (own, any) and an asked one to (any, own)
+        own = (mix(c1.view(U)[row]) % width.astype(U)).astype(np.int64)
+        whole = np.flatnonzero(width == 1)
+        which, block, role = [whole], [np.zeros(len(whole), np.int64)], [np.where(asks[whole], ASKS | ASKED, ASKED)]
+        for kind, some in ((ASKS, np.flatnonzero((width > 1) & asks)), (ASKED, np.flatnonzero(width > 1))):
+            times = width[some]
+            i = np.repeat(some, times)
+            other = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            which.append(i)
+            block.append(own[i] * width[i] + other if kind == ASKS else other * width[i] + own[i])
+            role.append(np.full(len(i), kind))
+        i, block, role = np.concatenate(which), np.concatenate(block), np.concatenate(role)
+        part = (mix(token[i] + block.astype(U)) % U(parts)).astype(np.int64)
+        order = np.lexsort((token[i], part))
+        i, block, role, part = i[order], block[order], role[order], part[order]
+        r = row[i]
+        bounds = np.searchsorted(part, np.arange(parts + 1))
+        out = {k.split(" ")[0]: [] for k in _PACKED.split(", ")}
+        columns = (block, c1[r], did[r], n[r], at[i], s1[r], s2[r], (ASKS | ASKED) - role)
+        for k in np.flatnonzero(np.diff(bounds)):
+            cut = slice(bounds[k], bounds[k + 1])
+            packed = (steps(token[i[cut]]), *[planes(x[cut].astype(np.int64).view(U)) for x in columns])
+            for name, v in zip(out, (int(k), int(bounds[k + 1] - bounds[k]), *packed)):
+                out[name].append(v)
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[k.split(" ")[1]]) for v, k in zip(out.values(), _PACKED.split(", "))], list(out))
 
     return run
 
@@ -237,7 +359,7 @@ def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: n
 
 
 def _candidates(low: int, high: int):
-    """Of each asking posting's candidates, earliest documents first, those from low to high, and a mark (token, y null) where there are more."""
+    """Of each asking posting's candidates, earliest documents first, those from low to high, with the bits that their signatures differ in, and a mark (token, y null) where there are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -268,8 +390,10 @@ def _candidates(low: int, high: int):
             nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
             mine = (nth >= low) & (nth < high)
             more = nth == high
-            yield pa.RecordBatch.from_arrays([pa.array(c1[x[mine]].view(np.int64)), pa.array(c1[y[mine]].view(np.int64)), pa.nulls(int(mine.sum()), pa.int64())], ["x", "y", "token"])
-            yield pa.RecordBatch.from_arrays([pa.array(c1[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(token[x[more]].view(np.int64))], ["x", "y", "token"])
+            names = ["x", "y", "token", "apart"]
+            bits = np.bitwise_count(s1[x[mine]] ^ s1[y[mine]]) + np.bitwise_count(s2[x[mine]] ^ s2[y[mine]])
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[mine]].view(np.int64)), pa.array(c1[y[mine]].view(np.int64)), pa.nulls(int(mine.sum()), pa.int64()), pa.array(bits.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c1[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int64()), pa.array(token[x[more]].view(np.int64)), pa.nulls(int(more.sum()), pa.int32())], names)
 
     return run
 
@@ -311,45 +435,39 @@ def _sets(ranks, classes: KeyFilter, docs: KeyFilter):
 
 def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     """(did, th, gone array<int>): numbers of the lines that resemble an earlier one, by document."""
-    ranks = ws.spark.sparkContext.broadcast(rarity(slot_counts(src.select("text"), SLOTS, _count)))
-    lines = ws.save(src.select("did", "th", "text").mapInArrow(_lines(ranks), _LINE), "lines")
-    place = F.struct("did", "th", "line")
-    lead = F.first(F.when(F.col("tokens").isNotNull(), F.struct("n", "s1", "s2", "skip", "tokens")), ignorenulls=True)
-    classes = ws.save(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), lead.alias("lead")).select("c1", "c2", "first", "copies", "lead.*"), "classes")
-    full, lines = lines, ws.save(lines.select("did", "th", "line", "c1", "c2"), "places")
-    ws.drop(full)
-    leading = classes.where(F.size("tokens") > 0).select("c1", F.col("first.did").alias("did"), "n", "s1", "s2", "skip", "tokens")
-    # the load only balances the parts, so every 16th class tells it
-    load = 16 * slot_counts(leading.where(F.pmod("c1", F.lit(16)) == 0).select("tokens"), SLOTS, _load)
+    counts = slot_counts(src.select("text"), SLOTS, _count)
     width = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(width, -(-int(counts.sum()) // LOAD))
+    ranks = ws.spark.sparkContext.broadcast(rarity(counts))
+    lines = ws.save(src.select("did", "th", "text").mapInArrow(_lines(ranks, parts), _CLASSES), "lines")
+    classes = lines.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_classes, _CLASSES)
+    classes = ws.save(classes, "classes")
+    load = slot_counts(classes.select("prefix", "tokens"), SLOTS, _load)
     parts = max(width, -(-int(load.sum()) // (PART * SHARES)))
     # a slot far above the mean holds a token of very many lines
     blocks = ws.spark.sparkContext.broadcast(np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535).astype(np.uint16))
-    gone, asking, wanted, low, high = None, None, None, 0, FIRST
+    gone, asking, wanted, low, high, shares = None, None, None, 0, FIRST, SHARES
     while True:
         pairs = None
-        for share in range(SHARES):
-            dealt = leading.mapInArrow(_dealt(parts, share, blocks, asking, wanted), _PACKED)
-            found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(low, high), "x long, y long, token long")
-            found = ws.save(found.groupBy("x", "y", "token").agg(F.count("*").alias("c")), "pairs")
+        for share in range(shares):
+            dealt = classes.mapInArrow(_dealt(parts, share, shares, blocks, asking, wanted), _PACKED)
+            found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(low, high), "x long, y long, token long, apart int")
+            found = ws.save(found.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")), "pairs")
             pairs = found if pairs is None else pairs.unionByName(found)
             ws.release()
-        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.sum("c").alias("c")), "together")
+        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")) if shares > 1 else pairs, "together")
         together = pairs.where("y IS NOT NULL")
         sets = _sets_of(ws, src, ranks, classes, together)
         if sets is not None:
-            likely = ws.save(_likely(together, sets), "likely")
+            # the nearest signature first, the others only where that one isn't similar after all
+            best = together.groupBy("x").agg(F.min_by("y", "apart").alias("y"))
+            found = ws.save(_similar(best, sets), "found")
+            gone = found if gone is None else gone.unionByName(found)
             ws.release()
-            best = likely.groupBy("x").agg(F.max(F.struct("c", "y")).alias("best")).select("x", "best.y")
-            # one likely pair each, all others only where that one isn't similar after all
-            for now in (best, None):
-                if now is None:
-                    now = ws.save(likely.join(gone.select(F.col("c1").alias("x")), "x", "left_anti").select("x", "y"), "other")
-                    if now.isEmpty():
-                        break
-                found = ws.save(_similar(now, sets), "found")
-                ws.release()
-                gone = found if gone is None else gone.unionByName(found)
+            rest = together.select("x", "y").join(gone.select(F.col("c1").alias("x")), "x", "left_anti")
+            likely = ws.save(_likely(rest, sets), "likely")
+            if not likely.isEmpty():
+                gone = gone.unionByName(ws.save(_similar(likely, sets), "found"))
             ws.drop(sets, likely)
         rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"), "token")
         rest = ws.save(rest.join(gone, "c1", "left_anti") if gone is not None else rest, "asking")
@@ -359,25 +477,31 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
             break
         asking, wanted = KeyFilter(rest, "c1", count), KeyFilter(rest, "token", count)
         ws.drop(rest)
-        low, high = high, high * (1 + MORE)
-    known = classes.select("c1", "c2", "first", "copies")
+        low, high, shares = high, high * (1 + MORE), 1
+    place = F.struct("did", "th", "line")
+    removed = KeyFilter(gone, "c1", gone.count()) if gone is not None else None
+    known = classes.select(*_BRIEF).mapInArrow(_told(removed, True), _PLACE + ", n long, copies long").select("c1", "c2", place.alias("first"), "copies")
     known = known.join(gone.withColumn("resembles", F.lit(True)), ["c1", "c2"], "left") if gone is not None else known.withColumn("resembles", F.lit(False))
-    known = known.withColumn("resembles", F.coalesce("resembles", F.lit(False))).where("copies > 1 or resembles")
-    hit = lines.select("did", "th", "line", "c1", "c2").join(known, ["c1", "c2"]).where(F.col("resembles") | (place != F.col("first")))
+    known = ws.save(known.withColumn("resembles", F.coalesce("resembles", F.lit(False))).where("copies > 1 or resembles"), "known")
+    spots = lines.where("part < 0").select("rows", "did", "th", "line", "c1", "c2").mapInArrow(_spots(KeyFilter(known, "c1", known.count())), _PLACE)
+    hit = spots.join(known, ["c1", "c2"]).where(F.col("resembles") | (place != F.col("first")))
     out = ws.save(hit.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "gone")
-    ws.drop(lines, classes)
+    ws.drop(lines, classes, known)
     return out
 
 
 def _sets_of(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
     """(c1, c2, first, n, tokens, brief) of the classes in pairs (x, y): whole sets, read from the texts again."""
-    ends = pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct()
-    involved = ws.save(ends.join(classes.select("c1", "c2", "first", "n"), "c1"), "involved")
-    count = involved.count()
+    ends = ws.save(pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct(), "ends")
+    count = ends.count()
     if not count:
-        ws.drop(involved)
+        ws.drop(ends)
         return None
-    thin = KeyFilter(involved, "c1", count), KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
+    inside = KeyFilter(ends, "c1", count)
+    told = classes.select(*_BRIEF).mapInArrow(_told(inside, False), _PLACE + ", n long, copies long")
+    involved = ws.save(ends.join(told, "c1").select("c1", "c2", F.struct("did", "th", "line").alias("first"), "n"), "involved")
+    ws.drop(ends)
+    thin = inside, KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
     read = src.select("did", "th", "text").mapInArrow(_sets(ranks, *thin), "did long, th long, line int, c1 long, c2 long, tokens array<long>")
     # a class is told by the line at its first place
     own = read.join(involved, ["c1", "c2"]).where(F.struct("did", "th", "line") == F.col("first"))
@@ -394,14 +518,14 @@ def _sides(sets: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, c) of the pairs of which 16 bits of each token don't rule the similarity out; c: common values.
+    """(x, y) of the pairs of which 16 bits of each token don't rule the similarity out.
 
     Shared tokens with equal values are as many fewer values as the line has values less than tokens.
     """
     left, right = _sides(sets, "brief")
     common = F.size(F.array_intersect("tokens", "others"))
     may = (common + F.col("n") - F.size("tokens")) * 7 >= (F.col("n") + F.col("m")) * 3
-    return pairs.join(left, "x").join(right, "y").where((F.col("before") < F.col("first")) & F.col("d2").isNotNull() & may).select("x", "y", common.alias("c"))
+    return pairs.join(left, "x").join(right, "y").where((F.col("before") < F.col("first")) & F.col("d2").isNotNull() & may).select("x", "y").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
