@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpus import SCHEMA, components, corpus, repeated_words, sha, shingle_set, similar_lines, words
@@ -22,7 +24,7 @@ def lined(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_line_dedup(spark, small, monkeypatch):
     if small:  # tokens in several blocks, pieces of few pairs, and rounds that don't find all at once
-        for name, value in {"BLOCK": 7, "PAIRS": 5, "FIRST": 1, "MORE": 1, "PART": 50}.items():
+        for name, value in {"BLOCK": 7, "PAIRS": 5, "FIRST": 1, "MORE": 1, "PART": 50, "HELD": 5}.items():
             monkeypatch.setattr(line_dedup_module, name, value)
     rows = lined(corpus())
     plain = list({r[0]: r for r in rows if r[0] is not None}.values())
@@ -92,3 +94,32 @@ def test_line_dedup_of_repeated_and_missing_ids(spark):
     got = Counter((r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect())
     # rows of one id and text are at one place and keep their lines
     assert got == {(None, "a b c d\nx y z"): 1, (3, "own line"): 2, (3, "other"): 1, (4, ""): 1, (5, ""): 1}
+
+
+@pytest.mark.parametrize("part", [4, 1 << 19])
+def test_classes_of_lines_from_many_tasks(part, monkeypatch):
+    monkeypatch.setattr(line_dedup_module, "PART", part)
+    monkeypatch.setattr(line_dedup_module, "PACKED", 3)
+    rng, want, rows = random.Random(3), {}, []
+    for k in range(30):
+        lines = []
+        for _ in range(rng.randint(1, 6)):
+            c = rng.choice([-7, 1, 2, 3, 4, 5, 6, 7, 8, 9])
+            place, copies = (rng.randint(-3, 3), rng.randint(-9, 9), rng.randint(0, 4)), rng.randint(1, 3)
+            lines.append((*place, copies, c, c % 2, 9, 1, 2, 0, abs(c) % 3))
+            first, n = want.get((c, c % 2), (place, 0))
+            want[c, c % 2] = min(first, place), n + copies
+        t = dict(zip(line_dedup_module._FIELDS, np.array(lines, np.int64).T.copy()))
+        t["tokens"] = np.concatenate([np.arange(x[-1], dtype=np.uint64) + np.uint64(x[4] + 10) for x in lines])
+        rows.append(line_dedup_module._pack(t, k // 30))
+    got = {}
+    for batch in line_dedup_module._classes([line_dedup_module._arrow(rows[:11]), line_dedup_module._arrow(rows[11:])]):
+        for row in batch.to_pylist():
+            t = line_dedup_module._unpack(row)
+            assert row["rows"] <= 3
+            ends = np.cumsum(t["size"])
+            for i, c in enumerate(t["c1"].tolist()):
+                assert (c, int(t["c2"][i])) not in got
+                got[c, int(t["c2"][i])] = (int(t["did"][i]), int(t["th"][i]), int(t["line"][i])), int(t["copies"][i])
+                assert t["tokens"][ends[i] - t["size"][i] : ends[i]].tolist() == list(range(c + 10, c + 10 + abs(c) % 3))
+    assert got == want
