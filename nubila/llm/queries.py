@@ -1,4 +1,4 @@
-"""The queries op1 .. op10 over the shared tables, and the SQL of those that SQL can express."""
+"""The queries op1 .. op13 over the shared tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -77,6 +77,24 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import centroid_clusters
+
+    return centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_id
+
+    return language_id(_docs(spark, sf_dir))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -98,4 +116,6 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_warc_revisits": OP8_SQL}
+    from .clustering import brute_force_sql
+
+    return {"op1_exact_dedup": OP1_SQL, "op8_warc_revisits": OP8_SQL, "op11_centroid_clusters": brute_force_sql()}
