@@ -69,6 +69,31 @@ def hilbert(df: DataFrame, x: str, y: str, z: str, depth: int, out: str = "key")
     return df.withColumn(out, key).drop(*names, "__flip")
 
 
+def hilbert_decode(df: DataFrame, key: str, depth: int, out: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
+    """Add the cells of 3-D Hilbert keys: hilbert() undone, its steps in reverse order."""
+    names = ["__h0", "__h1", "__h2"]
+    df = df.withColumns({n: gather(F.shiftright(F.col(key).cast("long"), 2 - i)) for i, n in enumerate(names)})
+    # a bit was flipped once for each bit above it that the third axis had, which its own flipped bits now tell
+    flip = F.shiftright(names[2], 1)
+    return _undone(df.withColumn("__flip", flip).withColumns({n: F.col(n).bitwiseXOR(F.col("__flip")) for n in names}).drop("__flip"), names, depth, out)
+
+
+def _undone(df: DataFrame, names: list[str], depth: int, out: tuple[str, str, str]) -> DataFrame:
+    df = df.withColumn(names[2], F.col(names[2]).bitwiseXOR(F.col(names[1])))
+    df = df.withColumn(names[1], F.col(names[1]).bitwiseXOR(F.col(names[0])))
+    for b in range(1, depth):
+        bit, low = 1 << b, (1 << b) - 1
+        for n in reversed(names):
+            on = F.col(n).bitwiseAND(F.lit(bit)) != 0
+            first = F.col(names[0])
+            swap = first.bitwiseXOR(F.col(n)).bitwiseAND(F.lit(low))
+            if n == names[0]:
+                df = df.withColumn(n, F.when(on, first.bitwiseXOR(F.lit(low))).otherwise(first))
+            else:
+                df = df.withColumns({names[0]: F.when(on, first.bitwiseXOR(F.lit(low))).otherwise(first.bitwiseXOR(swap)), n: F.when(on, F.col(n)).otherwise(F.col(n).bitwiseXOR(swap))})
+    return df.withColumns({o: F.col(n) for o, n in zip(out, names)}).drop(*names)
+
+
 def serialized(df: DataFrame, order: str, depth: int, out: str = "code") -> DataFrame:
     """Key of (batch, gx, gy, gz) in the order z, z-trans, hilbert or hilbert-trans; -trans swaps x and y."""
     x, y = ("gy", "gx") if order.endswith("-trans") else ("gx", "gy")

@@ -11,18 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import with_groups
+
 REGISTRY: dict[str, Callable] = {}
 
 
 def with_cloud(df: DataFrame, **values: Column) -> tuple[DataFrame, list[str]]:
     """df with aggregates of each row's cloud as further columns, and these columns' names.
 
-    The clouds' rows are combined in the map tasks and joined back, so a cloud is never in one task as a whole; Spark
-    broadcasts the few rows of aggregates where their size at run time allows it.
+    The clouds' rows are combined in the map tasks; their aggregates are counted, and sent to every task unless they are very many.
     """
     own = [f"__cloud_{k}" for k in values]
-    small = df.groupBy(F.col("batch").alias("__cloud")).agg(*[v.alias(n) for n, v in zip(own, values.values())])
-    return df.join(small, F.col("batch").eqNullSafe(F.col("__cloud")), "left").drop("__cloud"), own
+    small = df.groupBy("batch").agg(*[v.alias(n) for n, v in zip(own, values.values())])
+    return with_groups(df, small, ["batch"]), own
 
 
 def box(names: tuple[str, ...]) -> dict[str, Column]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import morton, quantise
+from ..functions.keys import morton, quantise, serialized
+from .ranks import running
 
 CELL = ("batch", "gx", "gy", "gz")
 #: Own cell first, then the one below and the one above along each axis.
@@ -35,9 +36,9 @@ def voxel_counts(points: DataFrame, size: float, shift: float = 0.0) -> DataFram
 
 def run_lengths(counts: DataFrame) -> DataFrame:
     """Key, rank and running start of each cell within its batch, in key order."""
-    w = Window.partitionBy("batch").orderBy("key")
-    keyed = counts.withColumn("key", morton(F.col("gx"), F.col("gy"), F.col("gz"), F.col("batch")))
-    return keyed.withColumns({"rank": F.row_number().over(w).cast("long"), "start": (F.sum("cnt").over(w) - F.col("cnt")).cast("long")})
+    keyed = counts.select(*CELL, "cnt", morton(F.col("gx"), F.col("gy"), F.col("gz"), F.col("batch")).alias("key"))
+    out = running(keyed, ["batch"], ["key"], ("cnt",), name="rank")
+    return out.select(*CELL, "cnt", "key", (F.col("rank") + 1).alias("rank"), F.col("cnt_before").alias("start"))
 
 
 def around(names=("gx", "gy", "gz"), reach=OFFSETS) -> Column:
@@ -124,5 +125,23 @@ def candidate_bands(counts: DataFrame, low: int, high: int) -> DataFrame:
 
 def serialized_order(coded: DataFrame, code: str = "code") -> DataFrame:
     """(batch, point_id, position): where a point stands in its batch's order by code; order[position] gives it back."""
-    w = Window.partitionBy("batch").orderBy(code, "point_id")
-    return coded.select("batch", "point_id", (F.row_number().over(w) - 1).alias("position"))
+    return running(coded.select("batch", "point_id", F.col(code).alias("code")), ["batch"], ["code", "point_id"]).select("batch", "point_id", "position")
+
+
+def serialization(points: DataFrame, orders: tuple[str, ...] = ("z", "z-trans", "hilbert", "hilbert-trans"), depth: int | None = None) -> DataFrame:
+    """(order, point_id, batch, depth, code, position): each point's key and place in several orders of the whole table at once.
+
+    points has non-negative cells gx, gy, gz.  Without ``depth`` the cube is as deep as its largest cell needs.  Keys begin with the batch,
+    so batches follow each other; equal keys are in order of ids.  position is the inverse of the order: the row at place p of an
+    order is the one whose position is p.  All orders are placed by one shuffle.
+    """
+    if depth is None:
+        top = points.agg(F.max(F.greatest("gx", "gy", "gz")).alias("m")).first().m
+        depth = max(1, int(top or 0).bit_length())
+    if depth > 16:
+        raise ValueError(f"a depth of {depth} doesn't fit the key's 48 bits")
+    coded = None
+    for order in orders:
+        one = serialized(points.select("point_id", *CELL), order, depth).select(F.lit(order).alias("order"), "point_id", "batch", F.lit(depth).alias("depth"), "code")
+        coded = one if coded is None else coded.unionByName(one)
+    return running(coded, ["order"], ["code", "point_id"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .blocks import Search, nearest
 from .cells import coarsen, exploded, octree_select, with_cells
 
 P = ("px", "py", "pz")
@@ -41,21 +42,16 @@ def knn_grid(points: DataFrame, k: int, voxel: float, *, num_down: int = 2, quer
     Approximate: a nearer point two cells away is missed.  cut_radius keeps distances strictly below it; cell_cap keeps at most
     so many points of a voxel (a modelled limit of fixed-size grids, by id).
     """
-    support = coarsen(with_cells(points, voxel, shift), num_down)
     if cell_cap is not None:
         w = Window.partitionBy("batch", "gx", "gy", "gz").orderBy("point_id")
-        support = support.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cell_cap).drop("__rn")
-    asking = coarsen(with_cells(queries if queries is not None else points, voxel, shift), num_down)
-    q, s = sides(asking, support, P)
-    pairs = exploded(q, P).join(s, ["batch", *P]).withColumn("d2", square())
-    if cut_radius is not None:
-        pairs = pairs.where(F.col("d2") < F.lit(float(cut_radius) ** 2))
-    return top(pairs, k)
+        support = with_cells(points, voxel, shift).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cell_cap)
+        points, queries = support.drop("__rn", "gx", "gy", "gz"), points if queries is None else queries
+    return nearest(points, Search(k, cells=(float(voxel), float(shift), num_down), cut=None if cut_radius is None else float(cut_radius) ** 2), queries)
 
 
 def knn_back(fine: DataFrame, coarse: DataFrame, k: int, cell: float, shift: float = 0.0) -> DataFrame:
     """For every fine point its k nearest coarse points among 27 cells; points without any are left out."""
-    return top(candidates(fine, coarse, cell, shift), k)
+    return nearest(coarse, Search(k, cells=(float(cell), float(shift), 0)), fine)
 
 
 def padded(found: DataFrame, queries: DataFrame, k: int, pad: str) -> DataFrame:
@@ -92,7 +88,12 @@ def starting_edge(points: DataFrame, k: int) -> tuple[float, float]:
 
 
 def knn_exact(points: DataFrame, k: int, *, queries: DataFrame | None = None, metric: str = "l2", rounds: bool = False) -> DataFrame:
-    """The k nearest points of each query's batch, certified, without a cross join.
+    """The k nearest points of each query's batch, without a cross join; with ``rounds`` by knn_rounds()."""
+    return knn_rounds(points, k, queries=queries, metric=metric) if rounds else nearest(points, Search(k, metric), queries)
+
+
+def knn_rounds(points: DataFrame, k: int, *, queries: DataFrame | None = None, metric: str = "l2") -> DataFrame:
+    """The k nearest points by growing cells, with the round in which each query was finished.
 
     A query is finished when its k-th distance is no more than its distance to the edge of its 27 cells; the others go on
     with cells twice as wide, at last with cells as wide as the cloud.  Each round's rest is checkpointed.
@@ -115,7 +116,7 @@ def knn_exact(points: DataFrame, k: int, *, queries: DataFrame | None = None, me
             both = checkpointed(found.join(ready, "query_id"))
             sure = both
             left = checkpointed(left.join(both.select(F.col("query_id").alias("point_id")).distinct(), "point_id", "left_anti"))
-        sure = sure.withColumn("round", F.lit(step)) if rounds else sure
+        sure = sure.withColumn("round", F.lit(step))
         done = sure if done is None else done.unionByName(sure)
         if last or left.isEmpty():
             return done

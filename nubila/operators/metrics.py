@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running, with_groups
+
 
 def set_recall(exact: DataFrame, predicted: DataFrame) -> DataFrame:
     """Per query: distinct true neighbours found, their share of k, and repeated slots of the prediction."""
@@ -110,14 +112,14 @@ def lovasz(probs: DataFrame, labels: DataFrame) -> DataFrame:
     probs (point_id, class, prob), labels (point_id, label).
     """
     e = probs.join(labels.select("point_id", "label"), "point_id")
-    fg = F.when(F.col("label") == F.col("class"), 1).otherwise(0)
+    fg = F.when(F.col("label") == F.col("class"), 1).otherwise(0).cast("long")
     e = e.select("class", "point_id", fg.alias("fg"), F.abs(fg - F.col("prob")).alias("err"))
-    w = Window.partitionBy("class").orderBy(F.desc("err"), "point_id")
-    all_ = Window.partitionBy("class")
-    e = e.withColumns({"g": F.sum("fg").over(all_), "cf": F.sum("fg").over(w.rowsBetween(Window.unboundedPreceding, 0)), "cn": F.sum(1 - F.col("fg")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    e = e.where("g > 0").withColumn("j", 1 - (F.col("g") - F.col("cf")) / (F.col("g") + F.col("cn")))
-    e = e.withColumn("dj", F.col("j") - F.coalesce(F.lag("j").over(w), F.lit(0.0)))
-    return e.groupBy("class").agg(F.sum(F.col("err") * F.col("dj")).alias("loss"))
+    placed = running(e, ["class"], ["-err", "point_id"], ("fg",), name="rn")
+    placed = with_groups(placed, e.groupBy("class").agg(F.sum("fg").alias("g")).where("g > 0"), ["class"])
+    # the index before and after a row, from the rows of the class and the others so far
+    index = lambda hits, rows: 1 - (F.col("g") - hits) / (F.col("g") + rows - hits)
+    step = index(F.col("fg_before") + F.col("fg"), F.col("rn") + 1) - index(F.col("fg_before"), F.col("rn"))
+    return placed.groupBy("class").agg(F.sum(F.col("err") * step).alias("loss"))
 
 
 def class_weights(labels: DataFrame) -> DataFrame:

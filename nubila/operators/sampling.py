@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ball import lcg
 from .cells import CELL, with_cells
+from .ranks import running, with_groups
 
 
 def grid_sample(points: DataFrame, size: float, seed: int = 0, shift: float = 0.0) -> DataFrame:
@@ -39,19 +40,22 @@ def sphere_crop(points: DataFrame, centre: tuple[float, float, float], n: int, l
     return out
 
 
+def _placed(points: DataFrame, order: Column) -> DataFrame:
+    """points with a row's place rn in its batch by (order, id) and the batch's count cnt."""
+    placed = running(points.select("batch", "point_id", order.alias("__by")), ["batch"], ["__by", "point_id"], name="rn").drop("__by", "batch")
+    return with_groups(points.join(placed, "point_id"), points.groupBy("batch").agg(F.count("*").alias("cnt")), ["batch"])
+
+
 def even_sample(points: DataFrame, n: int, order: Column | str = "point_id") -> DataFrame:
-    """n evenly spaced ranks of each batch (ends included), fewer where a batch has fewer."""
-    w = Window.partitionBy("batch")
-    ranked = points.withColumns({"rn": F.row_number().over(w.orderBy(order)).cast("long") - 1, "cnt": F.count("*").over(w)})
+    """n evenly spaced ranks of each batch (ends included), fewer where a batch has fewer; ids are unique."""
+    ranked = _placed(points, F.col(order) if isinstance(order, str) else order)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("cnt") - 1) / F.lit(max(n - 1, 1))))
-    return ranked.where(F.array_contains(wanted, F.col("rn"))).drop("rn", "cnt")
+    return ranked.where(F.array_contains(wanted, F.col("rn"))).select(*points.columns)
 
 
 def dropout(points: DataFrame, keep: float, seed: int = 0) -> DataFrame:
-    """floor(keep * n) points of each batch, chosen by a seeded scramble."""
-    w = Window.partitionBy("batch")
-    ranked = points.withColumns({"rn": F.row_number().over(w.orderBy(lcg(F.col("point_id"), seed), "point_id")), "cnt": F.count("*").over(w)})
-    return ranked.where(F.col("rn") <= F.floor(F.col("cnt") * keep)).drop("rn", "cnt")
+    """floor(keep * n) points of each batch, chosen by a seeded scramble; ids are unique."""
+    return _placed(points, lcg(F.col("point_id"), seed)).where(F.col("rn") < F.floor(F.col("cnt") * keep)).select(*points.columns)
 
 
 def farthest_points(points: DataFrame, n: int, skip_origin: bool = False) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .ball import lcg
 from .cells import voxel_first, with_cells
 from .knn import knn_exact
+from .ranks import running, with_groups
 from .sampling import farthest_points
 
 
@@ -24,9 +28,9 @@ def window_pairs(points: DataFrame, window: float, small: float | None = None, s
 
 
 def patches(coded: DataFrame, size: int) -> DataFrame:
-    """(point_id, patch, place): each batch in code order in patches of ``size``; the last patch borrows from the one before."""
-    w = Window.partitionBy("batch")
-    r = coded.withColumns({"rn": F.row_number().over(w.orderBy("code", "point_id")).cast("long") - 1, "cnt": F.count("*").over(w)})
+    """(batch, point_id, patch, place): each batch in code order in patches of ``size``; the last patch borrows from the one before."""
+    r = running(coded.select("batch", "point_id", "code"), ["batch"], ["code", "point_id"], name="rn")
+    r = with_groups(r, coded.groupBy("batch").agg(F.count("*").alias("cnt")), ["batch"])
     own = r.select("batch", "point_id", F.expr(f"rn div {size}").alias("patch"), (F.col("rn") % size).alias("place"), "rn", "cnt")
     tail = F.expr(f"(cnt - 1) div {size}")
     short = (F.col("cnt") % size != 0) & (F.col("cnt") > size)
@@ -38,11 +42,11 @@ def patches(coded: DataFrame, size: int) -> DataFrame:
 
 def ravel_key(points: DataFrame, size: float, shift: float = 0.0) -> DataFrame:
     """Mixed-radix cell key: Horner's rule with each batch's largest cell plus one."""
-    w = Window.partitionBy("batch")
     c = with_cells(points, size, shift)
-    low = c.withColumns({f"g{a}": F.col(f"g{a}") - F.min(f"g{a}").over(w) for a in "xyz"})
-    top = {a: F.max(f"g{a}").over(w) + 1 for a in "xyz"}
-    return low.withColumn("key", (F.col("gx") * top["y"] + F.col("gy")) * top["z"] + F.col("gz"))
+    box = c.groupBy("batch").agg(*[f(f"g{a}").alias(f"__{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    low = with_groups(c, box, ["batch"]).withColumns({f"g{a}": F.col(f"g{a}") - F.col(f"__lo{a}") for a in "xyz"})
+    wide = {a: F.col(f"__hi{a}") - F.col(f"__lo{a}") + 1 for a in "yz"}
+    return low.withColumn("key", (F.col("gx") * wide["y"] + F.col("gy")) * wide["z"] + F.col("gz")).drop(*[f"__{n}{a}" for a in "xyz" for n in ("lo", "hi")])
 
 
 def patches_around(points: DataFrame, anchors: int, k: int) -> DataFrame:
@@ -53,11 +57,10 @@ def patches_around(points: DataFrame, anchors: int, k: int) -> DataFrame:
 
 def cross_masks(points: DataFrame, size: float, ratio: float, seed: int = 0, shift: float = 0.0) -> DataFrame:
     """Cells with mask 1 or 2 (disjoint, a share ``ratio`` of each batch's cells each) or 0, by a seeded scramble."""
-    cells = voxel_first(points, size, shift).select("batch", "gx", "gy", "gz", "point_id")
-    w = Window.partitionBy("batch")
-    r = cells.withColumns({"rn": F.row_number().over(w.orderBy(lcg(F.col("point_id"), seed), "point_id")), "cnt": F.count("*").over(w)})
+    cells = voxel_first(points, size, shift).select("batch", "gx", "gy", "gz", "point_id", lcg(F.col("point_id"), seed).alias("draw"))
+    r = with_groups(running(cells, ["batch"], ["draw", "point_id"], name="rn"), cells.groupBy("batch").agg(F.count("*").alias("cnt")), ["batch"])
     n = F.floor(F.col("cnt") * ratio)
-    return r.select("batch", "gx", "gy", "gz", F.when(F.col("rn") <= n, 1).when(F.col("rn") <= 2 * n, 2).otherwise(0).alias("mask"))
+    return r.select("batch", "gx", "gy", "gz", F.when(F.col("rn") < n, 1).when(F.col("rn") < 2 * n, 2).otherwise(0).alias("mask"))
 
 
 def refine_parts(points: DataFrame, n: int = 10) -> DataFrame:
@@ -81,39 +84,56 @@ def accuracy(labels: DataFrame, target: str = "target", pred: str = "pred") -> D
 
 def manifest(frames: DataFrame, n: int) -> DataFrame:
     """n evenly spaced frames of each sequence with a digest of what names them."""
-    w = Window.partitionBy("sequence")
-    r = frames.withColumns({"rn": F.row_number().over(w.orderBy("frame")).cast("long") - 1, "cnt": F.count("*").over(w)})
+    r = with_groups(running(frames.select("sequence", "frame"), ["sequence"], ["frame"], name="rn"), frames.groupBy("sequence").agg(F.count("*").alias("cnt")), ["sequence"])
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("cnt") - 1) / F.lit(max(n - 1, 1))))
     return r.where(F.array_contains(wanted, F.col("rn"))).select("sequence", "frame", F.sha2(F.concat_ws("/", F.col("sequence").cast("string"), F.col("frame").cast("string")), 256).alias("sha256"))
 
 
+def lattice_noise(seed: int, axis: int) -> Column:
+    """A standard normal number for each node (batch, ni, nj, nk) of the noise grid, by a fixed arithmetic scramble and Box-Muller."""
+    # fixed values: factors of the scramble
+    mixed = F.pmod(F.col("batch") * 15485863 + F.col("ni") * 7919 + F.col("nj") * 104729 + F.col("nk") * 1299709 + F.lit((seed * 3 + axis) * 32452843), F.lit(1 << 31))
+    first = lcg(lcg(mixed, seed), axis)
+    return F.sqrt(-2 * F.log((first + 1) / float((1 << 31) + 1))) * F.cos(2 * math.pi * lcg(first, seed) / float(1 << 31))
+
+
 def elastic(points: DataFrame, granularity: float, magnitude: float, seed: int = 0) -> DataFrame:
-    """Displace points by smooth noise: seeded noise on a grid, averaged over 27 cells, interpolated trilinearly from 8 corners."""
-    names = ("cx", "cy", "cz")
-    c = with_cells(points, granularity, names=names)
-
-    def noise(axis: int, dx: int, dy: int, dz: int):
-        # the grid is never listed: each corner's noise is a hash of its place
-        total = None
-        for ox in (-1, 0, 1):
-            for oy in (-1, 0, 1):
-                for oz in (-1, 0, 1):
-                    h = F.pmod(F.xxhash64(F.col("batch"), F.col("cx") + (dx + ox), F.col("cy") + (dy + oy), F.col("cz") + (dz + oz), F.lit(seed * 3 + axis)), F.lit(1 << 20)) / float(1 << 19) - 1
-                    total = h if total is None else total + h
-        return total / 27
-
-    frac = {a: F.col(a) / granularity - F.col(f"c{a}") for a in "xyz"}
-    out = {}
-    for i, a in enumerate("xyz"):
-        move = None
-        for dx in (0, 1):
-            for dy in (0, 1):
-                for dz in (0, 1):
-                    weight = (frac["x"] if dx else 1 - frac["x"]) * (frac["y"] if dy else 1 - frac["y"]) * (frac["z"] if dz else 1 - frac["z"])
-                    term = weight * noise(i, dx, dy, dz)
-                    move = term if move is None else move + term
-        out[a] = F.col(a) + move * magnitude
-    return c.withColumns(out).drop(*names)
+    """Displace points by smooth noise: normal noise on the nodes of each batch's grid, averaged over three nodes along each axis and
+    that twice, interpolated trilinearly.
+
+    A batch's grid has its first node one ``granularity`` below the least coordinates and ends two beyond the last whole one; beyond it
+    noise is 0.  Only the nodes that points look up, and those within two of them, are made.  Averages along an axis are
+    joins with shifted nodes, the lookup a join of each point's 8 corners.
+    """
+    node, axes = ("ni", "nj", "nk"), tuple(zip("xyz", ("ni", "nj", "nk")))
+    box = points.groupBy("batch").agg(*[f(a).alias(f"__{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    at = with_groups(points, box, ["batch"])
+    place = {a: (F.col(a) - F.col(f"__lo{a}")) / granularity + 1 for a in "xyz"}
+    at = at.withColumns({n: F.floor(place[a]) for a, n in axes} | {f"__f{a}": place[a] - F.floor(place[a]) for a in "xyz"})
+    last = {n: F.floor((F.col(f"__hi{a}") - F.col(f"__lo{a}")) / granularity) + 2 for a, n in axes}
+    at = at.withColumns({f"__t{n}": last[n] for _, n in axes})
+    ends = [f"__t{n}" for n in node]
+    corner = F.explode(F.array(*[F.struct(*[F.lit(o).alias(f"o{n}") for n, o in zip(node, (i, j, k))]) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+    looked = at.select("point_id", "batch", *node, *[f"__f{a}" for a in "xyz"], *ends, corner.alias("c"))
+    weight = None
+    for a, n in axes:
+        w = F.when(F.col(f"c.o{n}") == 1, F.col(f"__f{a}")).otherwise(1 - F.col(f"__f{a}"))
+        weight = w if weight is None else weight * w
+    looked = looked.select("point_id", "batch", *ends, weight.alias("weight"), *[(F.col(n) + F.col(f"c.o{n}")).alias(n) for n in node])
+    grid = looked.select("batch", *node, *ends).distinct()
+    for n in node:
+        around = F.explode(F.sequence(F.greatest(F.col(n) - 2, F.lit(0)), F.least(F.col(n) + 2, F.col(f"__t{n}"))))
+        grid = grid.withColumn(n, around).distinct()
+    noise = ("__n0", "__n1", "__n2")
+    grid = checkpointed(grid.withColumns({c: lattice_noise(seed, i) for i, c in enumerate(noise)}))
+    for _ in range(2):
+        for n in node:
+            shifted = grid.withColumn(n, F.explode(F.sequence(F.greatest(F.col(n) - 1, F.lit(0)), F.least(F.col(n) + 1, F.col(f"__t{n}")))))
+            grid = shifted.groupBy("batch", *node, *ends).agg(*[(F.sum(c) / 3).alias(c) for c in noise])
+        grid = checkpointed(grid)
+    moved = looked.join(grid.drop(*ends), ["batch", *node]).groupBy("point_id").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in noise])
+    out = points.join(moved, "point_id")
+    return out.withColumns({a: F.col(a) + F.col(c) * magnitude for a, c in zip("xyz", noise)}).drop(*noise)
 
 
 def group_lookup(vertices: DataFrame, groups: DataFrame, classes: DataFrame, ignore: int = -1) -> DataFrame:

@@ -105,11 +105,36 @@ def morton_decode(spark, d):
     return _cells(spark, d).select("point_id", key.alias("key")).select("point_id", *[c.alias(n) for n, c in keys.morton_decode(F.col("key")).items()])
 
 
-@query()
+def _hilbert_steps(source: str, depth: int, x: str = "gx", y: str = "gy", name: str = "h") -> str:
+    """CTEs that turn the cells of source to Hilbert keys, column hk of the last one, ``name``: one CTE for each bit and axis."""
+    out, n = [f"{name}0 AS (SELECT *, {x} AS h0, {y} AS h1, gz AS h2 FROM {source})"], 0
+    for b in range(depth - 1, 0, -1):
+        bit, low = 1 << b, (1 << b) - 1
+        for i in range(3):
+            on, swap = f"h{i} & {bit} <> 0", f"(xor(h0, h{i}) & {low})"
+            other = "" if i == 0 else f", CASE WHEN {on} THEN h{i} ELSE xor(h{i}, {swap}) END AS h{i}"
+            out.append(f"{name}{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {on} THEN xor(h0, {low}) ELSE xor(h0, {swap}) END AS h0{other}) FROM {name}{n})")
+            n += 1
+    out.append(f"{name}g AS MATERIALIZED (SELECT * REPLACE (xor(h1, h0) AS h1, xor(h2, xor(h1, h0)) AS h2) FROM {name}{n})")
+    flip = "0"
+    for b in range(1, depth):
+        flip = f"xor({flip}, h2 >> {b})"
+    out.append(f"{name}f AS MATERIALIZED (SELECT *, {flip} AS flip FROM {name}g)")
+    out.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE (h0, h1, h2, flip), " + " | ".join(f"({_spread(f'xor(h{i}, flip)')} << {2 - i})" for i in range(3)) + f" AS hk FROM {name}f)")
+    return ", ".join(out)
+
+
+@query(f"WITH {EVT_CELLS}, {_hilbert_steps('c', 10)} SELECT point_id, batch, (batch::BIGINT << 30) | hk AS code FROM h")
 def hilbert_order(spark, d):
     return keys.serialized(_cells(spark, d), "hilbert", 10).select("point_id", "batch", "code")
 
 
+@query(f"WITH {EVT_CELLS} SELECT point_id, gx, gy, gz FROM c")
+def hilbert_decode(spark, d):
+    coded = keys.hilbert(_cells(spark, d), "gx", "gy", "gz", 10).select("point_id", "key")
+    return keys.hilbert_decode(coded, "key", 10).select("point_id", "gx", "gy", "gz")
+
+
 @query(f"WITH {EVT_CELLS}, {_morton_steps('c', 'gy', 'gx')} SELECT point_id, (batch::BIGINT << 48) | (sx << 2) | (sy << 1) | sz AS code FROM m5")
 def serialize_z_trans(spark, d):
     return keys.serialized(_cells(spark, d), "z-trans", 16).select("point_id", "code")
@@ -775,16 +800,6 @@ def patches_around(spark, d):
     return windows.patches_around(embedding_points(spark, d), 8, K)
 
 
-@query()
-def elastic_distortion(spark, d):
-    return windows.elastic(event_points(spark, d), 2.0, 0.4)
-
-
-# set checks, distributions, padding
-
-VARIANTS = ("a", "b", "c")
-
-
 @query(f"WITH {REC}, a AS (SELECT room, method, count(*) AS n FROM rec WHERE k = 8 GROUP BY ALL), b AS (SELECT room, method, count(*) AS n FROM rec WHERE k = 16 GROUP BY ALL) SELECT room, method, least(a.n, b.n) AS common FROM a JOIN b USING (room, method)")
 def multiset_common(spark, d):
     r = bench_records(spark, d)
@@ -876,3 +891,6 @@ def pooled_recall(spark, d):
 @query(f"WITH {NB}, s AS (SELECT avg((ql = sl)::INT) AS same FROM g GROUP BY query_id) SELECT floor(same * 100)::BIGINT AS bin, count(*) AS points FROM s GROUP BY ALL")
 def boundary_histogram(spark, d):
     return metrics.boundary_histogram(metrics.boundary(*_nn(spark, d)))
+
+
+from . import scenes  # noqa: E402,F401  registers its queries here
