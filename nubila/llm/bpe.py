@@ -147,8 +147,9 @@ class TrieEncoder:
     def words(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return self.pattern.findall(text.lower())
+        # the library's own splitter: its tables of letters and digits are those of its Unicode version
         text = self.library.normalizer.normalize_str(text)
-        return self.pattern.findall(text)
+        return [text[lo:hi] for _, (lo, hi) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def segments(self, text: str) -> list[str]:
         if self.split_special is None or "<|" not in text and not any(s in text for s in self.special):

@@ -17,7 +17,7 @@ from .workspace import tune
 LIMIT, END = 2048, 1
 #: How byte-level vocabularies split text before their merges (fixed pattern), and a run of white space that goes to the library.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG_SPACE = re.compile(r"\s{5000}")
+LONG_SPACE = re.compile(r"\s{200}")
 
 
 class Encoder:

@@ -191,7 +191,8 @@ def repeated_spans(ws: Workspace, src: DataFrame, width: int = WIDTH, anchor: in
     single = opened.where("c = 1").join(repeated, ["m", "e"], "left_semi").select("src.did", "src.th", (F.col("src.at") + F.col("i")).alias("at"), F.lit(1).alias("n"))
     whole = made.select("m", "s", "did", "th", "at", "n").join(classes.where("c > 1").select("m", "s", "n"), ["m", "s", "n"], "left_semi").select("did", "th", "at", "n")
     found = whole.unionByName(single)
-    return ws.save(found.groupBy("did", "th").agg(F.collect_list(F.struct("at", (F.col("n") + F.lit(width - 1)).alias("size"))).alias("spans")), "spans")
+    # rows that share id and text have the same spans: once
+    return ws.save(found.groupBy("did", "th").agg(F.collect_set(F.struct("at", (F.col("n") + F.lit(width - 1)).alias("size"))).alias("spans")), "spans")
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:

@@ -68,3 +68,20 @@ def test_long_words_as_the_library_does():
         text = "x " + "abcdefghij"[: n % 7 + 3] * (n // 3) + " é"
         ids = w.library.encode(text, add_special_tokens=False).ids
         assert w.encode_batch([text])[0][::2] == (b"".join(i.to_bytes(4, "little") for i in ids), len(ids))
+
+
+def test_every_code_point_encodes_as_the_library_does():
+    """All code points, between letters, between digits and alone."""
+    import numpy as np
+
+    from nubila.llm.bpe import TrieEncoder
+
+    encoder = TrieEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b 1{c}2 {c} " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for lo in range(0, len(texts), 512):
+        part = texts[lo : lo + 512]
+        want = encoder.library.encode_batch(part, add_special_tokens=False)
+        for text, (ids, decoded, n), w in zip(part, encoder.encode_batch(part), want):
+            assert np.frombuffer(ids, "<u4").tolist() == w.ids and n == len(w.ids), hex(ord(text[1]))
+            assert decoded == encoder.library.decode(w.ids, skip_special_tokens=False)

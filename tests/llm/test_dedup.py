@@ -123,3 +123,17 @@ def test_classes_of_lines_from_many_tasks(part, monkeypatch):
                 got[c, int(t["c2"][i])] = (int(t["did"][i]), int(t["th"][i]), int(t["line"][i])), int(t["copies"][i])
                 assert t["tokens"][ends[i] - t["size"][i] : ends[i]].tolist() == list(range(c + 10, c + 10 + abs(c) % 3))
     assert got == want
+
+
+def test_many_copies_of_one_row_give_their_spans_once(spark):
+    """Rows that share a null id and a text: all of their words go, and their spans are one short list."""
+    from nubila.llm import substring_dedup
+    from nubila.llm.rows import keyed
+    from nubila.llm.workspace import Workspace
+
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text")
+    spans = substring_dedup.repeated_spans(Workspace(spark, "copies"), keyed(docs, "doc_id", "text"), substring_dedup.WIDTH, substring_dedup.ANCHOR).collect()
+    assert len(spans) == 1 and len(spans[0].spans) < 400
+    out = substring_dedup.substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in out] == [(None, 400, 400, 3000)]

@@ -85,3 +85,22 @@ def test_archives_have_a_size(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "a").glob("part-*"))) > 3
     got = {r.page_id: r.payload for r in warc.read_archives(spark, f"{tmp_path}/a", with_payload=True).collect()}
     assert {i: h.encode() for i, _, h in pages.collect()} == {i: bytes(p) for i, p in got.items()}
+
+
+def test_runs_of_white_space_take_no_quadratic_time():
+    import time
+
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = (" " * 4999 + "x") * 200
+    began = time.perf_counter()
+    want = encode.model.encode(text, add_special_tokens=False).ids
+    library = time.perf_counter() - began
+    began = time.perf_counter()
+    got = encode(text)
+    assert time.perf_counter() - began < 5 * library + 2
+    assert np.frombuffer(got, "<u4").tolist() == want
+    # just below the switch to the library
+    text = (" " * 199 + "x") * 500
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.model.encode(text, add_special_tokens=False).ids
