@@ -307,23 +307,19 @@ def _dealt(parts: int, share: int, shares: int, blocks, asking=None, wanted=None
     return run
 
 
-def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Postings (x, y) of one token, x asking and y in no later a document, that size, place and signature let be similar.
+#: Pairs of one token from which on its postings are bucketed by signature, and postings of a bucket up to which all its pairs are listed.
+CROWD, BUCKET = 1 << 18, 64
 
-    The postings come sorted by token and size n, so those of fitting size are a range.  The shared token at place a of
-    n tokens leaves n - a in common at most, and 7 * common >= 3 * (n + m) for similarity 3/4.  From the smaller set
-    of a pair on, place and size bound the larger one.  Of a token with very many pairs, x's come one after the other.
-    """
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-    width = int(n.max()) + 2
-    key = group * width + n
-    most = np.minimum(np.minimum(4 * n // 3, 7 * (n - at) // 3 - n), width - 1)
-    hi = np.searchsorted(key, group * width + np.maximum(most, -1), side="right")
-    ahead = np.maximum(hi - np.arange(len(n)) - 1, 0)
-    ends = np.cumsum(np.add.reduceat(ahead, begin))
 
-    def fitting(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Postings:
+    """Postings as columns, sorted by token and size n, and the tests that a pair must pass."""
+
+    def __init__(self, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, role: np.ndarray):
+        self.c1, self.did, self.n, self.at, self.s1, self.s2, self.role = c1, did, n, at, s1, s2, role
+
+    def fitting(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs, x asking and y in no later a document, that size, place and signature let be similar."""
+        n, at, s1, s2, did, c1, role = self.n, self.at, self.s1, self.s2, self.did, self.c1, self.role
         for test in (
             lambda: 7 * np.minimum(n[x] - at[x], n[y] - at[y]) >= 3 * (n[x] + n[y]),
             lambda: 7 * (np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])) <= n[x] + n[y],
@@ -333,29 +329,134 @@ def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: n
             x, y = x[ok], y[ok]
         return x, y
 
+    def both_ways(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """fitting() of unordered pairs: the posting of the later document asks, of one document each may ask the other."""
+        later = self.did[i] >= self.did[j]
+        x, y = self.fitting(np.where(later, i, j), np.where(later, j, i))
+        # the other way is tried on its own: which of the two asks differs between rounds
+        same = np.flatnonzero(self.did[i] == self.did[j])
+        more = self.fitting(j[same], i[same])
+        return np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
+
+
+def _segments(parts: int) -> Iterator[tuple[np.uint64, np.uint64]]:
+    """Masks of the 128 bits of signatures, cut into so many pieces."""
+    for i in range(parts):
+        lo, hi = 128 * i // parts, 128 * (i + 1) // parts
+        bits = (1 << hi) - (1 << lo)
+        yield U(bits & (1 << 64) - 1), U(bits >> 64)
+
+
+def crowded(p: Postings, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the postings ``rows`` of one token: of each asking posting its ``most`` first that fit, by document, and maybe more.
+
+    Signatures of a fitting pair differ in at most (n + m) / 7 bits, so of one piece more than that at least one is equal: only
+    postings that share a piece meet.  Sizes of a pair differ by a third at most, so classes of sizes meet themselves and the next one.
+    In a piece with very many postings (much alike) each posting meets the earliest ones until it has enough.
+    """
+    size = np.floor(np.log(p.n[rows]) / np.log(4 / 3) + 1e-9).astype(np.int64)
+    xs, ys, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def thinned() -> None:
+        nonlocal xs, ys, held
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        order = np.lexsort((y, p.c1[y], p.did[y], x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y = x[new], y[new]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) < most
+        xs, ys, held = [x[keep]], [y[keep]], int(keep.sum())
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal held
+        xs.append(x)
+        ys.append(y)
+        held += len(x)
+        if held > 2 * PAIRS + most * len(rows):
+            thinned()
+
+    for own in np.unique(size):
+        r = rows[(size == own) | (size == own + 1)]
+        top = int(p.n[rows[size == own]].max())
+        apart = (top + min(int(p.n[r].max()), 4 * top // 3)) // 7
+        for low, high in _segments(apart + 1):
+            piece = mix((p.s1[r] & low) * U(0x9E3779B97F4A7C15) + mix(p.s2[r] & high))
+            order = np.lexsort((p.c1[r], p.did[r], piece))
+            s, piece = r[order], piece[order]
+            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            count = np.diff(np.append(first, len(s)))
+            end = np.repeat(first + count, count)
+            ahead = end - np.arange(len(s)) - 1
+            ahead[np.repeat(count, count) > BUCKET] = 0
+            total = np.concatenate([[0], np.cumsum(ahead)])
+            lo = 0
+            while total[lo] < total[-1]:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, side="right")) - 1)
+                times = ahead[lo:hi]
+                i = np.repeat(np.arange(lo, hi), times)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+                add(*p.both_ways(s[i], s[j]))
+                lo = hi
+            for f in np.flatnonzero(count > BUCKET):
+                add(*_alike(p, s[first[f] : first[f] + count[f]], most))
+    thinned()
+    return xs[0], ys[0]
+
+
+def _alike(p: Postings, s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asking posting of s the ``most`` first of s that fit, at least; s is in order of documents."""
+    out_x, out_y = [], []
+    asking, found = np.flatnonzero(p.role[s] & ASKS > 0), np.zeros(len(s), np.int64)
+    answers = np.flatnonzero(p.role[s] & ASKED > 0)
+    did, back = p.did[s], np.argsort(s)
+    for lo in range(0, len(answers), BUCKET):
+        y = answers[lo : lo + BUCKET]
+        # those that have enough, or that come before the rest of the answers, are done
+        asking = asking[(found[asking] < most) & (did[asking] >= did[y[0]])]
+        if not len(asking):
+            break
+        for k in range(0, len(asking), PAIRS // BUCKET):
+            x = asking[k : k + PAIRS // BUCKET]
+            gx, gy = p.fitting(np.repeat(s[x], len(y)), np.tile(s[y], len(x)))
+            np.add.at(found, back[np.searchsorted(s[back], gx)], 1)
+            out_x.append(gx)
+            out_y.append(gy)
+    return (np.concatenate(out_x), np.concatenate(out_y)) if out_x else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def met(token: np.ndarray, c1: np.ndarray, did: np.ndarray, n: np.ndarray, at: np.ndarray, s1: np.ndarray, s2: np.ndarray, role: np.ndarray, most: int = 1 << 62) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Postings (x, y) of one token that fit: of each asking x all, or of a token with very many pairs the ``most`` first by document.
+
+    The postings come sorted by token and size n, so those of fitting size are a range.  The shared token at place a of
+    n tokens leaves n - a in common at most, and 7 * common >= 3 * (n + m) for similarity 3/4.  From the smaller set
+    of a pair on, place and size bound the larger one.
+    """
+    p = Postings(c1, did, n, at, s1, s2, role)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
+    width = int(n.max()) + 2
+    key = group * width + n
+    reach = np.minimum(np.minimum(4 * n // 3, 7 * (n - at) // 3 - n), width - 1)
+    hi = np.searchsorted(key, group * width + np.maximum(reach, -1), side="right")
+    ahead = np.maximum(hi - np.arange(len(n)) - 1, 0)
+    each = np.add.reduceat(ahead, begin)
+    bounds, ends = np.append(begin, len(token)), np.cumsum(each)
+    full = np.append(np.flatnonzero(each > CROWD), len(begin))
     g = 0
     while g < len(begin):
-        stop = int(np.searchsorted(ends, (ends[g - 1] if g else 0) + PAIRS, side="right"))
-        if stop > g:  # whole tokens: either posting of a pair is x where its document is the later one
-            rows = np.arange(begin[g], begin[stop] if stop < len(begin) else len(token))
-            times = ahead[rows]
-            i = np.repeat(rows, times)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-            later = did[i] >= did[j]
-            x, y = fitting(np.where(later, i, j), np.where(later, j, i))
-            same = np.flatnonzero(did[x] == did[y])
-            more = fitting(y[same], x[same])
-            yield np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
-            # of two postings of one document each may ask the other
-            g = stop
+        after = full[np.searchsorted(full, g)]
+        if after == g:
+            yield crowded(p, np.arange(bounds[g], bounds[g + 1]), most)
+            g += 1
             continue
-        for x in range(begin[g], begin[g + 1] if g + 1 < len(begin) else len(token)):
-            if role[x] & ASKS:
-                first = int(np.searchsorted(key, key[x] - n[x] + (3 * n[x] + 3) // 4))
-                for lo in range(first, int(hi[x]), PAIRS):
-                    y = np.arange(lo, min(lo + PAIRS, int(hi[x])))
-                    yield fitting(np.full(len(y), x), y)
-        g += 1
+        # whole tokens, up to the next crowded one
+        stop = min(int(after), max(g + 1, int(np.searchsorted(ends, ends[g] - each[g] + PAIRS, side="right"))))
+        rows = np.arange(bounds[g], bounds[stop])
+        times = ahead[rows]
+        i = np.repeat(rows, times)
+        yield p.both_ways(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times))
+        g = stop
 
 
 def _candidates(low: int, high: int):
@@ -384,7 +485,7 @@ def _candidates(low: int, high: int):
         token, block = token[order], block[order]
         key[1:] = np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
         c1, did, n, at, s1, s2, role = (v[order] for v in (c1, did, n, at, s1, s2, role))
-        for x, y in _nearest(met(key, c1, did, n, at, s1, s2, role), did, c1, high):
+        for x, y in _nearest(met(key, c1, did, n, at, s1, s2, role, high + 1), did, c1, high):
             # x ascending, its candidates by did
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
             nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))

@@ -137,3 +137,64 @@ def test_many_copies_of_one_row_give_their_spans_once(spark):
     assert len(spans) == 1 and len(spans[0].spans) < 400
     out = substring_dedup.substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
     assert [tuple(r) for r in out] == [(None, 400, 400, 3000)]
+
+
+def _postings(rng, lines):
+    """Columns of postings of one token for sets of tokens, by size, as line_dedup packs them."""
+    from nubila.llm.textcore import mix
+
+    lines.sort(key=lambda r: len(r[1]))
+    sig = []
+    for _, tokens in lines:
+        bits = 0
+        for t in tokens:
+            bits ^= 1 << (int(mix(np.array([t + 1], np.uint64))[0]) & 127)
+        sig.append((bits & (1 << 64) - 1, bits >> 64))
+    u = lambda v: np.array(v, np.uint64)
+    n = np.array([len(t) for _, t in lines], np.int64)
+    return u(range(10, 10 + len(lines))), np.array([d for d, _ in lines]), n, np.zeros(len(lines), np.int64), u([a for a, _ in sig]), u([b for _, b in sig]), np.array([rng.choice([1, 2, 3, 3]) for _ in lines])
+
+
+def test_postings_of_one_crowded_token(monkeypatch):
+    """Buckets of signatures find each posting's first partners, as all pairs do."""
+    from nubila.llm import line_dedup as L
+
+    rng = random.Random(3)
+    lines, base = [], [rng.sample(range(60), 14) for _ in range(3)]
+    for i in range(500):
+        kind = rng.random()
+        tokens = set(rng.choice(base)) if kind < 0.5 else set(rng.sample(range(60), rng.randint(1, 20)))
+        if kind < 0.4:
+            tokens = tokens - {rng.choice(sorted(tokens))} | {rng.randrange(60)}
+        lines.append((rng.randint(0, 200), tokens))
+    c1, did, n, at, s1, s2, role = _postings(rng, lines)
+    token = np.zeros(len(n), np.int64)
+    want = {}
+    for x in range(len(n)):
+        fits = [y for y in range(len(n)) if role[x] & 1 and role[y] & 2 and y != x and did[y] <= did[x] and 7 * min(n[x], n[y]) >= 3 * (n[x] + n[y]) and 7 * (int(s1[x] ^ s1[y]).bit_count() + int(s2[x] ^ s2[y]).bit_count()) <= n[x] + n[y]]
+        want[x] = [(did[y], c1[y]) for y in sorted(fits, key=lambda y: (did[y], c1[y]))]
+    for crowd, bucket, most in ((1 << 40, 64, 1 << 40), (0, 64, 5), (0, 8, 5), (0, 4, 17), (0, 100, 1 << 40)):
+        monkeypatch.setattr(L, "CROWD", crowd)
+        monkeypatch.setattr(L, "BUCKET", bucket)
+        got = {x: [] for x in want}
+        for xs, ys in L._nearest(L.met(token, c1, did, n, at, s1, s2, role, most), did, c1, most - 1):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                got[x].append((did[y], c1[y]))
+        assert all(got[x][:most] == want[x][:most] for x in want), (crowd, bucket, most)
+
+
+def test_a_crowded_token_takes_no_quadratic_time():
+    import time
+
+    from nubila.llm import line_dedup as L
+
+    rng = np.random.default_rng(1)
+    m = 200_000
+    n = np.sort(rng.integers(4, 14, m))
+    u = lambda: rng.integers(0, 1 << 63, m).astype(np.uint64)
+    family = rng.random(m) < 0.3
+    s1, s2 = u(), u()
+    s1[family], s2[family] = 7, 9
+    began = time.perf_counter()
+    found = sum(len(x) for x, _ in L._nearest(L.met(np.zeros(m, np.int64), u(), rng.integers(0, 50_000, m), n, np.zeros(m, np.int64), s1, s2, np.full(m, 3), 17), rng.integers(0, 50_000, m), u(), 16))
+    assert found > 100_000 and time.perf_counter() - began < 60
