@@ -191,6 +191,67 @@ def adjust_color(df: DataFrame, brightness: float = 1.0, contrast: float = 1.0,
     return hue_saturation(df, hue, 1.0) if hue else df
 
 
+#: What random_color_jitter() does, in the order of its numbers 0 to 3.
+JITTERS = ("brightness", "contrast", "saturation", "hue")
+
+
+def jitter_plan(seed: int, ranges: dict[str, tuple[float, float]]) -> dict[str, Column]:
+    """Columns of a cloud's draws: each operation's factor and its place 0..3 in the cloud's own order, from a scramble of the batch."""
+    draw = lambda salt: scrambled(F.col("batch"), seed * 16 + salt)
+    out = {f"__f{i}": ranges[n][0] + (ranges[n][1] - ranges[n][0]) * (draw(i) / float(1 << 31)) for i, n in enumerate(JITTERS)}
+    # the place of an operation: how many have a lesser draw, those before it among equals
+    key = [draw(8 + i) for i in range(4)]
+    for i in range(4):
+        before = [((key[j] < key[i]) | ((key[j] == key[i]) & F.lit(j < i))).cast("int") for j in range(4) if j != i]
+        out[f"__p{i}"] = before[0] + before[1] + before[2]
+    return out
+
+
+def scrambled(c: Column, salt: int) -> Column:
+    """A fixed arithmetic scramble of whole numbers to 0..2**31-1 that SQL engines share."""
+    # fixed values: factors of the scramble
+    x = F.pmod(c * 7919 + F.lit(salt * 104729 + 12345), F.lit(1 << 31))
+    for _ in range(3):
+        x = (F.pmod(x, F.lit(1 << 31)) * 1103515245 + 12345) % (1 << 31)
+        x = x.bitwiseXOR(F.shiftright(x, 15))
+    return x % (1 << 31)
+
+
+@register
+def random_color_jitter(df: DataFrame, brightness: float = 0.0, contrast: float = 0.0, saturation: float = 0.0, hue: float = 0.0, p: float = 1.0, seed: int = 0) -> DataFrame:
+    """Brightness, contrast, saturation and hue by random factors, in a random order of each cloud's own; the four don't commute.
+
+    Factors lie in 1 +- the given width (0 at least), hue turns by up to +-hue (0.5 at most); a width of 0 leaves its operation out.  A share p of the
+    clouds is changed.  Colours stay within 0 to 255.  Contrast blends with the mean gray that the cloud has when its turn comes,
+    so clouds are averaged once for each of the four places; clouds go through all places side by side.
+    """
+    widths = {"brightness": brightness, "contrast": contrast, "saturation": saturation, "hue": hue}
+    if min(widths.values()) < 0 or hue > 0.5:
+        raise ValueError("widths must not be negative, and hue at most 0.5")
+    ranges = {n: (-w, w) if n == "hue" else (max(0.0, 1 - w), 1 + w) for n, w in widths.items()}
+    columns = df.columns
+    df = df.withColumns(jitter_plan(seed, ranges) | {"__on": scrambled(F.col("batch"), seed * 16 + 15) / float(1 << 31) < p})
+    for place in range(4):
+        turn = lambda i: F.col("__on") & (F.col(f"__p{i}") == place) & F.lit(widths[JITTERS[i]] > 0)  # noqa: B023, E731
+        if contrast > 0:
+            df, own = with_cloud(df, g=F.avg(gray()))
+        else:
+            df, own = df.withColumn("__cloud_g", F.lit(0.0)), ["__cloud_g"]
+        df = df.withColumn("__g", gray())
+        blend = lambda c, with_, i: clipped(F.col(c) * F.col(f"__f{i}") + with_ * (1 - F.col(f"__f{i}")))
+        changed = {c: F.when(turn(0), blend(c, F.lit(0.0), 0)).when(turn(1), blend(c, F.col("__cloud_g"), 1)).when(turn(2), blend(c, F.col("__g"), 2)).otherwise(F.col(c)) for c in "rgb"}
+        df = df.withColumns(changed).drop("__g", *own)
+        if hue > 0:
+            kept = {f"__{c}": F.col(c) for c in "rgb"}
+            rest = [c for c in ("h", "s", "v") if c in df.columns]
+            if rest:
+                raise ValueError(f"columns {rest} are in the way of hue and saturation")
+            df = rgb_to_hsv(df.withColumns(kept))
+            df = hsv_to_rgb(df.withColumn("h", F.pmod(F.col("h") + F.when(turn(3), F.col("__f3")).otherwise(0.0), F.lit(1.0)))).drop("h", "s", "v")
+            df = df.withColumns({c: F.when(turn(3), F.col(c)).otherwise(F.col(f"__{c}")) for c in "rgb"}).drop(*kept)
+    return df.select(*columns)
+
+
 @register
 def rgb_to_hsv(df: DataFrame) -> DataFrame:
     """Add h, s (0 to 1) and v (0 to 255)."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .ball import hits
 from .cells import voxel_first
-from .knn import knn_back, knn_grid
+from .knn import knn_back, knn_exact, knn_grid
+from .ranks import running, with_groups
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,3 +64,51 @@ def hierarchy(points: DataFrame, voxels: tuple[float, ...], k: int, num_down: in
             p = p.select(F.lit(level).alias("level"), "kind", "query_id", "rank", "support_id", "d2")
             out = p if out is None else out.unionByName(p)
     return out
+
+
+def collate(sizes: DataFrame, indices: DataFrame) -> DataFrame:
+    """(kind, level, row, slot, target): index tables of single samples as those of one batch, samples one after the other.
+
+    sizes (sample, level, n): points of each sample's levels.  indices (sample, kind, level, row, slot, target), rows and targets counted
+    from 0 within their sample: knn (row and target of the level), sub (row of the level, target of the one before) and
+    back (row of the one before, target of the level).  Each is shifted by what the samples before have on the level it counts on.
+    """
+    start = running(sizes.select("sample", "level", "n"), ["level"], ["sample"], ("n",)).select("sample", "level", F.col("n_before").alias("start"))
+    before = F.col("level") - 1
+    each = indices.withColumns({"__row": F.when(F.col("kind") == "back", before).otherwise(F.col("level")), "__target": F.when(F.col("kind") == "sub", before).otherwise(F.col("level"))})
+    for side in ("row", "target"):
+        named = start.select("sample", F.col("level").alias(f"__{side}"), F.col("start").alias(f"__at_{side}"))
+        each = with_groups(each, named, ["sample", f"__{side}"])
+    return each.select("kind", "level", (F.col("row") + F.col("__at_row")).alias("row"), "slot", (F.col("target") + F.col("__at_target")).alias("target"))
+
+
+def local_hierarchy(points: DataFrame, voxels: tuple[float, ...], k: int, num_down: int = 2, shift: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(sizes, indices) for collate(): each batch is a sample; level 0 are all points, each further one the first points of its voxels.
+
+    Points of a level are numbered by id.  knn: k neighbours within the level; sub: where a level's point is in the level before;
+    back: the nearest point of the level for each point of the level before.
+    """
+    current = checkpointed(points.select("point_id", "batch", "x", "y", "z"))
+    sizes, indices, last = None, None, None
+    number = lambda df: running(df.select("batch", "point_id"), ["batch"], ["point_id"], name="number")
+    for level in range(len(voxels) + 1):
+        if level:
+            current = checkpointed(voxel_first(current, voxels[level - 1], shift).select("point_id", "batch", "x", "y", "z"))
+        own = checkpointed(number(current))
+        size = own.groupBy(F.col("batch").alias("sample")).agg(F.lit(level).alias("level"), F.count("*").alias("n"))
+        sizes = size if sizes is None else sizes.unionByName(size)
+
+        def table(found: DataFrame, kind: str, rows: DataFrame, targets: DataFrame) -> DataFrame:
+            r = rows.select(F.col("point_id").alias("query_id"), F.col("batch").alias("sample"), F.col("number").alias("row"))
+            t = targets.select(F.col("point_id").alias("support_id"), F.col("number").alias("target"))
+            return found.join(r, "query_id").join(t, "support_id").select("sample", F.lit(kind).alias("kind"), F.lit(level).alias("level"), "row", (F.col("rank") - 1).alias("slot"), "target")
+
+        parts = [table(knn_exact(current, k), "knn", own, own)]
+        if level:
+            above, numbers = last
+            same = current.select(F.col("point_id").alias("query_id"), F.lit(1).cast("long").alias("rank"), F.col("point_id").alias("support_id"))
+            parts += [table(same, "sub", own, numbers), table(knn_exact(current, 1, queries=above), "back", numbers, own)]
+        for p in parts:
+            indices = p if indices is None else indices.unionByName(p)
+        last = (current, own)
+    return sizes, indices

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,19 +140,94 @@ def knn_adaptive(points: DataFrame, k: int, size: float, levels: int, *, low: in
     return top(exploded(q, P).join(s, ["level", "batch", *P]).withColumn("d2", square()), k)
 
 
-def knn_ivf(points: DataFrame, k: int, lists: int = 16, probe: int = 4, seed: int = 1) -> DataFrame:
-    """Approximate kNN over inverted lists: k-means centres, each query looks into its nearest ``probe`` lists."""
+def trained_centres(points: DataFrame, lists: int = 16, seed: int = 1) -> np.ndarray:
+    """k-means centres of the points; no more lists than leave 39 points to each."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
+    most = max(1, points.count() // 39)
+    lists = lists if lists <= most else 1 << (most.bit_length() - 1)
     vectors = VectorAssembler(inputCols=["x", "y", "z"], outputCol="v").transform(points)
-    model = KMeans(k=lists, seed=seed, featuresCol="v", predictionCol="list").fit(vectors)
-    centres = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), *[F.lit(float(v)).alias(f"s{a}") for a, v in zip("xyz", c)]) for i, c in enumerate(model.clusterCenters())]))
-    s = model.transform(vectors).select(F.col("point_id").alias("support_id"), "batch", *[F.col(a).alias(f"s{a}") for a in "xyz"], "list")
-    q = points.select(F.col("point_id").alias("query_id"), "batch", *[F.col(a).alias(f"q{a}") for a in "xyz"])
-    w = Window.partitionBy("query_id").orderBy("c2", "list")
-    near = q.withColumn("c", centres).select(*q.columns, "c.*").withColumn("c2", square()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= probe).select("query_id", "batch", "qx", "qy", "qz", "list")
-    return top(near.join(s, ["batch", "list"]).withColumn("d2", square()), k)
+    return np.array(KMeans(k=lists, seed=seed, featuresCol="v", predictionCol="list").fit(vectors).clusterCenters())
+
+
+def _to_centres(p: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    d = [p[:, i, None] - centres[None, :, i] for i in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def _nearest_lists(centres: np.ndarray, probe: int):
+    """Each row once for each of its ``probe`` nearest centres, with the centre's number: the smaller one among equally near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                p = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(2, 5)], axis=1)
+                order = np.argsort(_to_centres(p, centres), axis=1, kind="stable")[:, :probe]
+                take = pa.array(np.repeat(np.arange(len(p)), order.shape[1]))
+                yield pa.RecordBatch.from_arrays([*[c.take(take) for c in part.columns], pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(p)))], ["id", "batch", "x", "y", "z", "list", "nth"])
+
+    return run
+
+
+def in_lists(points: DataFrame, centres: np.ndarray, probe: int = 1) -> DataFrame:
+    """(id, batch, x, y, z, list, nth): points with their nearest lists, nth counting from 1."""
+    row = points.select(F.col("point_id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    return row.mapInArrow(_nearest_lists(centres, min(probe, len(centres))), "id long, batch int, x double, y double, z double, list int, nth int")
+
+
+def knn_ivf(points: DataFrame, k: int, lists: int = 16, probe: int = 4, seed: int = 1, centres: np.ndarray | None = None) -> DataFrame:
+    """Approximate kNN over inverted lists: k-means centres, each query looks into its nearest ``probe`` lists."""
+    centres = trained_centres(points, lists, seed) if centres is None else centres
+    s = in_lists(points, centres).select(F.col("id").alias("support_id"), "batch", *[F.col(a).alias(f"s{a}") for a in "xyz"], "list")
+    q = in_lists(points, centres, probe).select(F.col("id").alias("query_id"), "batch", *[F.col(a).alias(f"q{a}") for a in "xyz"], "list")
+    return top(q.join(s, ["batch", "list"]).withColumn("d2", square()), k)
+
+
+#: The numbers of lists that calibration tries.
+PROBES = (*range(1, 17), 24, 32, 48, 64)
+
+
+def _list_ranks(centres: np.ndarray):
+    """How many lists a query must look into to see the row's list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                d = _to_centres(np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 4)], axis=1), centres)
+                own = part.column(4).to_numpy(zero_copy_only=False)
+                mine = d[np.arange(len(d)), own][:, None]
+                need = ((d < mine) | ((d == mine) & (np.arange(d.shape[1]) < own[:, None]))).sum(1) + 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(need.astype(np.int32))], ["query_id", "need"])
+
+    return run
+
+
+def ivf_recall(points: DataFrame, exact: DataFrame, centres: np.ndarray, k: int, probes: tuple[int, ...] = PROBES) -> DataFrame:
+    """(nprobe, mean_recall, min_recall) of kNN over inverted lists for all ``probes`` at once.
+
+    A true neighbour is found as soon as its list is looked into, since nothing nearer can push it out.  So the number of lists
+    that each true neighbour needs gives the recall of every number of lists, without a search for each.
+    """
+    probes = tuple(p for p in probes if p <= len(centres)) or (1,)
+    home = in_lists(points, centres).select(F.col("id").alias("support_id"), "list")
+    q = points.select(F.col("point_id").alias("query_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    true = exact.where(F.col("rank") <= k).select("query_id", "support_id").join(home, "support_id").join(q, "query_id").select("query_id", "x", "y", "z", "list")
+    need = true.mapInArrow(_list_ranks(centres), "query_id long, need int")
+    each = need.groupBy("query_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("need") <= p).alias(f"p{p}") for p in probes])
+    share = lambda p: F.col(f"p{p}") / F.col("n")
+    one = each.agg(*[f(share(p)).alias(f"{n}{p}") for p in probes for n, f in (("mean", F.avg), ("min", F.min))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(p).alias("nprobe"), F.col(f"mean{p}").alias("mean_recall"), F.col(f"min{p}").alias("min_recall")) for p in probes])))
+
+
+def calibrated(recalls: DataFrame, target: float) -> DataFrame:
+    """recalls with ``chosen``: the least nprobe whose mean recall reaches the target, else the one nearest to it (the smaller among equals)."""
+    order = F.struct((F.col("mean_recall") < target).cast("int"), F.when(F.col("mean_recall") < target, F.abs(F.col("mean_recall") - target)).otherwise(0.0), F.col("nprobe"))
+    best = recalls.agg(F.min_by("nprobe", order).alias("__best"))
+    # one row
+    return recalls.join(F.broadcast(best), F.lit(True)).select(*recalls.columns, (F.col("nprobe") == F.col("__best")).alias("chosen"))
 
 
 def wide(found: DataFrame) -> DataFrame:

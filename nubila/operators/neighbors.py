@@ -92,3 +92,73 @@ def interpolate_given(nbrs: DataFrame, points: DataFrame, features: tuple[str, .
 def group_all(points: DataFrame, features: tuple[str, ...] = (), use_xyz: bool = True) -> DataFrame:
     """One group per batch that holds all of its points: (batch, group_id 0, point_id[, x, y, z], features)."""
     return points.select("batch", F.lit(0).alias("group_id"), "point_id", *(("x", "y", "z") if use_xyz else ()), *features)
+
+
+# attention by heads with relative positions: features and tables have an array of values per head
+#   features  (point_id, head, value array<double>)
+#   tables    (axis, rel_index, head, value array<double>)
+#   edges     (query_id, support_id), places (query_id, support_id, axis, rel_index)
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+
+
+def relative_places(edges: DataFrame, points: DataFrame, size: float, levels: int) -> DataFrame:
+    """(query_id, support_id, axis, rel_index): along each axis the cell of the difference query - support among ``levels``, the middle one
+    for none; differences beyond count as the outermost."""
+    side = lambda n, s: points.select(F.col("point_id").alias(n), *[F.col(a).alias(f"{s}{a}") for a in "xyz"])
+    both = edges.select("query_id", "support_id").join(side("query_id", "q"), "query_id").join(side("support_id", "s"), "support_id")
+    cell = lambda a: F.least(F.greatest(F.floor((F.col(f"q{a}") - F.col(f"s{a}")) / size) + levels // 2, F.lit(0)), F.lit(levels - 1)).cast("int")
+    return both.select("query_id", "support_id", F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), cell(a).alias("rel_index")) for i, a in enumerate("xyz")])).alias("p")).select("query_id", "support_id", "p.*")
+
+
+def head_relation(edges: DataFrame, query: DataFrame, key: DataFrame) -> DataFrame:
+    """(query_id, support_id, head, relation): the dot product of each head's query and key values along each edge."""
+    q = query.select(F.col("point_id").alias("query_id"), "head", F.col("value").alias("__q"))
+    k = key.select(F.col("point_id").alias("support_id"), "head", F.col("value").alias("__k"))
+    return edges.select("query_id", "support_id").join(q, "query_id").join(k, ["support_id", "head"]).select("query_id", "support_id", "head", _dot("__q", "__k").alias("relation"))
+
+
+def head_bias(places: DataFrame, sides: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """(query_id, support_id, head, bias): over axes and sides, dot products of a point's values with its table's row.
+
+    sides: (the edge's end, query_id or support_id; features; table).  A point meets a row once, whatever the number of its edges that
+    have it, and edges take the products up by a join.
+    """
+    out = None
+    for end, features, table in sides:
+        spots = places.select(F.col(end).alias("point_id"), "axis", "rel_index").distinct()
+        row = table.withColumnRenamed("value", "__t")
+        met = spots.join(F.broadcast(row) if _small(table) else row, ["axis", "rel_index"]).join(features, ["point_id", "head"])
+        products = met.select(F.col("point_id").alias(end), "axis", "rel_index", "head", _dot("value", "__t").alias("part"))
+        one = places.join(products, [end, "axis", "rel_index"]).select("query_id", "support_id", "head", "part")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("query_id", "support_id", "head").agg(F.sum("part").alias("bias"))
+
+
+def _small(table: DataFrame, rows: int = 100_000) -> bool:
+    return table.limit(rows + 1).count() <= rows
+
+
+def head_softmax(relations: DataFrame, value: str = "relation") -> DataFrame:
+    """relations with ``weight``: softmax over the edges of each query and head, by two aggregations of each."""
+    top = relations.groupBy("query_id", "head").agg(F.max(value).alias("__m"))
+    e = relations.join(top, ["query_id", "head"]).withColumn("__e", F.exp(F.col(value) - F.col("__m")))
+    total = e.groupBy("query_id", "head").agg(F.sum("__e").alias("__t"))
+    return e.join(total, ["query_id", "head"]).withColumn("weight", F.col("__e") / F.col("__t")).drop("__e", "__m", "__t")
+
+
+def head_values(weights: DataFrame, values: DataFrame, places: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
+    """(query_id, head, c, value): per query and head the weighted sums of the neighbours' values and, with ``places`` and ``table``, of the
+    table's rows at the edges' relative positions on all axes.
+
+    Weights of edges at one position are added up before they meet the table, so a query meets each row once.
+    """
+    v = values.select(F.col("point_id").alias("support_id"), "head", "value")
+    spread = lambda df, w: df.select("query_id", "head", F.posexplode(F.transform("value", lambda x: x * F.col(w))).alias("c", "part"))
+    out = spread(weights.select("query_id", "support_id", "head", "weight").join(v, ["support_id", "head"]), "weight")
+    if table is not None:
+        at = weights.select("query_id", "support_id", "head", "weight").join(places, ["query_id", "support_id"]).groupBy("query_id", "head", "axis", "rel_index").agg(F.sum("weight").alias("weight"))
+        out = out.unionByName(spread(at.join(F.broadcast(table) if _small(table) else table, ["axis", "rel_index", "head"]), "weight"))
+    return out.groupBy("query_id", "head", "c").agg(F.sum("part").alias("value"))

@@ -121,28 +121,31 @@ def remaining(todo: DataFrame, complete: DataFrame, keys: tuple[str, ...]) -> Da
 
 
 def multiset_common(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Keys of both with how often both have them (repeated records count as often as the side that has fewer)."""
-    counts = [d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((left, "a"), (right, "b"))]
-    return counts[0].join(counts[1], list(keys)).select(*keys, F.least("a", "b").alias("common"))
+    """Keys of both with how often both have them (repeated records count as often as the side that has fewer); null keys are keys."""
+    return left.select(*keys).intersectAll(right.select(*keys)).groupBy(*keys).agg(F.count("*").alias("common"))
 
 
 def key_differences(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Keys that one side lacks: side is missing (only left has it) or extra (only right has it)."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return a.join(b, list(keys), "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("extra")))
+    """Keys that one side lacks: side is missing (only left has it) or extra (only right has it); null keys are keys."""
+    a, b = left.select(*keys), right.select(*keys)
+    return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("extra")))
 
 
 def lacking(records: DataFrame, column: str, required: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
-    """(by, column) of the required values that a group has no record of."""
+    """(by, column) of the required values that a group has no record of; records without a group are one."""
     wanted = records.select(*by).distinct().select(*by, F.explode(F.array(*map(F.lit, required))).alias(column))
-    return wanted.join(records.select(*by, column).distinct(), [*by, column], "left_anti")
+    return wanted.subtract(records.select(*by, column))
 
 
 def identity_mismatches(left: DataFrame, right: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
-    """Keys that one side lacks or whose fields differ; reason is left, right (the side that has it) or fields."""
-    a, b = (d.select(*keys, F.struct(*fields).alias(n)) for d, n in ((left, "a"), (right, "b")))
+    """Keys that one side lacks or whose fields differ; reason is left, right (the side that has it) or fields.  Null keys are keys."""
+    a, b = (d.select(*[F.col(k).alias(f"{n}_{k}") for k in keys], F.struct(*fields).alias(n)) for d, n in ((left, "a"), (right, "b")))
+    on = None
+    for k in keys:
+        same = F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
+        on = same if on is None else on & same
     reason = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").when(~F.col("a").eqNullSafe(F.col("b")), "fields")
-    return a.join(b, list(keys), "full").select(*keys, reason.alias("reason")).where("reason is not null")
+    return a.join(b, on, "full").select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], reason.alias("reason")).where("reason is not null")
 
 
 def cyclic_order(rooms: DataFrame, variants: tuple[str, ...]) -> DataFrame:

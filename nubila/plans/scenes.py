@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cells, instances, trees, windows
-from ..sources.fixtures import event_points, table
-from .catalog import EVENTS, EVT, EVT_CELLS, _hilbert_steps, _morton_steps, query
+import numpy as np
+
+from ..functions import transforms
+from ..operators import cells, cluster, instances, knn, neighbors, poses, trees, windows
+from ..operators.ball import lcg
+from ..sources.fixtures import embedding_points, event_points, table
+from .catalog import BY_LABEL, D2, EMB, EVENTS, EVT, EVT_CELLS, EXACT, K, SHIFT, _hilbert_steps, _morton_steps, cells_sql, query, top_sql
 
 # instance segmentation: an event type's values in bins are instances of a scene; masks are shifted bins and bins twice as wide
 
@@ -124,3 +128,187 @@ cn AS (SELECT pl.*, {', '.join(f'(floor(p{a}) + o{a})::BIGINT AS c{a}, CASE o{a}
 SELECT point_id, {', '.join(f'round(any_value({a}) + {_M} * sum(wx * wy * wz * n{n}), 6) AS {a}' for n, a in enumerate('xyz'))} FROM cn JOIN g6 g ON g.batch = cn.batch AND g.i = cx AND g.j = cy AND g.k = cz GROUP BY point_id""")
 def elastic_distortion(spark, d):
     return windows.elastic(event_points(spark, d), _G, _M, _SEED).select("point_id", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+# attention by heads with relative positions: two heads of two values each
+
+_SIZE, _LEVELS = 0.1, 9
+_HEADS = "hv AS (SELECT vec_id AS point_id, head, embedding[4 + 2 * head:5 + 2 * head]::DOUBLE[] AS qk, embedding[8 + 2 * head:9 + 2 * head]::DOUBLE[] AS v FROM embeddings, range(2) t(head))"
+_TABLES = f"tb AS (SELECT t AS side, axis, rel, head, list(((rel * 7 + axis * 3 + head * 5 + c * 11 + t * 2) % 17) / 17 - 0.5 ORDER BY c) AS value FROM range(3) a(t), range(3) b(axis), range({_LEVELS}) d(rel), range(2) e(head), range(2) f(c) GROUP BY ALL)"
+_PLACES = "pl AS (SELECT query_id, support_id, unnest([0, 1, 2]) AS axis, unnest([" + ", ".join(f"least(greatest(floor((q.{a} - s.{a}) / {_SIZE})::INTEGER + {_LEVELS // 2}, 0), {_LEVELS - 1})" for a in "xyz") + "]) AS rel FROM nn JOIN emb q ON q.point_id = query_id JOIN emb s ON s.point_id = support_id)"
+_BIAS = "bi AS (SELECT query_id, support_id, q.head, sum(q.qk[1] * a.value[1] + q.qk[2] * a.value[2] + k.qk[1] * b.value[1] + k.qk[2] * b.value[2]) AS bias FROM pl JOIN hv q ON q.point_id = query_id JOIN hv k ON k.point_id = support_id AND k.head = q.head JOIN tb a ON a.side = 0 AND a.axis = pl.axis AND a.rel = pl.rel AND a.head = q.head JOIN tb b ON b.side = 1 AND b.axis = pl.axis AND b.rel = pl.rel AND b.head = q.head GROUP BY ALL)"
+
+
+def _attention(spark, d):
+    points = embedding_points(spark, d)
+    e = table(spark, d, "embeddings")
+    part = lambda at: F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.slice("embedding", at + 2 * h, 2).cast("array<double>").alias("value")) for h in (0, 1)]))
+    features = lambda at: e.select(F.col("vec_id").alias("point_id"), part(at).alias("f")).select("point_id", "f.*")
+    n = spark.range(_LEVELS * 6).select((F.col("id") % 3).cast("int").alias("axis"), (F.floor(F.col("id") / 3) % 2).cast("int").alias("head"), F.floor(F.col("id") / 6).cast("int").alias("rel_index"))
+    value = lambda t: F.array(*[((F.col("rel_index") * 7 + F.col("axis") * 3 + F.col("head") * 5 + c * 11 + t * 2) % 17) / 17 - 0.5 for c in (0, 1)])
+    tables = [n.withColumn("value", value(t)) for t in range(3)]
+    edges = knn.knn_exact(points, K).select("query_id", "support_id")
+    return edges, neighbors.relative_places(edges, points, _SIZE, _LEVELS), features(4), features(8), tables
+
+
+@query(f"WITH {EXACT}, {_HEADS}, {_TABLES}, {_PLACES}, {_BIAS} SELECT query_id, support_id, head, round(bias, 9) AS bias FROM bi")
+def attn_head_bias(spark, d):
+    _, places, qk, _, tables = _attention(spark, d)
+    return neighbors.head_bias(places, [("query_id", qk, tables[0]), ("support_id", qk, tables[1])]).withColumn("bias", F.round("bias", 9))
+
+
+@query(f"""WITH {EXACT}, {_HEADS}, {_TABLES}, {_PLACES}, {_BIAS},
+rl AS (SELECT bi.*, exp(q.qk[1] * k.qk[1] + q.qk[2] * k.qk[2] + bias) AS e FROM bi JOIN hv q ON q.point_id = query_id AND q.head = bi.head JOIN hv k ON k.point_id = support_id AND k.head = bi.head),
+wt AS (SELECT *, e / sum(e) OVER (PARTITION BY query_id, head) AS w FROM rl),
+pv AS (SELECT query_id, support_id, pl.axis, pl.rel, tb.head, value FROM pl JOIN tb ON side = 2 AND tb.axis = pl.axis AND tb.rel = pl.rel),
+sv AS (SELECT query_id, support_id, head, sum(value[1]) AS t1, sum(value[2]) AS t2 FROM pv GROUP BY ALL)
+SELECT query_id, wt.head, c::INTEGER AS c, round(sum(w * (CASE c WHEN 0 THEN v[1] + t1 ELSE v[2] + t2 END)), 9) AS value FROM wt JOIN sv USING (query_id, support_id, head) JOIN hv ON point_id = support_id AND hv.head = wt.head, range(2) t(c) GROUP BY ALL""")
+def attn_head_values(spark, d):
+    edges, places, qk, v, tables = _attention(spark, d)
+    relation = neighbors.head_relation(edges, qk, qk)
+    bias = neighbors.head_bias(places, [("query_id", qk, tables[0]), ("support_id", qk, tables[1])])
+    both = relation.join(bias, ["query_id", "support_id", "head"]).withColumn("relation", F.col("relation") + F.col("bias"))
+    return neighbors.head_values(neighbors.head_softmax(both), v, places, tables[2]).withColumn("value", F.round("value", 9))
+
+
+# chains of poses: an event's frame follows the one before it of the same user
+
+_MOST = 10
+
+
+def _mat_sql(t: str, q: str) -> str:
+    """A 4x4 matrix as a list from a translation and a quaternion."""
+    w, x, y, z = (f"{q}[{i}]" for i in range(1, 5))
+    rows = [(f"1-2*({y}*{y}+{z}*{z})", f"2*({x}*{y}-{z}*{w})", f"2*({x}*{z}+{y}*{w})"), (f"2*({x}*{y}+{z}*{w})", f"1-2*({x}*{x}+{z}*{z})", f"2*({y}*{z}-{x}*{w})"), (f"2*({x}*{z}-{y}*{w})", f"2*({y}*{z}+{x}*{w})", f"1-2*({x}*{x}+{y}*{y})")]
+    return "[" + ", ".join(", ".join((*r, f"{t}[{i + 1}]")) for i, r in enumerate(rows)) + ", 0, 0, 0, 1]"
+
+
+def _mul_sql(a: str, b: str) -> str:
+    return "[" + ", ".join("+".join(f"{a}[{4 * i + k + 1}]*{b}[{4 * k + j + 1}]" for k in range(4)) for i in range(4) for j in range(4)) + "]"
+
+
+def _inv_sql(m: str) -> str:
+    at = lambda i, j: f"{m}[{4 * i + j + 1}]"
+    return "[" + ", ".join(", ".join((at(0, i), at(1, i), at(2, i), "-(" + "+".join(f"{at(k, i)}*{at(k, 3)}" for k in range(3)) + ")")) for i in range(3)) + ", 0, 0, 0, 1]"
+
+
+_CHAIN = f"""fr AS (SELECT event_id AS token, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, day(ts) * 86400 + hour(ts) * 3600 + minute(ts) * 60 AS sec,
+ [value / 100, hour(ts)::DOUBLE, day(ts)::DOUBLE] AS ct, [cos(value / 100), 0, 0, sin(value / 100)] AS cq, [0.5::DOUBLE, 0.1::DOUBLE * (event_id % 3), 1.8::DOUBLE] AS st, [cos(0.05::DOUBLE * (event_id % 5)), sin(0.05::DOUBLE * (event_id % 5)), 0, 0] AS sq FROM events),
+ps AS MATERIALIZED (SELECT token, prev, sec, {_mat_sql('ct', 'cq')} AS car, {_mat_sql('st', 'sq')} AS sensor FROM fr),
+ch AS (SELECT token, 1 AS step, prev AS target FROM ps WHERE prev IS NOT NULL UNION ALL SELECT ch.token, step + 1, ps.prev FROM ch JOIN ps ON ps.token = ch.target WHERE ps.prev IS NOT NULL AND step < {_MOST - 1}),
+en AS (SELECT token, max(step) AS steps, arg_max(target, step) AS last FROM ch GROUP BY token),
+al AS (SELECT ps.token, s.step, coalesce(ch.target, en.last) AS target FROM ps CROSS JOIN range(1, {_MOST}) s(step) LEFT JOIN ch ON ch.token = ps.token AND ch.step = s.step LEFT JOIN en ON en.token = ps.token),
+iv AS MATERIALIZED (SELECT token, sec, {_inv_sql('sensor')} AS s, {_inv_sql('car')} AS c FROM ps), nt AS MATERIALIZED (SELECT token, sec, {_mul_sql('s', 'c')} AS m FROM iv), ou AS MATERIALIZED (SELECT token, sec, {_mul_sql('car', 'sensor')} AS m FROM ps),
+jn AS MATERIALIZED (SELECT al.token, step, target, nt.sec - ou.sec AS lag, nt.m AS a, ou.m AS b FROM al JOIN nt ON nt.token = al.token LEFT JOIN ou ON ou.token = target)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT token, step::INTEGER AS step, coalesce(target, token) AS sweep, coalesce(lag, 0)::INTEGER AS lag, " + ", ".join(f"CASE WHEN target IS NOT NULL THEN round({'+'.join(f'a[{4 * (n // 4) + k + 1}]*b[{4 * k + n % 4 + 1}]' for k in range(4))}, 6) + 0.0 END AS m{n}" for n in range(12)) + " FROM jn")
+def sweep_chain(spark, d):
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n, zero = F.col("event_id"), F.lit(0.0)
+    turn = lambda c: (F.cos(c), F.sin(c))
+    car, sensor = turn(F.col("value") / 100), turn(F.lit(0.05) * (n % 5))
+    frames = e.select(
+        n.alias("token"), F.lag("event_id").over(w).alias("prev"), (F.dayofmonth("ts") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60).alias("ts"),
+        F.array(F.col("value") / 100, F.hour("ts").cast("double"), F.dayofmonth("ts").cast("double")).alias("ct"), F.array(car[0], zero, zero, car[1]).alias("cq"),
+        F.array(F.lit(0.5), F.lit(0.1) * (n % 3), F.lit(1.8)).alias("st"), F.array(sensor[0], sensor[1], zero, zero).alias("sq"),
+    )
+    frames = frames.select("token", "prev", "ts", poses.matrix(F.col("ct"), F.col("cq")).alias("car_pose"), poses.matrix(F.col("st"), F.col("sq")).alias("sensor_pose"))
+    out = poses.sweep_chain(frames, _MOST)
+    return out.select("token", "step", "sweep", "lag", *[(F.round(F.get("transform", F.lit(i)), 6) + F.lit(0.0)).alias(f"m{i}") for i in range(12)])
+
+
+# levels of several samples in one batch
+
+_STEPS = (0.1, 0.2)
+
+
+def _batch_sql() -> str:
+    ctes, parts, sizes = [BY_LABEL, "l0 AS (SELECT point_id, batch, x, y, z FROM emb)"], [], []
+    for level in range(len(_STEPS) + 1):
+        if level:
+            ctes += [cells_sql(f"c{level}", f"l{level - 1}", _STEPS[level - 1], SHIFT), f"l{level} AS (SELECT point_id, batch, x, y, z FROM l{level - 1} WHERE point_id IN (SELECT min(point_id) FROM c{level} GROUP BY batch, gx, gy, gz))"]
+        sizes.append(f"SELECT batch, {level} AS level, count(*) AS n FROM l{level} GROUP BY batch")
+        # numbers in the whole batch: samples one after the other
+        ctes.append(f"n{level} AS (SELECT *, row_number() OVER (ORDER BY batch, point_id) - 1 AS num FROM l{level})")
+        ctes += [f"k{level} AS (SELECT q.num AS query_id, s.num AS support_id, {D2} AS d2, s.point_id AS sid FROM n{level} q JOIN n{level} s ON q.batch = s.batch)", f"t{level} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, sid) - 1 AS slot FROM k{level})"]
+        parts.append(f"SELECT 'knn' AS kind, {level} AS level, query_id AS row, slot, support_id AS target FROM t{level} WHERE slot < 3")
+        if level:
+            parts.append(f"SELECT 'sub', {level}, a.num, 0, b.num FROM n{level} a JOIN n{level - 1} b USING (point_id)")
+            ctes += [f"b{level} AS (SELECT q.num AS query_id, s.num AS support_id, {D2} AS d2, s.point_id AS sid FROM n{level - 1} q JOIN n{level} s ON q.batch = s.batch)"]
+            parts.append(f"SELECT 'back', {level}, query_id, 0, arg_min(support_id, (d2, sid)) FROM b{level} GROUP BY query_id")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query(_batch_sql())
+def hierarchy_batch(spark, d):
+    return cluster.collate(*cluster.local_hierarchy(embedding_points(spark, d, batch_by_label=True), _STEPS, 3, shift=SHIFT))
+
+
+# recall of inverted lists by the number of lists looked into
+
+_LISTS, _TARGET = 16, 0.9
+_PROBES = [p for p in knn.PROBES if p <= _LISTS]
+
+
+@query(f"""WITH {EXACT}, ce AS (SELECT x, y, z, row_number() OVER (ORDER BY (point_id * 1103515245 + 12345) % 2147483648, point_id) - 1 AS list FROM emb QUALIFY list < {_LISTS}),
+ds AS (SELECT q.point_id, list, row_number() OVER (PARTITION BY q.point_id ORDER BY {D2}, list) AS nth FROM emb q, ce s), ho AS (SELECT point_id, list FROM ds WHERE nth = 1),
+ne AS (SELECT query_id, nth FROM nn JOIN ho ON ho.point_id = support_id JOIN ds ON ds.point_id = query_id AND ds.list = ho.list),
+rc AS (SELECT p AS nprobe, query_id, count(*) FILTER (nth <= p) / count(*) AS r FROM ne, (SELECT unnest({_PROBES}) AS p) GROUP BY ALL),
+al AS (SELECT nprobe, avg(r) AS mean_recall, min(r) AS min_recall FROM rc GROUP BY nprobe)
+SELECT nprobe, round(mean_recall, 9) AS mean_recall, min_recall, nprobe = (SELECT nprobe FROM al ORDER BY mean_recall < {_TARGET}, CASE WHEN mean_recall < {_TARGET} THEN {_TARGET} - mean_recall ELSE 0 END, nprobe LIMIT 1) AS chosen FROM al""")
+def ivf_calibration(spark, d):
+    points = embedding_points(spark, d)
+    centres = np.array([tuple(r) for r in points.orderBy(lcg(F.col("point_id"), 0), "point_id").limit(_LISTS).select("x", "y", "z").collect()])
+    recalls = knn.ivf_recall(points, knn.knn_exact(points, K), centres, K)
+    return knn.calibrated(recalls, _TARGET).withColumn("mean_recall", F.round("mean_recall", 9))
+
+
+@query(f"""WITH {EMB}, ce AS (SELECT x, y, z, row_number() OVER (ORDER BY (point_id * 1103515245 + 12345) % 2147483648, point_id) - 1 AS list FROM emb QUALIFY list < {_LISTS}),
+ds AS (SELECT q.point_id, list, row_number() OVER (PARTITION BY q.point_id ORDER BY {D2}, list) AS nth FROM emb q, ce s),
+pairs AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM ds a JOIN ds b ON a.list = b.list AND a.nth <= 4 AND b.nth = 1 JOIN emb q ON q.point_id = a.point_id JOIN emb s ON s.point_id = b.point_id), {top_sql('nn', 'pairs', K)} SELECT * FROM nn""")
+def knn_ivf_given(spark, d):
+    points = embedding_points(spark, d)
+    centres = np.array([tuple(r) for r in points.orderBy(lcg(F.col("point_id"), 0), "point_id").limit(_LISTS).select("x", "y", "z").collect()])
+    return knn.knn_ivf(points, K, probe=4, centres=centres)
+
+
+# colours in a random order of operations
+
+_WIDTHS, _CSEED = {"brightness": 0.4, "contrast": 0.5, "saturation": 0.6, "hue": 0.2}, 3
+
+
+def _draw_sql(salt: int) -> str:
+    x = f"((batch * 7919 + {(_CSEED * 16 + salt) * 104729 + 12345}) % 2147483648)"
+    for _ in range(3):
+        x = f"(SELECT xor(y, y >> 15) FROM (SELECT ({x} % 2147483648 * 1103515245 + 12345) % 2147483648 AS y))"
+    return f"({x} % 2147483648)"
+
+
+def _jitter_sql() -> str:
+    luma = " + ".join(f"{c} * {w}" for c, w in zip("rgb", transforms.LUMA))
+    low = {n: -w if n == "hue" else max(0.0, 1 - w) for n, w in _WIDTHS.items()}
+    high = {n: w if n == "hue" else 1 + w for n, w in _WIDTHS.items()}
+    out = ["c AS (SELECT event_id AS point_id, (user_id % 12)::BIGINT AS batch, value * 255 / 490 AS r, hour(ts) * 11.0::DOUBLE AS g, day(ts) * 8.0::DOUBLE AS b FROM events)",
+           "dr AS MATERIALIZED (SELECT batch, " + ", ".join(f"{_draw_sql(i)} AS u{i}, {_draw_sql(8 + i)} AS k{i}" for i in range(4)) + " FROM (SELECT DISTINCT batch FROM c))",
+           "f AS MATERIALIZED (SELECT batch, " + ", ".join(f"{low[n]} + {high[n] - low[n]!r} * (u{i} / 2147483648) AS f{i}, (SELECT list_sort([{', '.join(f'{{k: k{j}, i: {j}}}' for j in range(4))}])) AS o" if i == 0 else f"{low[n]} + {high[n] - low[n]!r} * (u{i} / 2147483648) AS f{i}" for i, n in enumerate(_WIDTHS)) + " FROM dr)",
+           "s0 AS (SELECT c.*, f.* EXCLUDE (batch) FROM c JOIN f USING (batch))"]
+    clip = lambda e: f"greatest(least({e}, 255), 0)"
+    for place in range(4):
+        out.append(f"g{place} AS MATERIALIZED (SELECT *, o[{place + 1}].i AS op, {luma} AS gr, avg({luma}) OVER (PARTITION BY batch) AS mean, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS dd FROM s{place})")
+        hue = "CASE WHEN dd = 0 THEN 0 WHEN r = hi THEN (((g - b) / dd) % 6 + 6) % 6 WHEN g = hi THEN (b - r) / dd + 2 ELSE (r - g) / dd + 4 END"
+        out.append(f"h{place} AS MATERIALIZED (SELECT *, ((({hue}) / 6 + f3) % 1 + 1) % 1 * 6 AS hu, CASE WHEN hi > 0 THEN dd / hi ELSE 0 END AS sa FROM g{place})")
+        turned = lambda n: f"hi - hi * sa * greatest(0, least((hu + {n}) % 6, 4 - (hu + {n}) % 6, 1))"
+        new = [f"CASE op WHEN 0 THEN {clip(f'{c} * f0')} WHEN 1 THEN {clip(f'{c} * f1 + mean * (1 - f1)')} WHEN 2 THEN {clip(f'{c} * f2 + gr * (1 - f2)')} ELSE {turned(n)} END AS {c}" for c, n in zip("rgb", (5, 3, 1))]
+        out.append(f"s{place + 1} AS MATERIALIZED (SELECT point_id, batch, {', '.join(new)}, f0, f1, f2, f3, o FROM h{place})")
+    return f"WITH {', '.join(out)} SELECT point_id, " + ", ".join(f"round({c}, 5) AS {c}" for c in "rgb") + " FROM s4"
+
+
+@query(_jitter_sql())
+def color_jitter_order(spark, d):
+    e = table(spark, d, "events")
+    colours = e.select(F.col("event_id").alias("point_id"), (F.col("user_id") % 12).alias("batch"), (F.col("value") * 255 / 490).alias("r"), (F.hour("ts") * 11.0).alias("g"), (F.dayofmonth("ts") * 8.0).alias("b"))
+    return transforms.random_color_jitter(colours, **_WIDTHS, seed=_CSEED).select("point_id", *[F.round(c, 5).alias(c) for c in "rgb"])
