@@ -543,20 +543,26 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     lines = ws.save(src.select("did", "th", "text").mapInArrow(_lines(ranks, parts), _CLASSES), "lines")
     classes = lines.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_classes, _CLASSES)
     classes = ws.save(classes, "classes")
+    # where lines are is asked for in the end; what made the classes can go
+    places = ws.save(lines.where("part < 0").select("rows", "did", "th", "line", "c1", "c2"), "places")
+    ws.drop(lines)
     load = slot_counts(classes.select("prefix", "tokens"), SLOTS, _load)
     parts = max(width, -(-int(load.sum()) // (PART * SHARES)))
     # a slot far above the mean holds a token of very many lines
     blocks = ws.spark.sparkContext.broadcast(np.minimum(1 + np.maximum(0, load - 2 * int(load.mean())) // BLOCK, 65535).astype(np.uint16))
     gone, asking, wanted, low, high, shares = None, None, None, 0, FIRST, SHARES
     while True:
-        pairs = None
+        pairs, made = None, []
         for share in range(shares):
             dealt = classes.mapInArrow(_dealt(parts, share, shares, blocks, asking, wanted), _PACKED)
             found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(low, high), "x long, y long, token long, apart int")
             found = ws.save(found.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")), "pairs")
+            made.append(found)
             pairs = found if pairs is None else pairs.unionByName(found)
             ws.release()
-        pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")) if shares > 1 else pairs, "together")
+        if shares > 1:
+            pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")), "together")
+            ws.drop(*made)
         together = pairs.where("y IS NOT NULL")
         sets = _sets_of(ws, src, ranks, classes, together)
         if sets is not None:
@@ -584,10 +590,10 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     known = classes.select(*_BRIEF).mapInArrow(_told(removed, True), _PLACE + ", n long, copies long").select("c1", "c2", place.alias("first"), "copies")
     known = known.join(gone.withColumn("resembles", F.lit(True)), ["c1", "c2"], "left") if gone is not None else known.withColumn("resembles", F.lit(False))
     known = ws.save(known.withColumn("resembles", F.coalesce("resembles", F.lit(False))).where("copies > 1 or resembles"), "known")
-    spots = lines.where("part < 0").select("rows", "did", "th", "line", "c1", "c2").mapInArrow(_spots(KeyFilter(known, "c1", known.count())), _PLACE)
+    spots = places.mapInArrow(_spots(KeyFilter(known, "c1", known.count())), _PLACE)
     hit = spots.join(known, ["c1", "c2"]).where(F.col("resembles") | (place != F.col("first")))
     out = ws.save(hit.groupBy("did", "th").agg(F.collect_set("line").alias("gone")), "gone")
-    ws.drop(lines, classes, known)
+    ws.drop(places, classes, known)
     return out
 
 
