@@ -116,6 +116,12 @@ def candidate_distribution(counts: DataFrame, by: tuple[str, ...] = ("batch",))
     return total.join(median, list(by))
 
 
+def mean_over_groups(distribution: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, groups, points, means of the columns) of candidate_distribution() rows, each group counting alike."""
+    numbers = [c for c in distribution.columns if c in ("mean", "median", "minimum", "maximum", "p05", "p25", "p75", "p95")]
+    return distribution.groupBy(*by).agg(F.count("*").alias("groups"), F.sum("points").alias("points"), *[F.avg(c).alias(c) for c in numbers])
+
+
 def candidate_bands(counts: DataFrame, low: int, high: int) -> DataFrame:
     """Points whose query has fewer than low, low to high, or more than high candidates, with the mean of each band."""
     each = candidate_counts(counts).join(counts.select(*CELL, "cnt"), list(CELL))

@@ -169,3 +169,38 @@ def pooled_recall(exact: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
 def boundary_histogram(shares: DataFrame, bins: int = 100) -> DataFrame:
     """Points by the share of neighbours of their own class, in bins + 1 bins (bin i from i / bins on)."""
     return shares.groupBy(F.floor(F.col("same") * bins).alias("bin")).agg(F.count("*").alias("points"))
+
+
+def subset_metrics(seg: DataFrame, classes: int, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(by, subset, points, miou, macc, overall) of all, boundary and inner points from (by, target, pred, is_boundary).
+
+    Classes that neither side has are left out of the means.  One aggregation of the points; the rest is a row per class pair.
+    """
+    names = F.array(F.lit("all"), F.when(F.col("is_boundary"), "boundary").otherwise("inner"))
+    counts = confusion(seg.withColumn("subset", F.explode(names)), classes, by=(*by, "subset"))
+    areas = class_areas(counts, (*by, "subset"))
+    per = iou(areas, "nan", (*by, "subset")).groupBy(*by, "subset").agg(F.avg("iou").alias("miou"), F.avg("accuracy").alias("macc"))
+    total = areas.groupBy(*by, "subset").agg(F.sum("target_area").alias("points"), (F.sum("intersection") / F.sum("target_area")).alias("overall"))
+    return total.join(per, [*by, "subset"]).select(*by, "subset", "points", "miou", "macc", "overall")
+
+
+def band_recalls(candidates: DataFrame, fixed: DataFrame, adaptive: DataFrame, k: int, low: int = 2, high: int = 8) -> DataFrame:
+    """(band, queries, share, fixed_recall, adaptive_recall, gain) by the number of candidates of a query: below low * k, within, above high * k.
+
+    candidates (query_id, candidates); fixed and adaptive (query_id, recall) of the same queries.
+    """
+    band = F.when(F.col("candidates") < low * k, "below").when(F.col("candidates") <= high * k, "within").otherwise("above")
+    side = lambda df, n: df.select("query_id", F.col("recall").alias(n))
+    each = candidates.select("query_id", band.alias("band")).join(side(fixed, "f"), "query_id").join(side(adaptive, "a"), "query_id")
+    out = each.groupBy("band").agg(F.count("*").alias("queries"), F.avg("f").alias("fixed_recall"), F.avg("a").alias("adaptive_recall"))
+    # three rows
+    total = out.agg(F.sum("queries").alias("__all"))
+    return out.join(F.broadcast(total), F.lit(True)).select("band", "queries", (F.col("queries") / F.col("__all")).alias("share"), "fixed_recall", "adaptive_recall", (F.col("adaptive_recall") - F.col("fixed_recall")).alias("gain"))
+
+
+def part_iou_summary(shapes: DataFrame, category: str = "category") -> DataFrame:
+    """(category, shapes, iou) from (shape, category, iou): the mean of each category's shapes; category null is the mean over all shapes
+    and, as class_iou, over the categories' means."""
+    per = shapes.groupBy(category).agg(F.count("*").alias("shapes"), F.avg("iou").alias("iou"))
+    every = per.agg(F.lit(None).cast(shapes.schema[category].dataType).alias(category), F.sum("shapes").alias("shapes"), (F.sum(F.col("iou") * F.col("shapes")) / F.sum("shapes")).alias("iou"), F.avg("iou").alias("class_iou"))
+    return per.withColumn("class_iou", F.lit(None).cast("double")).unionByName(every)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .knn import knn_exact
+from .ranks import with_groups
+
 
 def gathered(nbrs: DataFrame, points: DataFrame, columns: tuple[str, ...], *, own: tuple[str, ...] = ()) -> DataFrame:
     """Neighbour columns as n_*, and the query's own as q_*."""
@@ -94,6 +97,28 @@ def group_all(points: DataFrame, features: tuple[str, ...] = (), use_xyz: bool =
     return points.select("batch", F.lit(0).alias("group_id"), "point_id", *(("x", "y", "z") if use_xyz else ()), *features)
 
 
+def soft_dilated(points: DataFrame, n: int, dilation: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, slot, support_id, d2): n neighbours at every (dilation + 1)-th rank, slots counting from 0; in a batch with too few points for
+    that the ranks are spread evenly over what there is, rounded down, and may repeat."""
+    total = 1 + (n - 1) * (dilation + 1)
+    found = knn_exact(points, total, queries=queries)
+    asked = (queries if queries is not None else points).select(F.col("point_id").alias("query_id"), "batch")
+    asked = with_groups(asked, points.groupBy("batch").agg(F.count("*").alias("cnt")), ["batch"])
+    step = F.when(F.col("cnt") < total, (F.col("cnt") - 1) / max(n - 1, 1) - 1).otherwise(F.lit(float(dilation))) + 1
+    slots = asked.withColumn("step", step).select("query_id", "step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    wanted = slots.select("query_id", "slot", (F.floor(F.col("step") * F.col("slot")) + 1).alias("rank"))
+    return wanted.join(found, ["query_id", "rank"]).select("query_id", "slot", "support_id", "d2")
+
+
+def unpool_interpolated(fine: DataFrame, coarse: DataFrame, features: tuple[str, ...], k: int = 3, add: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, features): each fine point's mean of its k nearest coarse points' features by inverse distance, plus its own columns in add."""
+    near = interpolate(knn_exact(coarse, k, queries=fine), coarse, features)
+    if not add:
+        return near
+    own = fine.select(F.col("point_id").alias("query_id"), *[F.col(f).alias(f"__{f}") for f in add])
+    return near.join(own, "query_id").select("query_id", *[(F.col(f) + F.col(f"__{f}") if f in add else F.col(f)).alias(f) for f in features])
+
+
 # attention by heads with relative positions: features and tables have an array of values per head
 #   features  (point_id, head, value array<double>)
 #   tables    (axis, rel_index, head, value array<double>)

@@ -105,7 +105,11 @@ def moving(records: DataFrame, value: str, window: int, order: str, by: tuple[st
 
 
 def merged(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """old with the rows of new whose keys it lacks; equal records are skipped, a conflicting one is an error."""
+    """old with the rows of new whose keys it lacks; equal records are skipped; a conflicting one, or a key that one side has twice, is an error."""
+    for side in (old, new):
+        twice = side.groupBy(*keys).count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"several records for {[twice[0][k] for k in keys]}")
     values = [c for c in old.columns if c not in keys]
     both = old.join(new.select(*keys, F.struct(*values).alias("__new")), list(keys))
     ok = both.where(~F.struct(*values).eqNullSafe(F.col("__new")))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from ..functions import transforms
-from ..operators import cells, cluster, instances, knn, neighbors, poses, trees, windows
+from ..operators import cells, cluster, instances, knn, metrics, neighbors, poses, trees, windows
 from ..operators.ball import lcg
 from ..sources.fixtures import embedding_points, event_points, table
-from .catalog import BY_LABEL, D2, EMB, EVENTS, EVT, EVT_CELLS, EXACT, K, SHIFT, _hilbert_steps, _morton_steps, cells_sql, query, top_sql
+from .catalog import BOTH, BY_LABEL, D2, EMB, EVENTS, EVT, EVT_CELLS, EXACT, K, LEVELS, OCT_SEL, SHIFT, VOXEL, _hilbert_steps, _morton_steps, cells_sql, query, top_sql
 
 # instance segmentation: an event type's values in bins are instances of a scene; masks are shifted bins and bins twice as wide
 
@@ -312,3 +312,62 @@ def color_jitter_order(spark, d):
     e = table(spark, d, "events")
     colours = e.select(F.col("event_id").alias("point_id"), (F.col("user_id") % 12).alias("batch"), (F.col("value") * 255 / 490).alias("r"), (F.hour("ts") * 11.0).alias("g"), (F.dayofmonth("ts") * 8.0).alias("b"))
     return transforms.random_color_jitter(colours, **_WIDTHS, seed=_CSEED).select("point_id", *[F.round(c, 5).alias(c) for c in "rgb"])
+
+
+# metrics of subsets
+
+
+@query(f"""WITH {BOTH}, lb AS (SELECT point_id, label FROM emb), bd AS (SELECT query_id AS point_id, avg((q.label = s.label)::INTEGER) < 0.5 AS is_boundary FROM ex JOIN lb q ON q.point_id = query_id JOIN lb s ON s.point_id = support_id GROUP BY query_id),
+pr AS (SELECT 'exact' AS method, query_id, support_id FROM ex WHERE rank = 2 UNION ALL SELECT 'grid', query_id, support_id FROM nn WHERE rank = 3),
+sg AS (SELECT method, q.label AS target, s.label AS pred, unnest(['all', CASE WHEN is_boundary THEN 'boundary' ELSE 'inner' END]) AS subset FROM pr JOIN lb q ON q.point_id = query_id JOIN lb s ON s.point_id = support_id JOIN bd ON bd.point_id = query_id),
+cl AS (SELECT method, subset, c, count(*) FILTER (target = c AND pred = c) AS i, count(*) FILTER (target = c OR pred = c) AS u, count(*) FILTER (target = c) AS t FROM sg, range(10) k(c) GROUP BY ALL)
+SELECT method, subset, sum(t)::BIGINT AS points, round(avg(i / u) FILTER (u > 0), 9) AS miou, round(avg(i / t) FILTER (t > 0), 9) AS macc, round(sum(i) / sum(t), 9) AS overall FROM cl GROUP BY method, subset""")
+def boundary_metrics(spark, d):
+    points = embedding_points(spark, d)
+    exact, grid = knn.knn_exact(points, K), knn.knn_grid(points, K, VOXEL, shift=SHIFT)
+    edges = metrics.boundary(exact, points).select("point_id", "is_boundary")
+    label = lambda n: points.select(F.col("point_id").alias(n), F.col("label").alias(f"l_{n}"))
+    each = exact.where("rank = 2").select(F.lit("exact").alias("method"), "query_id", "support_id").unionByName(grid.where("rank = 3").select(F.lit("grid").alias("method"), "query_id", "support_id"))
+    seg = each.join(label("query_id"), "query_id").join(label("support_id"), "support_id").join(edges.withColumnRenamed("point_id", "query_id"), "query_id")
+    seg = seg.select("method", F.col("l_query_id").alias("target"), F.col("l_support_id").alias("pred"), "is_boundary")
+    return metrics.subset_metrics(seg, 10).select("method", "subset", "points", *[F.round(c, 9).alias(c) for c in ("miou", "macc", "overall")])
+
+
+_BAND = f"""{OCT_SEL}, qs AS (SELECT lv.* FROM lv JOIN sel USING (point_id, level)),
+ap AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM qs q JOIN lv s ON q.level = s.level AND q.batch = s.batch AND abs(q.lx-s.lx) <= 1 AND abs(q.ly-s.ly) <= 1 AND abs(q.lz-s.lz) <= 1), {top_sql('ad', 'ap', K)},
+fp AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM lv q JOIN lv s ON q.level = 2 AND s.level = 2 AND q.batch = s.batch AND abs(q.lx-s.lx) <= 1 AND abs(q.ly-s.ly) <= 1 AND abs(q.lz-s.lz) <= 1), {top_sql('fx', 'fp', K)},
+ep AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM emb q JOIN emb s ON q.batch = s.batch), {top_sql('ex', 'ep', K)},
+cd AS (SELECT query_id, count(*) AS n FROM fp GROUP BY query_id),
+rc AS (SELECT query_id, count(fx.support_id) / count(*) AS f, count(ad.support_id) / count(*) AS a FROM ex LEFT JOIN fx USING (query_id, support_id) LEFT JOIN ad USING (query_id, support_id) GROUP BY query_id)"""
+
+
+@query(f"WITH {_BAND} SELECT CASE WHEN n < {2 * K} THEN 'below' WHEN n <= {8 * K} THEN 'within' ELSE 'above' END AS band, count(*) AS queries, round(count(*) / sum(count(*)) OVER (), 9) AS share, round(avg(f), 9) AS fixed_recall, round(avg(a), 9) AS adaptive_recall, round(avg(a) - avg(f), 9) AS gain FROM cd JOIN rc USING (query_id) GROUP BY band")
+def band_recalls(spark, d):
+    points = embedding_points(spark, d)
+    exact = knn.knn_exact(points, K)
+    fixed, adaptive = knn.knn_grid(points, K, VOXEL, shift=SHIFT), knn.knn_adaptive(points, K, VOXEL, LEVELS, shift=SHIFT)
+    coarse = cells.coarsen(cells.with_cells(points, VOXEL, SHIFT), 2)
+    wide = coarse.select("point_id", "batch", *[F.col(f"p{a}").alias(f"g{a}") for a in "xyz"])
+    counts = cells.candidate_counts(wide.groupBy("batch", "gx", "gy", "gz").agg(F.count("*").alias("cnt")))
+    candidates = wide.join(counts, ["batch", "gx", "gy", "gz"]).select(F.col("point_id").alias("query_id"), "candidates")
+    out = metrics.band_recalls(candidates, metrics.set_recall(exact, fixed), metrics.set_recall(exact, adaptive), K)
+    return out.select("band", "queries", *[F.round(c, 9).alias(c) for c in ("share", "fixed_recall", "adaptive_recall", "gain")])
+
+
+_SOFT_N, _SOFT_D = 16, 5
+
+
+@query(f"""WITH {BY_LABEL}, pairs AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM emb q JOIN emb s ON q.batch = s.batch), {top_sql('nn', 'pairs', 1 + (_SOFT_N - 1) * (_SOFT_D + 1))},
+ct AS (SELECT batch, count(*) AS cnt FROM emb GROUP BY batch), sl AS (SELECT point_id AS query_id, slot::INTEGER AS slot, floor((CASE WHEN cnt < {1 + (_SOFT_N - 1) * (_SOFT_D + 1)} THEN (cnt - 1) / {_SOFT_N - 1} - 1 ELSE {float(_SOFT_D)} END + 1) * slot)::BIGINT + 1 AS rank FROM emb JOIN ct USING (batch), range({_SOFT_N}) t(slot))
+SELECT query_id, slot, support_id, d2 FROM sl JOIN nn USING (query_id, rank)""")
+def soft_dilation(spark, d):
+    return neighbors.soft_dilated(embedding_points(spark, d, batch_by_label=True), _SOFT_N, _SOFT_D)
+
+
+@query(f"""WITH {EMB}, {cells_sql('v', 'emb', 0.2, SHIFT)}, co AS (SELECT emb.* FROM emb WHERE point_id IN (SELECT min(point_id) FROM v GROUP BY batch, gx, gy, gz)),
+pairs AS (SELECT q.point_id AS query_id, s.point_id AS support_id, {D2} AS d2 FROM emb q JOIN co s ON q.batch = s.batch), {top_sql('nn', 'pairs', 3)}
+SELECT query_id, round(sum(1 / (sqrt(d2) + 1e-8) * s.f0) / sum(1 / (sqrt(d2) + 1e-8)) + any_value(q.f0), 6) AS f0, round(sum(1 / (sqrt(d2) + 1e-8) * s.f1) / sum(1 / (sqrt(d2) + 1e-8)), 6) AS f1 FROM nn JOIN co s ON s.point_id = support_id JOIN emb q ON q.point_id = query_id GROUP BY query_id""")
+def unpool_interp(spark, d):
+    points = embedding_points(spark, d)
+    out = neighbors.unpool_interpolated(points, cells.voxel_first(points, 0.2, SHIFT), ("f0", "f1"), add=("f0",))
+    return out.select("query_id", *[F.round(f, 6).alias(f) for f in ("f0", "f1")])

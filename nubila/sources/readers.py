@@ -183,3 +183,70 @@ def profile_metrics(spark: SparkSession, path: str, metrics: tuple[str, ...], ke
     """Profiler CSV of key/value rows as one row per kernel; digits may be grouped by commas."""
     df = spark.read.csv(path, header=True, recursiveFileLookup=True)
     return df.groupBy(key).pivot(name, list(metrics)).agg(F.avg(F.regexp_replace(value, ",", "").cast("double")))
+
+
+#: What a cloud's folder of arrays may hold: columns of each file, and what stands for a file that isn't there.
+FIELDS = {
+    "coord": (("x", "y", "z"), None), "color": (("r", "g", "b"), None), "normal": (("nx", "ny", "nz"), None),
+    "segment": (("segment",), -1.0), "instance": (("instance",), -1.0), "strength": (("strength",), None),
+}
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of .npy files: path, row and the row's values."""
+    import io
+
+    for batch in batches:
+        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
+            rows = rows.reshape(len(rows), -1).astype(np.float64)
+            for lo in range(0, len(rows), 1 << 16):
+                part = rows[lo : lo + (1 << 16)]
+                values = pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), part.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(lo, lo + len(part))), values], ["path", "row", "value"])
+
+
+def array_clouds(spark: SparkSession, root: str, splits: tuple[str, ...] = (), names: tuple[str, ...] = (), fields: dict | None = None) -> DataFrame:
+    """(split, cloud, row, columns of the fields) of folders root/split/cloud/field.npy (or root/cloud/field.npy without splits).
+
+    A file gives columns by its name (``fields``, FIELDS by default); labels of a cloud that lacks their file are -1, other columns null.
+    ``names`` leaves only those clouds.  Rows are told apart by their place in the files, so a cloud's files must be of one length.
+    """
+    fields = fields or FIELDS
+    paths = [f"{root}/{s}" for s in splits] if splits else [root]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(paths).select("path", "content")
+    at = F.split("path", "/")
+    parts = {"field": F.regexp_replace(F.element_at(at, -1), r"\.npy$", ""), "cloud": F.element_at(at, -2), "split": F.element_at(at, -3) if splits else F.lit(None).cast("string")}
+    rows = files.where(parts["field"].isin(*fields) & (parts["cloud"].isin(*names) if names else F.lit(True))).mapInArrow(_arrays, "path string, row long, value array<double>")
+    rows = rows.withColumns({n: c for n, c in parts.items()})
+    # one row per point: its fields side by side
+    value = lambda field, i: F.max(F.when(F.col("field") == field, F.get("value", F.lit(i))))
+    columns = [value(field, i).alias(c) for field, (cols, _) in fields.items() for i, c in enumerate(cols)]
+    out = rows.groupBy("split", "cloud", "row").agg(*columns)
+    filled = {c: F.coalesce(c, F.lit(missing)).cast("int") for cols, missing in fields.values() if missing is not None for c in cols}
+    return out.withColumns(filled)
+
+
+def listed(spark: SparkSession, clouds: DataFrame, lists: dict[str, str], name: str = "cloud") -> DataFrame:
+    """clouds with ``split``: the list that names each (JSON arrays of names, of which the part behind the last slash counts); others are left out."""
+    out = None
+    for split, path in lists.items():
+        found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("__n")).select(F.element_at(F.split("__n", "/"), -1).alias("__n"), F.lit(split).alias("split"))
+        out = found if out is None else out.unionByName(found)
+    return clouds.drop("split").join(F.broadcast(out.dropDuplicates(["__n"])), F.col(name) == F.col("__n")).drop("__n")
+
+
+def part_clouds(spark: SparkSession, root: str, categories: str = "synsetoffset2category.txt") -> DataFrame:
+    """(category, class, cloud, row, x, y, z, nx, ny, nz, part) of text files root/<folder>/<cloud>.txt; the file ``categories`` names each folder's category.
+
+    Classes count categories in the file's order.
+    """
+    named = spark.read.text(f"{root}/{categories}", wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("class", "line"))
+    named = named.select("class", F.split(F.trim("line"), r"\s+").alias("w")).select("class", F.col("w")[0].alias("category"), F.col("w")[1].alias("folder"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    at = F.split("path", "/")
+    lines = files.select(F.element_at(at, -2).alias("folder"), _stem(F.col("path")).alias("cloud"), F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("row", "line"))
+    cells = F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.try_cast("double"))
+    rows = lines.join(F.broadcast(named), "folder").select("category", "class", "cloud", "row", cells.alias("v"))
+    columns = ("x", "y", "z", "nx", "ny", "nz")
+    return rows.select("category", "class", "cloud", F.col("row").cast("long").alias("row"), *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(columns)], F.get("v", F.lit(6)).cast("int").alias("part"))
