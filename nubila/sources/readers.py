@@ -241,11 +241,12 @@ def part_clouds(spark: SparkSession, root: str, categories: str = "synsetoffset2
 
     Classes count categories in the file's order.
     """
-    named = spark.read.text(f"{root}/{categories}", wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("class", "line"))
-    named = named.select("class", F.split(F.trim("line"), r"\s+").alias("w")).select("class", F.col("w")[0].alias("category"), F.col("w")[1].alias("folder"))
+    named = spark.read.text(f"{root}/{categories}", wholetext=True).select(F.posexplode(F.split(F.trim("value", F.lit(" \t\r\n")), r"\r?\n")).alias("class", "line"))
+    named = named.select("class", F.split(F.trim("line"), r"\s+").alias("w")).select("class", F.get("w", F.lit(0)).alias("category"), F.get("w", F.lit(1)).alias("folder"))
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     at = F.split("path", "/")
-    lines = files.select(F.element_at(at, -2).alias("folder"), _stem(F.col("path")).alias("cloud"), F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("row", "line"))
+    lines = files.select(F.element_at(at, -2).alias("folder"), _stem(F.col("path")).alias("cloud"), F.posexplode(F.split(F.trim("value", F.lit(" \t\r\n")), r"\r?\n")).alias("row", "line"))
+    lines = lines.where(F.trim("line") != "")
     cells = F.transform(F.split(F.trim("line"), r"\s+"), lambda v: v.try_cast("double"))
     rows = lines.join(F.broadcast(named), "folder").select("category", "class", "cloud", "row", cells.alias("v"))
     columns = ("x", "y", "z", "nx", "ny", "nz")
