@@ -252,6 +252,27 @@ def random_color_jitter(df: DataFrame, brightness: float = 0.0, contrast: float
     return df.select(*columns)
 
 
+@register
+def room_augmentation(df: DataFrame, seed: int = 0, jitter: float = 0.005, scale: tuple[float, float] = (0.8, 1.2), drop: float = 0.2, contrast: float = 0.2) -> DataFrame:
+    """Turn each cloud about the z axis and scale it at random, jitter its points and move it to its least corner; blacken the colours of a
+    share ``drop`` of clouds, stretch those of a share ``contrast`` of the others by a random blend, and divide them by 250; add ``height``."""
+    draw = lambda i: scrambled(F.col("batch"), seed * 16 + i) / float(1 << 31)
+    columns = df.columns
+    df = df.withColumns({"__a": draw(0) * (2 * math.pi), "__s": draw(1) * (scale[1] - scale[0]) + scale[0], "__k": draw(2), "__c": draw(3), "__b": draw(4)})
+    c, s = F.cos("__a") * F.col("__s"), F.sin("__a") * F.col("__s")
+    df = df.withColumns({"x": F.col("x") * c - F.col("y") * s, "y": F.col("x") * s + F.col("y") * c, "z": F.col("z") * F.col("__s")})
+    if jitter:
+        df = df.withColumns({a: F.col(a) + normal(seed, i) * jitter for i, a in enumerate("xyz")})
+    df, own = with_cloud(df, **{a: F.min(a) for a in "xyz"}, **box(("r", "g", "b")))
+    low, high = (lambda v: F.col(f"__cloud_lo_{v}")), (lambda v: F.col(f"__cloud_hi_{v}"))
+    wide = lambda v: 255 / F.when(high(v) > low(v), high(v) - low(v)).otherwise(255.0)
+    stretched = lambda v: (1 - F.col("__b") + F.col("__b") * wide(v)) * F.col(v) - F.col("__b") * low(v) * wide(v)
+    # fixed value: colours are divided by 250
+    colours = {v: F.when(F.col("__k") < drop, 0.0).when(F.col("__c") < contrast, stretched(v) / 250).otherwise(F.col(v) / 250) for v in "rgb"}
+    df = df.withColumns({a: F.col(a) - F.col(f"__cloud_{a}") for a in "xyz"} | colours)
+    return df.select(*columns, F.col("z").alias("height"))
+
+
 @register
 def rgb_to_hsv(df: DataFrame) -> DataFrame:
     """Add h, s (0 to 1) and v (0 to 255)."""

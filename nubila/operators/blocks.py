@@ -206,8 +206,9 @@ def _pairs(blocks: DataFrame, origin: list[float], extent: float) -> DataFrame:
     clip = {f"q{e}{a}": F.least(F.greatest(F.col(f"q{e}{a}"), F.lit(o - base)), F.lit(o + extent + base)) for e in "lh" for a, o in zip("xyz", origin)}
     q = blocks.where("q_n > 0").withColumns(clip).select(F.col("block").alias("q"), "batch", *[f"q{c}" for c in (*_LOW, *_HIGH)]).withColumn("qlevel", _level("q", base))
     s = blocks.where("s_n > 0").select(F.col("block").alias("s"), "batch", *[f"s{c}" for c in (*_LOW, *_HIGH)]).withColumn("slevel", _level("s", base))
-    used = {side: sorted(r[0] for r in df.select(f"{side}level").distinct().collect()) for side, df in (("q", q), ("s", s))}
-    at = lambda side, least: F.explode(F.filter(F.array(*[F.lit(v) for v in used[side]]), lambda v: v >= least))
+    levels = q.select(F.lit("q").alias("side"), F.col("qlevel").alias("level")).unionByName(s.select(F.lit("s").alias("side"), F.col("slevel").alias("level"))).distinct().collect()
+    used = {side: sorted(r.level for r in levels if r.side == side) for side in "qs"}
+    at = lambda side, least: F.explode(F.filter(F.array(*[F.lit(v) for v in used[side]]).cast("array<int>"), lambda v: v >= least))
     keys = ["batch", "level", "cx", "cy", "cz"]
     own = _in_cells(q.withColumn("level", F.col("qlevel")), "q", base, origin).join(_in_cells(s.withColumn("level", at("q", F.col("slevel"))), "s", base, origin), keys)
     wide = _in_cells(s.withColumn("level", F.col("slevel")), "s", base, origin).join(_in_cells(q.withColumn("level", at("s", F.col("qlevel") + 1)), "q", base, origin), keys)

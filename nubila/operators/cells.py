@@ -41,6 +41,13 @@ def run_lengths(counts: DataFrame) -> DataFrame:
     return out.select(*CELL, "cnt", "key", (F.col("rank") + 1).alias("rank"), F.col("cnt_before").alias("start"))
 
 
+def cluster_ids(points: DataFrame, size: float, shift: float = 0.0) -> DataFrame:
+    """points with ``cluster``, the number from 0 on of its cell among all occupied cells by batch and cell."""
+    at = with_cells(points, size, shift)
+    numbered = running(at.select(*CELL).distinct(), [], list(CELL), name="cluster")
+    return at.join(numbered, list(CELL)).select(*points.columns, "cluster")
+
+
 def around(names=("gx", "gy", "gz"), reach=OFFSETS) -> Column:
     """The neighbouring cells of a row, own cell first, as an array of structs to explode."""
     cells = [

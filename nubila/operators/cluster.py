@@ -55,7 +55,8 @@ def hierarchy(points: DataFrame, voxels: tuple[float, ...], k: int, num_down: in
     """
     out, current, base = None, points.select("point_id", "batch", "x", "y", "z"), None
     for level, voxel in enumerate(voxels):
-        current = voxel_first(current, voxel, shift).select("point_id", "batch", "x", "y", "z")
+        # every later level is read from this one
+        current = checkpointed(voxel_first(current, voxel, shift).select("point_id", "batch", "x", "y", "z"))
         base = current if base is None else base
         parts = [knn_grid(current, k, voxel, num_down=num_down, shift=shift).withColumn("kind", F.lit("knn"))]
         if level:

@@ -28,6 +28,12 @@ def serialized_pool(coded: DataFrame, depth: int, features: tuple[str, ...], red
     return coded.groupBy(F.shiftright("code", 3 * depth).alias("pool")).agg(F.min_by("point_id", F.struct("code", "point_id")).alias("head"), F.count("*").alias("cnt"), *[fn(f).alias(f) for f in features])
 
 
+def serialized_unpool(coded: DataFrame, pooled: DataFrame, depth: int, features: tuple[str, ...], add: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, features): each point's features of its group in serialized_pool()'s result, plus its own columns in add."""
+    own = coded.select("point_id", F.shiftright("code", 3 * depth).alias("pool"), *[F.col(f).alias(f"__{f}") for f in add])
+    return own.join(pooled.select("pool", *features), "pool").select("point_id", *[(F.col(f) + F.col(f"__{f}") if f in add else F.col(f)).alias(f) for f in features])
+
+
 def batch_offsets(points: DataFrame) -> DataFrame:
     """(batch, count, offset): inclusive prefix sums over batches; batches are few, points are counted first."""
     counts = points.groupBy("batch").agg(F.count("*").alias("cnt"))

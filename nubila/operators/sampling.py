@@ -58,6 +58,26 @@ def dropout(points: DataFrame, keep: float, seed: int = 0) -> DataFrame:
     return _placed(points, lcg(F.col("point_id"), seed)).where(F.col("rn") < F.floor(F.col("cnt") * keep)).select(*points.columns)
 
 
+def shuffled(points: DataFrame, seed: int = 0) -> DataFrame:
+    """points with ``position``, a place 0.. in its batch by a seeded scramble of ids; ids are unique."""
+    placed = running(points.select("batch", "point_id", lcg(F.col("point_id"), seed).alias("__by")), ["batch"], ["__by", "point_id"])
+    return points.join(placed.select("point_id", "position"), "point_id")
+
+
+def member_crop(points: DataFrame, n: int, *, seed: int = 0, least: int = 0, axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """(batch, point_id, rank, position): of each batch the n points nearest to one of its own, drawn by a seeded scramble of ids.
+
+    rank counts from the nearest (by distance along ``axes``, then id), position the points that are left in order of ids, which keeps
+    points together that were.  Batches with fewer than ``least`` points give none.  Axes may be whole-numbered cells.
+    """
+    middle = points.groupBy("batch").agg(F.min_by(F.struct(*axes), F.struct(lcg(F.col("point_id"), seed), "point_id")).alias("__m"), F.count("*").alias("__n"))
+    d = [F.col(a) - F.col(f"__m.{a}") for a in axes]
+    near = with_groups(points.select("batch", "point_id", *axes), middle, ["batch"]).where(F.col("__n") >= least)
+    near = near.select("batch", "point_id", (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("__d2"))
+    kept = running(near, ["batch"], ["__d2", "point_id"], name="rank").where(F.col("rank") < n)
+    return running(kept.select("batch", "point_id", "rank"), ["batch"], ["point_id"])
+
+
 def farthest_points(points: DataFrame, n: int, skip_origin: bool = False) -> DataFrame:
     """Farthest point sampling within each batch: start at the smallest id, then again and again the point farthest from those
     taken (smallest id among equals).  Sequential in a batch by nature, so batches are the units of work.

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from ..functions import transforms
-from ..operators import cells, cluster, instances, knn, metrics, neighbors, poses, trees, windows
+from ..functions import keys, transforms
+from ..operators import cells, cluster, instances, knn, metrics, neighbors, pooling, poses, sampling, trees, windows
 from ..operators.ball import lcg
 from ..sources.fixtures import embedding_points, event_points, table
 from .catalog import BOTH, BY_LABEL, D2, EMB, EVENTS, EVT, EVT_CELLS, EXACT, K, LEVELS, OCT_SEL, SHIFT, VOXEL, _hilbert_steps, _morton_steps, cells_sql, query, top_sql
@@ -371,3 +371,51 @@ def unpool_interp(spark, d):
     points = embedding_points(spark, d)
     out = neighbors.unpool_interpolated(points, cells.voxel_first(points, 0.2, SHIFT), ("f0", "f1"), add=("f0",))
     return out.select("query_id", *[F.round(f, 6).alias(f) for f in ("f0", "f1")])
+
+
+# crops, orders and pools
+
+
+@query(f"""WITH {EVT_CELLS}, md AS (SELECT batch, gx AS mx, gy AS my, gz AS mz, count(*) OVER (PARTITION BY batch) AS cnt FROM c QUALIFY row_number() OVER (PARTITION BY batch ORDER BY (point_id * 1103515245 + 12345 + 5) % 2147483648, point_id) = 1),
+rk AS (SELECT c.batch, point_id, row_number() OVER (PARTITION BY c.batch ORDER BY (gx-mx)*(gx-mx)+(gy-my)*(gy-my)+(gz-mz)*(gz-mz), point_id) - 1 AS rank FROM c JOIN md USING (batch) WHERE cnt >= 100)
+SELECT batch, point_id, rank, row_number() OVER (PARTITION BY batch ORDER BY point_id) - 1 AS position FROM rk WHERE rank < 120""")
+def member_crop(spark, d):
+    return sampling.member_crop(cells.with_cells(event_points(spark, d), EVT), 120, seed=5, least=100, axes=("gx", "gy", "gz"))
+
+
+@query(f"WITH {EVENTS} SELECT point_id, batch, row_number() OVER (PARTITION BY batch ORDER BY (point_id * 1103515245 + 12345 + 9) % 2147483648, point_id) - 1 AS position FROM evt")
+def shuffled_points(spark, d):
+    return sampling.shuffled(event_points(spark, d), 9).select("point_id", "batch", "position")
+
+
+@query(f"WITH {EVT_CELLS} SELECT point_id, dense_rank() OVER (ORDER BY batch, gx, gy, gz) - 1 AS cluster FROM c")
+def cluster_ids(spark, d):
+    return cells.cluster_ids(event_points(spark, d), EVT).select("point_id", "cluster")
+
+
+@query(f"WITH {EVT_CELLS}, {_morton_steps('c')}, cd AS (SELECT point_id, x, y, ((batch::BIGINT << 48) | (sx << 2) | (sy << 1) | sz) >> 9 AS pool FROM m5) SELECT point_id, max(x) OVER (PARTITION BY pool) + x AS x, max(y) OVER (PARTITION BY pool) AS y FROM cd")
+def serialized_unpool(spark, d):
+    coded = keys.serialized(cells.with_cells(event_points(spark, d), EVT), "z", 16).select("point_id", "code", "x", "y")
+    return pooling.serialized_unpool(coded, pooling.serialized_pool(coded, 3, ("x", "y")), 3, ("x", "y"), add=("x",))
+
+
+_ASEED = 2
+
+
+def _augment_sql() -> str:
+    draw = lambda i: _draw_sql(i).replace(f"{(_CSEED * 16 + i) * 104729 + 12345}", f"{(_ASEED * 16 + i) * 104729 + 12345}") + " / 2147483648"
+    wide = lambda v: f"255 / CASE WHEN h{v} > l{v} THEN h{v} - l{v} ELSE 255 END"
+    colour = lambda v: f"CASE WHEN k < 0.2 THEN 0 WHEN c < 0.2 THEN ((1 - b0 + b0 * {wide(v)}) * {v} - b0 * l{v} * {wide(v)}) / 250 ELSE {v} / 250 END"
+    return f"""WITH p AS (SELECT event_id AS point_id, (user_id % 12)::BIGINT AS batch, value / 10 AS x, hour(ts) + 0.0::DOUBLE AS y, day(ts) + 0.0::DOUBLE AS z, value * 255 / 490 AS r, hour(ts) * 11.0::DOUBLE AS g, day(ts) * 8.0::DOUBLE AS b FROM events),
+dr AS MATERIALIZED (SELECT batch, {draw(0)} * 2 * pi() AS a, {draw(1)} * 0.4::DOUBLE + 0.8 AS s, {draw(2)} AS k, {draw(3)} AS c, {draw(4)} AS b0 FROM (SELECT DISTINCT batch FROM p)),
+t AS (SELECT point_id, batch, (x * cos(a) - y * sin(a)) * s AS x, (x * sin(a) + y * cos(a)) * s AS y, z * s AS z, r, g, b, k, c, b0 FROM p JOIN dr USING (batch)),
+m AS (SELECT batch, min(x) AS mx, min(y) AS my, min(z) AS mz, {', '.join(f'min({v}) AS l{v}, max({v}) AS h{v}' for v in 'rgb')} FROM t GROUP BY batch)
+SELECT point_id, {', '.join(f'round({a} - m{a}, 6) AS {a}' for a in 'xyz')}, {', '.join(f'round({colour(v)}, 6) AS {v}' for v in 'rgb')}, round(z - mz, 6) AS height FROM t JOIN m USING (batch)"""
+
+
+@query(_augment_sql())
+def room_augmentation(spark, d):
+    e = table(spark, d, "events")
+    p = e.select(F.col("event_id").alias("point_id"), (F.col("user_id") % 12).alias("batch"), (F.col("value") / 10).alias("x"), F.hour("ts").cast("double").alias("y"), F.dayofmonth("ts").cast("double").alias("z"), (F.col("value") * 255 / 490).alias("r"), (F.hour("ts") * 11.0).alias("g"), (F.dayofmonth("ts") * 8.0).alias("b"))
+    out = transforms.room_augmentation(p, seed=_ASEED, jitter=0.0, scale=(0.8, 1.2))
+    return out.select("point_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "r", "g", "b", "height")])
