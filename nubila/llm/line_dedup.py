@@ -560,9 +560,7 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
             made.append(found)
             pairs = found if pairs is None else pairs.unionByName(found)
             ws.release()
-        if shares > 1:
-            pairs = ws.save(pairs.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")), "together")
-            ws.drop(*made)
+        # a pair may be there once for each share
         together = pairs.where("y IS NOT NULL")
         sets = _sets_of(ws, src, ranks, classes, together)
         if sets is not None:
@@ -572,13 +570,13 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
             gone = found if gone is None else gone.unionByName(found)
             ws.release()
             rest = together.select("x", "y").join(gone.select(F.col("c1").alias("x")), "x", "left_anti")
-            likely = ws.save(_likely(rest, sets), "likely")
+            likely = ws.save(_likely(rest.distinct() if shares > 1 else rest, sets), "likely")
             if not likely.isEmpty():
                 gone = gone.unionByName(ws.save(_similar(likely, sets), "found"))
             ws.drop(sets, likely)
         rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"), "token")
         rest = ws.save(rest.join(gone, "c1", "left_anti") if gone is not None else rest, "asking")
-        ws.drop(pairs)
+        ws.drop(*made)
         count = rest.count()
         if not count:
             break
