@@ -75,7 +75,7 @@ def brute_force(rows):
 HARD = ["<s> and </s> <unk> <0x41> <|endoftext|>", "a ▁ b", "▁", " ", "  ", "\n", " \n x  y   z\t\tq ", "x" * 700 + " " * 900 + "y \x1c z", "naïve 😀👍🏽 ﬁ ½ é ​　漢字 かな", "don't we'll  'tis", "\x00 a\x00b", "a b  c", "1234567 3.14", "word " * 500, "  x \x85 y", "<|endoftext|>"]
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 300])
+@pytest.mark.parametrize("chunk", [1 << 20, 3000])
 def test_alignment_matches_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(A, "CHUNK", chunk)
     monkeypatch.setattr(A, "BLOCK", chunk * 8)

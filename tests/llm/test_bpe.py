@@ -71,13 +71,13 @@ def test_long_words_as_the_library_does():
 
 
 def test_every_code_point_encodes_as_the_library_does():
-    """All code points, between letters, between digits and alone."""
+    """All code points of the planes in use and one in 16 of the others, between letters, between digits and alone."""
     import numpy as np
 
     from nubila.llm.bpe import TrieEncoder
 
     encoder = TrieEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or c >> 16 == 14 or c % 16 == 5)]
     texts = ["".join(f"a{c}b 1{c}2 {c} " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
     for lo in range(0, len(texts), 512):
         part = texts[lo : lo + 512]
