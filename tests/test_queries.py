@@ -30,7 +30,8 @@ def rows(columns, got):
 
 
 CHEAP = ("morton_encode", "voxel_counts", "cell_neighbors", "knn_exact", "knn_grid", "knn_padded_self", "ball_even", "octree_select", "knn_adaptive", "components", "kfold_rollup", "bench_pivot", "bench_ci", "serialized_pool", "grid_sample_parts", "lovasz",
-         "multiset_common", "key_differences", "required_methods", "identity_mismatches", "cyclic_order", "candidate_distribution", "candidate_bands", "serialized_order", "grid_sample_member", "ball_padded_first", "ball_padded_minus_one", "radius_l1", "interp_gaussian", "group_all", "pooled_recall", "boundary_histogram")
+         "multiset_common", "key_differences", "required_methods", "identity_mismatches", "cyclic_order", "candidate_distribution", "candidate_bands", "serialized_order", "grid_sample_member", "ball_padded_first", "ball_padded_minus_one", "radius_l1", "interp_gaussian", "group_all", "pooled_recall", "boundary_histogram",
+         "instance_ap", "octree_nodes", "sweep_chain", "ivf_calibration", "color_jitter_order", "soft_dilation", "serialization_z", "hilbert_order", "hilbert_decode", "elastic_distortion", "cluster_ids", "member_crop", "room_augmentation", "attn_head_bias")
 
 
 @pytest.mark.parametrize("name", CHEAP)
