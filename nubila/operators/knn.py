@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .blocks import Search, nearest
-from .cells import coarsen, exploded, octree_select, with_cells
+from .cells import exploded, octree_select, with_cells
 
 P = ("px", "py", "pz")
 
