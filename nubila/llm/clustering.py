@@ -80,7 +80,7 @@ def reassign(x: np.ndarray, cluster: np.ndarray, upper: np.ndarray, lower: np.nd
     upper[rows] = np.sqrt(best2.astype(float))
     still = low[rows].min(1) <= upper[rows] + slack[rows]
     rows, best2 = rows[still], best2[still]
-    own, best = cluster[rows], cluster[rows]
+    own, best, own2 = cluster[rows], cluster[rows], best2.copy()
     for g in range(low.shape[1]):
         hit = np.flatnonzero(low[rows, g] <= np.sqrt(best2.astype(float)) + slack[rows])
         members = np.flatnonzero(group == g)
@@ -97,7 +97,9 @@ def reassign(x: np.ndarray, cluster: np.ndarray, upper: np.ndarray, lower: np.nd
                 exact[scan, j] = squared(here[scan], centroids[c : c + 1])[:, 0]
                 dist[scan, j] = np.sqrt(exact[scan, j].astype(float))
                 measured += len(scan)
-            dist[own[hit] == c, j] = np.inf
+            # a vector's centroid is none of the others, unless an earlier group had a nearer one
+            mine = own[hit] == c
+            dist[mine, j] = np.where(best[hit[mine]] == c, np.inf, np.sqrt(own2[hit[mine]].astype(float)))
         first = exact.argmin(1)
         found2, found = exact[np.arange(len(r)), first], members[first]
         better = (found2 < best2[hit]) | ((found2 == best2[hit]) & (found < best[hit]))

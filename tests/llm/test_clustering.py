@@ -96,3 +96,23 @@ def test_query_matches_sql(spark):
     assert sorted(out.columns) == sorted(want.columns)
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
     assert out.count() == spark.read.parquet(f"{sf}/embeddings.parquet").where(F.size("embedding") == 64).count()
+
+
+def test_bounds_keep_the_centroid_that_a_vector_left():
+    """A vector that goes to an earlier group's centroid still has its old one among the others of a later group."""
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        x = np.floor(100 * rng.normal(size=(300, 4))).astype(np.int64)
+        centroids, rows = x[:24].copy(), np.arange(len(x))
+        group = C.grouped(centroids, 6)
+        state = C.assign_all(x, centroids, group)
+        for _ in range(6):
+            moved = centroids + rng.integers(-40, 40, centroids.shape)
+            drift = np.sqrt(((moved - centroids).astype(float) ** 2).sum(1)) * (1 + 1e-12)
+            centroids = moved
+            *state, _ = C.reassign(x, *state, centroids, drift, group)
+            far = C.squared(x, centroids)
+            assert (state[0] == far.argmin(1)).all()
+            far = np.sqrt(far.astype(float))
+            far[rows, state[0]] = np.inf
+            assert all((state[2][:, g] <= far[:, group == g].min(1) + 1e-6).all() for g in np.unique(group))
