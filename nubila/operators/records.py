@@ -47,11 +47,16 @@ def pivot_table(records: DataFrame, index: tuple[str, ...], values: tuple[str, .
     return long.groupBy(*index, "metric").pivot("cell", [f"{m}_{k}" for m in modes for k in ks]).agg(F.avg("value"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL engines with IEEE division have it: by zero infinite, zero by zero NaN."""
+    return F.when(b == 0, F.signum(a) * F.lit(float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
 def speedups(records: DataFrame, baseline: str, keys: tuple[str, ...] = ("room", "mode", "k"), value: str = "query_ms") -> DataFrame:
     """Mean time of each method and its ratio to the baseline's under the same keys."""
     means = records.groupBy(*keys, "method").agg(F.avg(value).alias("ms"))
     base = means.where(F.col("method") == baseline).select(*keys, F.col("ms").alias("base_ms"))
-    return means.join(base, list(keys), "left").select(*keys, "method", "ms", (F.col("base_ms") / F.col("ms")).alias("speedup"))
+    return means.join(base, list(keys), "left").select(*keys, "method", "ms", ratio(F.col("base_ms"), F.col("ms")).alias("speedup"))
 
 
 #: Upper ends of the size bins, in points.
@@ -70,7 +75,7 @@ def binned(records: DataFrame, sizes: DataFrame, baseline: str) -> DataFrame:
     means = records.groupBy("room", "method").agg(F.avg("query_ms").alias("ms"))
     base = means.where(F.col("method") == baseline).select("room", F.col("ms").alias("base_ms"))
     each = means.join(base, "room").join(sizes, "room").withColumn("bin", size_bin(F.col("num_support")))
-    return each.groupBy("bin", "method").agg(F.count("*").alias("rooms"), F.avg("ms").alias("mean_ms"), F.avg(F.col("num_support") / F.col("ms") / 1000).alias("mquery_s"), F.avg(F.col("base_ms") / F.col("ms")).alias("speedup"))
+    return each.groupBy("bin", "method").agg(F.count("*").alias("rooms"), F.avg("ms").alias("mean_ms"), F.avg(ratio(F.col("num_support").cast("double"), F.col("ms")) / 1000).alias("mquery_s"), F.avg(ratio(F.col("base_ms"), F.col("ms"))).alias("speedup"))
 
 
 def statistics(records: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:

@@ -147,6 +147,13 @@ def test_average_precision(spark):
     assert abs(got.ap - (0.5 + 0.5 * 2 / 3)) < 1e-9
 
 
+def test_speedups_of_zero_times(spark):
+    rows = [("r", "pre", 8, "base", 2.0), ("r", "pre", 8, "a", 0.0), ("r", "pre", 8, "b", 4.0), ("s", "pre", 8, "base", 0.0), ("s", "pre", 8, "a", 0.0), ("t", "pre", 8, "a", 0.0)]
+    df = spark.createDataFrame(rows, "room string, mode string, k int, method string, query_ms double")
+    got = {(r.room, r.method): str(r.speedup) for r in records.speedups(df, "base").collect()}
+    assert got == {("r", "base"): "1.0", ("r", "a"): "inf", ("r", "b"): "0.5", ("s", "base"): "nan", ("s", "a"): "nan", ("t", "a"): "None"}
+
+
 def test_records(spark):
     assert abs(records.t_quantile(10) - 2.228139) < 1e-5
     old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
