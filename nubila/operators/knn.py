@@ -180,9 +180,10 @@ def in_lists(points: DataFrame, centres: np.ndarray, probe: int = 1) -> DataFram
 def knn_ivf(points: DataFrame, k: int, lists: int = 16, probe: int = 4, seed: int = 1, centres: np.ndarray | None = None) -> DataFrame:
     """Approximate kNN over inverted lists: k-means centres, each query looks into its nearest ``probe`` lists."""
     centres = trained_centres(points, lists, seed) if centres is None else centres
-    s = in_lists(points, centres).select(F.col("id").alias("support_id"), "batch", *[F.col(a).alias(f"s{a}") for a in "xyz"], "list")
-    q = in_lists(points, centres, probe).select(F.col("id").alias("query_id"), "batch", *[F.col(a).alias(f"q{a}") for a in "xyz"], "list")
-    return top(q.join(s, ["batch", "list"]).withColumn("d2", square()), k)
+    lists = len(centres)
+    # a list of a batch is a cloud of its own; a query has its neighbours of each list that it looks into
+    at = lambda probe: in_lists(points, centres, probe).select(F.col("id").alias("point_id"), (F.col("batch").cast("long") * lists + F.col("list")).alias("batch"), "x", "y", "z")
+    return top(nearest(at(1), Search(k), at(probe)), k)
 
 
 #: The numbers of lists that calibration tries.
