@@ -130,14 +130,14 @@ def knn_rounds(points: DataFrame, k: int, *, queries: DataFrame | None = None, m
 def knn_adaptive(points: DataFrame, k: int, size: float, levels: int, *, low: int = 2, high: int = 8, shift: float = 0.0) -> DataFrame:
     """Grid kNN in which each query searches cells of the octree level that octree_select() gives it."""
     level = checkpointed(octree_select(points, size, levels, k, low, high, shift).select("point_id", "level"))
-    cells = with_cells(points, size, shift)
-    at = lambda df: df.withColumns({p: F.call_function("shiftright", F.col(g), F.col("level")) for p, g in zip(P, ("gx", "gy", "gz"))})
-    q = at(cells.join(level, "point_id")).select(F.col("point_id").alias("query_id"), "batch", *[F.col(a).alias(f"q{a}") for a in "xyz"], "level", *P)
-    # points are wanted only at the levels that some query uses, levels + 1 at most
-    used = [r[0] for r in level.select("level").distinct().collect()]
-    levelled = cells.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used] or [F.lit(0)])))
-    s = at(levelled).select(F.col("point_id").alias("support_id"), "batch", *[F.col(a).alias(f"s{a}") for a in "xyz"], "level", *P)
-    return top(exploded(q, P).join(s, ["level", "batch", *P]).withColumn("d2", square()), k)
+    # one search for each level that some query uses, levels + 1 at most
+    used = sorted(r[0] for r in level.select("level").distinct().collect())
+    out = None
+    for v in used or [0]:
+        asked = points.join(level.where(F.col("level") == v).select("point_id"), "point_id", "left_semi")
+        found = nearest(points, Search(k, cells=(float(size), float(shift), v)), asked)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def trained_centres(points: DataFrame, lists: int = 16, seed: int = 1) -> np.ndarray:

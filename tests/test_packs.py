@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from nubila.operators import ball, knn
+from nubila.operators import ball, cluster, knn
 
 POINT = "point_id long, batch int, x double, y double, z double"
 
@@ -73,3 +73,34 @@ def test_inverted_lists_list_no_pairs(spark, monkeypatch):
         near = sorted((d2, i) for i, d2 in hits_of(q, [r for r in rows if own[r[0]] in lists], 0, np.inf))
         want += [(q[0], n + 1, i, d2) for n, (d2, i) in enumerate(near[:5])]
     assert sorted(map(tuple, knn.knn_ivf(points, 5, probe=3, centres=centres).collect())) == sorted(want)
+
+
+def test_components_list_no_pairs(spark, monkeypatch):
+    _, rows = scattered(spark, 260)
+    monkeypatch.setattr(ball, "candidates", None)
+    rows += [(1001, 0, 5.0, 0.0, 0.0), (1002, 0, 5.25, 0.0, 0.0), (1003, 0, 5.499, 0.0, 0.0), (1004, 0, 5.0, 0.2499, 0.0)]
+    points = spark.createDataFrame([(*r, r[0] % 2 if r[0] < 1000 else None if r[0] == 1004 else 0) for r in rows], POINT + ", label int")
+    names = {r[0]: r[0] for r in rows}
+    label = lambda i: i % 2 if i < 1000 else None if i == 1004 else 0
+    for _ in rows:
+        for r in rows:
+            near = [i for i, _ in hits_of(r, rows, 0, 0.25 * 0.25) if label(i) == label(r[0]) is not None] or [r[0]]
+            least = min(names[i] for i in near)
+            names.update({i: min(names[i], least) for i in near})
+    got = {r.point_id: (r.cluster, r.cnt) for r in cluster.label_clusters(points, 0.25, shift=1.0).collect()}
+    assert got == {i: (c, list(names.values()).count(c)) for i, c in names.items()}
+
+
+def test_adaptive_search_lists_no_pairs(spark, monkeypatch):
+    points, rows = scattered(spark)
+    monkeypatch.setattr(knn, "square", None)
+    from nubila.operators.cells import octree_select
+
+    level = {r.point_id: r.level for r in octree_select(points, 0.05, 4, 3, shift=1.0).collect()}
+    want = []
+    for q in rows:
+        cell = lambda p: [int((c + 1.0) // 0.05) >> level[q[0]] for c in p]  # noqa: B023, E731
+        near = [r for r in rows if all(abs(u - v) <= 1 for u, v in zip(cell(q[2:]), cell(r[2:])))]
+        want += [(q[0], n + 1, i, d2) for n, (d2, i) in enumerate(sorted((d2, i) for i, d2 in hits_of(q, near, 0, np.inf))[:3])]
+    assert len(set(level.values())) > 1
+    assert sorted(map(tuple, knn.knn_adaptive(points, 3, 0.05, 4, shift=1.0).collect())) == sorted(want)
