@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .ball import lcg
+from .blocks import sharing
 from .cells import voxel_first, with_cells
 from .knn import knn_exact
 from .ranks import running, with_groups
@@ -18,13 +19,16 @@ from .sampling import farthest_points
 def window_pairs(points: DataFrame, window: float, small: float | None = None, shift: float = 0.0) -> DataFrame:
     """Ordered pairs of points of one window; with ``small``, only of points in different small windows.
 
-    The result is the pair table itself, so windows should be chosen small; the join is on the window.
+    The result is the pair table itself, so windows should be chosen small.  A window's points, in the order of their small windows, are
+    packed into blocks that meet pairwise, so that a crowded window is dealt to many tasks.  Ids are whole numbers.
     """
-    w = with_cells(points, window, shift, ("wx", "wy", "wz"))
-    w = with_cells(w, small or window, shift, ("sx", "sy", "sz")).select("point_id", "batch", "wx", "wy", "wz", F.struct("sx", "sy", "sz").alias("s"))
-    q, k = (w.withColumnsRenamed({"point_id": n, "s": f"s_{n}"}) for n in ("query_id", "support_id"))
-    pairs = q.join(k, ["batch", "wx", "wy", "wz"])
-    return (pairs.where(F.col("s_query_id") != F.col("s_support_id")) if small else pairs).select("query_id", "support_id")
+    at = ["batch", "wx", "wy", "wz"]
+    w = with_cells(points, window, shift, at[1:])
+    w = with_cells(w, small or window, shift, ("sx", "sy", "sz")).select("point_id", *at, "sx", "sy", "sz")
+    w = w.where(" and ".join(f"{c} is not null" for c in at))
+    numbered = running(w.select(*at).distinct(), [], at, name="number")
+    w = with_groups(w, numbered, at)
+    return sharing(w.select("point_id", F.col("number").alias("batch"), *[F.col(f"s{a}").cast("double").alias(a) for a in "xyz"]), small is not None)
 
 
 def patches(coded: DataFrame, size: int) -> DataFrame:

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from nubila.operators import ball, cluster, knn
+from nubila.operators import ball, blocks, cluster, knn, windows
 
 POINT = "point_id long, batch int, x double, y double, z double"
 
@@ -104,3 +105,45 @@ def test_adaptive_search_lists_no_pairs(spark, monkeypatch):
         want += [(q[0], n + 1, i, d2) for n, (d2, i) in enumerate(sorted((d2, i) for i, d2 in hits_of(q, near, 0, np.inf))[:3])]
     assert len(set(level.values())) > 1
     assert sorted(map(tuple, knn.knn_adaptive(points, 3, 0.05, 4, shift=1.0).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("low", (0.0, 0.05))
+def test_hits_of_a_crowded_cell_come_from_many_tasks(spark, monkeypatch, low):
+    monkeypatch.setattr(blocks, "WIDE", 16)
+    monkeypatch.setattr(blocks, "TASK", 1 << 10)
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 2, *map(float, rng.random(3) * 0.2)) for i in range(200)] + [(200, None, 0.1, 0.1, 0.1), (201, 0, None, 0.1, 0.1), (202, 0, float("nan"), 0.1, 0.1)]
+    points = spark.createDataFrame(rows, "point_id int, batch int, x double, y double, z double")
+    got = ball.hits(points, 0.12, min_radius=low)
+    assert got.dtypes == [("query_id", "int"), ("support_id", "int"), ("d2", "double")]
+    want = []
+    for a in rows[:200]:
+        for b in rows[:200]:
+            x, y, z = (a[i] - b[i] for i in (2, 3, 4))
+            d = x * x + y * y + z * z
+            if a[1] == b[1] and (low * low <= d < 0.12 * 0.12 or low and d <= 1e-5):
+                want.append((a[0], b[0], d))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_hits_closer_than_the_least_distance_stay_among_27_cells(spark):
+    # the SQL's fixed 1e-5 is beyond this radius: only cells bound it
+    points = spark.createDataFrame([(i, 0, v, 0.0, 0.0) for i, v in enumerate((0.0, 0.0015, 0.0025))], "point_id long, batch int, x double, y double, z double")
+    got = {(r.query_id, r.support_id) for r in ball.hits(points, 0.001, min_radius=0.0005).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0), (1, 2), (2, 1)}
+
+
+@pytest.mark.parametrize("small", (None, 0.1))
+def test_pairs_of_a_crowded_window_come_from_many_tasks(spark, monkeypatch, small):
+    monkeypatch.setattr(blocks, "WIDE", 16)
+    monkeypatch.setattr(blocks, "TASK", 1 << 10)
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, *map(float, rng.random(3) * (0.2 if i < 150 else 1.0) - 0.4)) for i in range(200)] + [(200, 0, None, 0.1, 0.1), (201, None, 0.1, 0.1, 0.1)]
+    points = spark.createDataFrame(rows, "point_id int, batch int, x double, y double, z double")
+    got = windows.window_pairs(points, 0.2, small, 1.0)
+    cell = lambda r, e: tuple(int(np.floor((v + 1.0) / e)) for v in r[2:])
+    want = [(a[0], b[0]) for a in rows[:200] for b in rows[:200] if a[1] == b[1] and cell(a, 0.2) == cell(b, 0.2) and (not small or cell(a, small) != cell(b, small))]
+    assert got.dtypes == [("query_id", "int"), ("support_id", "int")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.select(F.spark_partition_id()).distinct().count() > 8
