@@ -41,23 +41,29 @@ def moved(points: DataFrame, m: str = "transform") -> DataFrame:
     return points.select(*[new[c].alias(c) if c in new else F.col(c) for c in points.columns])
 
 
-def ancestors(links: DataFrame, most: int) -> DataFrame:
-    """(token, step, target): what 1 to ``most`` steps along ``prev`` lead to, from links (token, prev); null prev ends a chain.
+def paths(links: DataFrame, most: int) -> DataFrame:
+    """(token, path): the tokens that 1 to ``most`` steps along ``prev`` lead to, from links (token, prev), one row per token that has any.
 
-    Pointer doubling: what up to n steps lead to, joined with itself, gives up to 2n, so there are log2(most) joins however long chains are.
+    Pointer doubling: ways of n steps, joined with what their ends lead to, give 2n, so there are log2(most) joins however long chains are.
     """
-    found = links.where(F.col("prev").isNotNull()).select("token", F.lit(1).alias("step"), F.col("prev").alias("target"))
+    found = links.where(F.col("prev").isNotNull()).select("token", F.array("prev").alias("path"))
     n = 1
     while n < most:
         found = checkpointed(found)
-        far = found.where(F.col("step") == n).select(F.col("token").alias("__from"), F.col("target").alias("__mid"))
-        onward = found.where(F.col("step") <= min(n, most - n)).select(F.col("token").alias("__mid"), "step", "target")
-        further = far.join(onward, "__mid").select(F.col("__from").alias("token"), (F.col("step") + n).alias("step"), "target")
-        found = found.unionByName(further)
+        onward = found.select(F.col("token").alias("__mid"), F.slice("path", 1, min(n, most - n)).alias("__more"))
+        # chains that have ended stay where they are
+        going = found.where(F.size("path") == n).withColumn("__mid", F.element_at("path", -1)).join(onward, "__mid", "left")
+        longer = going.select("token", F.when(F.col("__more").isNull(), F.col("path")).otherwise(F.concat("path", "__more")).alias("path"))
+        found = longer.unionByName(found.where(F.size("path") < n))
         n *= 2
     return found
 
 
+def ancestors(links: DataFrame, most: int) -> DataFrame:
+    """(token, step, target): what 1 to ``most`` steps along ``prev`` lead to, from links (token, prev); null prev ends a chain."""
+    return paths(links, most).select("token", F.posexplode("path").alias("step", "target")).withColumn("step", F.col("step") + 1)
+
+
 def sweep_chain(frames: DataFrame, most: int) -> DataFrame:
     """(token, step, sweep, lag, transform): the ``most`` - 1 frames before each frame along ``prev``.
 
@@ -66,18 +72,18 @@ def sweep_chain(frames: DataFrame, most: int) -> DataFrame:
     frame's car.  Where a chain ends, its last sweep is repeated; a frame without any before it is its own sweep, with lag 0 and
     no transform.
     """
-    real = frames.select(F.col("token").alias("prev"))
-    known = frames.select("token", "prev").join(real, "prev", "left_semi")
-    chain = checkpointed(ancestors(known, most - 1))
-    # the longest way of each frame, repeated for the steps beyond it
-    end = chain.groupBy("token").agg(F.max("step").alias("steps"), F.max_by("target", "step").alias("last"))
-    short = end.where(F.col("steps") < most - 1).select("token", F.explode(F.sequence(F.col("steps") + 1, F.lit(most - 1))).alias("step"), F.col("last").alias("target"))
-    alone = frames.select("token").join(end, "token", "left_anti").select("token", F.explode(F.sequence(F.lit(1), F.lit(most - 1))).alias("step"), F.lit(None).cast(frames.schema["token"].dataType).alias("target"))
-    every = chain.unionByName(short).unionByName(alone)
-    # materialised step by step: the optimizer would put the cells' formulas into each other
-    world = checkpointed(frames.select("token", "ts", "car_pose", "sensor_pose")).select("token", "ts", product(F.col("car_pose"), F.col("sensor_pose")).alias("__out"))
-    world = checkpointed(checkpointed(world).withColumn("__into", inverted(F.col("__out"))))
-    into = world.select("token", F.col("ts").alias("__ts"), "__into")
-    out = world.select(F.col("token").alias("target"), F.col("ts").alias("__then"), "__out")
-    both = every.join(into, "token").join(out, "target", "left")
-    return both.select("token", "step", F.coalesce("target", "token").alias("sweep"), F.when(F.col("target").isNull(), F.col("__ts") - F.col("__ts")).otherwise(F.col("__ts") - F.col("__then")).alias("lag"), F.when(F.col("target").isNotNull(), product(F.col("__into"), F.col("__out"))).alias("transform"))
+    steps = most - 1
+    # materialised step by step: the optimizer would put the cells' formulas into each other, and every use would derive the frames anew
+    world = checkpointed(frames.select("token", "prev", "ts", "car_pose", "sensor_pose"))
+    world = checkpointed(world.select("token", "prev", "ts", product(F.col("car_pose"), F.col("sensor_pose")).alias("__own")))
+    known = world.select("token", "prev").join(world.select(F.col("token").alias("prev")), "prev", "left_semi")
+    ways = checkpointed(paths(known, steps))
+    # a frame goes to each of its sweeps once; its last one is repeated when the transform is there
+    each = world.join(ways, "token").select("token", "ts", "__own", F.size("path").alias("__n"), F.posexplode("path").alias("__pos", "target"))
+    out = world.select(F.col("token").alias("target"), F.col("ts").alias("__then"), F.col("__own").alias("__out"))
+    met = each.join(out, "target").select("token", F.col("target").alias("sweep"), (F.col("ts") - F.col("__then")).alias("lag"), "__pos", "__n", product(inverted(F.col("__own")), F.col("__out")).alias("transform"))
+    upto = F.when(F.col("__pos") + 1 == F.col("__n"), F.lit(steps)).otherwise(F.col("__pos") + 1)
+    met = met.select("token", F.explode(F.sequence(F.col("__pos") + 1, upto)).alias("step"), "sweep", "lag", "transform")
+    alone = world.select("token", "ts").join(ways.select("token"), "token", "left_anti")
+    alone = alone.select("token", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), F.col("token").alias("sweep"), (F.col("ts") - F.col("ts")).alias("lag"), F.lit(None).cast(met.schema["transform"].dataType).alias("transform"))
+    return met.unionByName(alone)

@@ -241,3 +241,31 @@ def test_summaries_of_parts_rooms_and_merges(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
     with pytest.raises(ValueError, match="several"):
         records.merged(a, a.limit(0), ("k",))
+
+
+def test_sweep_chain_derives_its_frames_once(spark, monkeypatch):
+    """One row per frame until sweeps meet their poses: no table of steps, and the frames are read once."""
+    monkeypatch.setattr(poses, "ancestors", None)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        seen.add(1)
+        return (i, i - 1 if i % 50 else None, 10 * i, [float(i), 0.0, 0.0], [1.0, 0.0, 0.0, 0.0])
+
+    df = spark.sparkContext.parallelize(range(200), 3).map(counted).toDF("token long, prev long, ts long, t array<double>, q array<double>")
+    frames = df.select("token", "prev", "ts", poses.matrix(F.col("t"), F.col("q")).alias("car_pose"), poses.matrix(F.col("t"), F.col("q")).alias("sensor_pose"))
+    got = {(r.token, r.step): (r.sweep, r.lag, r.transform and r.transform[3]) for r in poses.sweep_chain(frames, 7).collect()}
+    want = {}
+    for i in range(200):
+        for step in range(1, 7):
+            back = min(step, i % 50)
+            want[i, step] = (i - back, 10 * back, -2.0 * back if back else None)
+    assert got == want
+    assert seen.value == 200
+
+
+@pytest.mark.parametrize("most", (1, 2, 5, 9))
+def test_paths_stop_after_the_most_steps(spark, most):
+    links = spark.createDataFrame([(i, i - 1 if i % 7 else None) for i in range(30)], "token long, prev long")
+    got = {r.token: list(r.path) for r in poses.paths(links, most).collect()}
+    assert got == {i: [i - s for s in range(1, min(most, i % 7) + 1)] for i in range(30) if i % 7}
