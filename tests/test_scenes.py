@@ -269,3 +269,16 @@ def test_paths_stop_after_the_most_steps(spark, most):
     links = spark.createDataFrame([(i, i - 1 if i % 7 else None) for i in range(30)], "token long, prev long")
     got = {r.token: list(r.path) for r in poses.paths(links, most).collect()}
     assert got == {i: [i - s for s in range(1, min(most, i % 7) + 1)] for i in range(30) if i % 7}
+
+
+def test_color_jitter_reads_its_clouds_twice(spark):
+    """Once for the means, once for the result; not once more for each place in the order."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        seen.add(1)
+        return (i, i % 8, float((37 * i) % 256), float((91 * i + 40) % 256), float((11 * i + 200) % 256))
+
+    df = spark.sparkContext.parallelize(range(320), 3).map(counted).toDF("point_id long, batch int, r double, g double, b double")
+    assert len(transforms.random_color_jitter(df, 0.3, 0.3, 0.3, 0.1, seed=2).collect()) == 320
+    assert seen.value == 2 * 320
