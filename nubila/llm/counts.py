@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packed import from_planes, planes
+
 BLOCK = 1 << 12
 
 
@@ -30,11 +32,11 @@ def _blocks(size: int, add: Callable[[pa.RecordBatch, np.ndarray], None]):
 
 def _pack(x: np.ndarray) -> bytes:
     # bytes of one weight side by side compress better
-    return zlib.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zlib.compress(planes(x.astype(np.uint64)), 1)
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return from_planes(zlib.decompress(x), BLOCK).view(np.int64)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ from .workspace import KeyFilter, Workspace
 
 #: Slots of the table of token counts that the order of rarity comes from.
 SLOTS = 1 << 21
+#: Bytes of text that are taken at once: what is made of them stays in a core's cache.
+TEXT = 1 << 17
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -25,7 +27,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    slots = [_slot(span_hashes(data, *word_spans(data, off), lower=True)) for _, _, data, off in chunks(batch.column(0))]
+    slots = [_slot(span_hashes(data, *word_spans(data, off), lower=True)) for _, _, data, off in chunks(batch.column(0), TEXT)]
     if slots:
         total += np.bincount(np.concatenate(slots), minlength=SLOTS)
 
@@ -43,25 +45,34 @@ def line_tokens(data: np.ndarray, off: np.ndarray, ranks: np.ndarray):
     starts, ends = word_spans(data, off)
     h = span_hashes(data, starts, ends, lower=True)
     # lines begin at rows and after line ends
-    cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
-    line = np.searchsorted(cut, starts, side="right") - 1
+    breaks = np.flatnonzero(data == 10)
+    cut = np.unique(np.concatenate([off[:-1], breaks + 1]))
+    words = np.searchsorted(starts, cut)
+    line = np.repeat(np.arange(len(cut)), np.diff(np.append(words, len(starts))))
     token = ranks[_slot(h)].astype(U) << U(56) | h >> U(8)
-    order = np.argsort(token)
-    # numbers of 16 bits are sorted by digits
-    few = len(cut) < 1 << 16
-    order = order[np.argsort(line[order].astype(np.uint16 if few else np.int64), kind="stable")]
-    line, token = line[order], token[order]
+    line, token = _by_line(line, token)
     new = np.ones(len(h), bool)
     new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
     line, token = line[new], token[new]
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
     begin = cut[line[first]]
     row = np.searchsorted(off, begin, side="right") - 1
-    breaks = np.flatnonzero(data == 10)
     number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[row])
     return row, number, np.append(first, len(line)), token
 
 
+def _by_line(line: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by line, then token."""
+    if len(line) and line[-1] < 1 << 16:
+        key = line.astype(U) << U(48) | token >> U(16)
+        order = np.argsort(key)
+        key, sorted_token = key[order], token[order]
+        if not ((key[1:] == key[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any():
+            return (key >> U(48)).astype(np.int64), sorted_token
+    order = np.lexsort((token, line))
+    return line[order], token[order]
+
+
 def class_hashes(at: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each line's set of tokens."""
     out = []
@@ -92,6 +103,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 _FIELDS = ("did", "th", "line", "copies", "c1", "c2", "n", "s1", "s2", "skip", "size")
 _CLASSES = "part int, rows long, " + ", ".join(f"{f} binary" for f in _FIELDS) + ", prefix long, tokens binary"
 _PLACE = "did long, th long, line int, c1 long, c2 long"
+_POSTED = ("rows", "did", "c1", "n", "s1", "s2", "skip", "size", "prefix", "tokens")
 _BRIEF = ("rows", "did", "th", "line", "c1", "c2", "n", "copies")
 #: Lines that a task groups before it sends them on, classes in a packed row, and tokens of the lines of one part.
 HELD, PACKED, LOAD = 1 << 16, 1 << 14, 1 << 21
@@ -109,13 +121,20 @@ def _taken(t: dict, rows: np.ndarray) -> dict:
 
 
 def _joined(tables: list[dict]) -> dict:
-    return {f: np.concatenate([t[f] for t in tables]) for f in (*_FIELDS, "tokens")}
+    return {f: np.concatenate([t[f] for t in tables]) for f in tables[0]}
 
 
 def _grouped(t: dict) -> dict:
     """A row per class: its first place and the number of its lines."""
-    order = np.lexsort((t["line"], t["th"], t["did"], t["c2"], t["c1"]))
-    c1, c2 = t["c1"][order], t["c2"][order]
+    order = np.argsort(t["c1"])
+    c1 = t["c1"][order]
+    # equal hashes are sorted on
+    same = np.zeros(len(c1) + 1, bool)
+    same[1:-1] = c1[1:] == c1[:-1]
+    some = np.flatnonzero(same[1:] | same[:-1])
+    rows = order[some]
+    order[some] = rows[np.lexsort((t["line"][rows], t["th"][rows], t["did"][rows], t["c2"][rows], c1[some]))]
+    c2 = t["c2"][order]
     begin = np.flatnonzero(np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
     return {**_taken(t, order[begin]), "copies": np.add.reduceat(t["copies"][order], begin)}
 
@@ -144,7 +163,7 @@ def _lines(shared, parts: int):
         places, classes, held = [], [], 0
         for batch in batches:
             did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for lo, _, data, off in chunks(batch.column(2)):
+            for lo, _, data, off in chunks(batch.column(2), TEXT):
                 row, number, at, token = line_tokens(data, off, shared.value)
                 if not len(row):
                     continue
@@ -156,7 +175,7 @@ def _lines(shared, parts: int):
                 columns = (did[lo + row], th[lo + row], number.astype(np.int64), np.ones(len(n), np.int64), *hashes[:2], n, *hashes[2:], skip, size)
                 t = dict(zip(_FIELDS, columns), tokens=token[_spread(at[:-1] + skip, size)])
                 places.append({f: t[f] for f in ("did", "th", "line", "c1", "c2")})
-                classes.append(_grouped(t))
+                classes.append(t)
                 held += len(n)
                 if held >= HELD:
                     yield flush(places, classes)
@@ -233,8 +252,9 @@ def _spots(keys: KeyFilter):
 
 
 def _load(batch: pa.RecordBatch, total: np.ndarray) -> None:
-    for row in batch.to_pylist():
-        total += np.bincount(_token_slot(from_planes(row["tokens"], row["prefix"])), minlength=SLOTS)
+    slots = [_token_slot(from_planes(row["tokens"], row["prefix"])) for row in batch.to_pylist()]
+    if slots:
+        total += np.bincount(np.concatenate(slots), minlength=SLOTS)
 
 
 def _token_slot(token: np.ndarray) -> np.ndarray:
@@ -262,8 +282,8 @@ def _dealt(parts: int, share: int, shares: int, blocks, asking=None, wanted=None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed in batch.to_pylist():
-                yield deal(_unpack(packed))
+            if len(batch):  # together, so that what goes to a part is packed in few pieces
+                yield deal(_joined([_unpack(packed) for packed in batch.to_pylist()]))
 
     def deal(t: dict) -> pa.RecordBatch:
         c1, did, n, s1, s2, skip, size = (t[f] for f in ("c1", "did", "n", "s1", "s2", "skip", "size"))
@@ -290,7 +310,9 @@ def _dealt(parts: int, share: int, shares: int, blocks, asking=None, wanted=None
             role.append(np.full(len(i), kind))
         i, block, role = np.concatenate(which), np.concatenate(block), np.concatenate(role)
         part = (mix(token[i] + block.astype(U)) % U(parts)).astype(np.int64)
-        order = np.lexsort((token[i], part))
+        order = np.argsort(token[i])
+        # numbers of 16 bits are sorted by digits
+        order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
         i, block, role, part = i[order], block[order], role[order], part[order]
         r = row[i]
         bounds = np.searchsorted(part, np.arange(parts + 1))
@@ -479,11 +501,12 @@ def _candidates(low: int, high: int):
         block, c1, did, n, at, s1, s2, quiet = (np.concatenate([from_planes(r[k], r["n"]) for r in rows]) for k in ("block", "c1", "did", "size", "at", "s1", "s2", "role"))
         rows.clear()
         n, at, did, role = n.astype(np.int64), at.astype(np.int64), did.view(np.int64), (ASKS | ASKED) - quiet.astype(np.int64)
-        order = np.lexsort((n, block, token))
+        order = np.lexsort((block, token)) if block.any() else np.argsort(token)
         # token and block are one key from here on
         key = np.zeros(len(order), np.int64)
         token, block = token[order], block[order]
         key[1:] = np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
+        order = order[np.argsort(key << 32 | n[order])]
         c1, did, n, at, s1, s2, role = (v[order] for v in (c1, did, n, at, s1, s2, role))
         for x, y in _nearest(met(key, c1, did, n, at, s1, s2, role, high + 1), did, c1, high):
             # x ascending, its candidates by did
@@ -515,22 +538,54 @@ def _nearest(found: Iterator[tuple[np.ndarray, np.ndarray]], did: np.ndarray, c1
         yield x, y
 
 
-def _sets(ranks, classes: KeyFilter, docs: KeyFilter):
-    """Whole sets of the lines of classes that the filter lets through; a token that occurs once is in no intersection."""
+def _place(did, th, line):
+    """A key of a line's place, for filters; of columns or of unsigned numbers."""
+    if isinstance(did, np.ndarray):
+        return th ^ did << U(40) ^ line
+    return th.bitwiseXOR(F.shiftleft(did, 40)).bitwiseXOR(line.cast("long"))
+
+
+def _line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lines that have bytes: row, number within the row, begin and end."""
+    breaks = np.flatnonzero(data == 10)
+    begin = np.unique(np.concatenate([off[:-1], breaks + 1]))
+    begin = begin[begin < len(data)]
+    row = np.searchsorted(off, begin, side="right") - 1
+    return row, np.searchsorted(breaks, begin) - np.searchsorted(breaks, off[row]), begin, np.append(begin[1:], len(data))
+
+
+def _packed_lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of numbers, bounded by at, as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+_SETS = "c1 long, c2 long, did long, th long, line int, n int, tokens binary, brief binary"
+
+
+def _sets(ranks, places: KeyFilter, docs: KeyFilter):
+    """Whole sets of the lines whose place the filter lets through, and 16 bits of each token; a token that occurs once is in no intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(docs.test(batch.column(1).to_numpy(zero_copy_only=False))))
-            for lo, _, data, off in chunks(batch.column(2)):
-                row, number, at, token = line_tokens(data, off, ranks.value)
+            did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, _, data, off in chunks(batch.column(2), TEXT):
+                row, number, begin, end = _line_spans(data, off)
+                mine = np.flatnonzero(places.test(_place(did[lo + row].view(U), th[lo + row].view(U), number.astype(U))))
+                if not len(mine):
+                    continue
+                size = (end - begin)[mine]
+                own, _, at, token = line_tokens(data[_spread(begin[mine], size)], np.concatenate([[0], np.cumsum(size)]), ranks.value)
+                mine = mine[own]
+                row, number = lo + row[mine], number[mine]
                 c1, c2 = class_hashes(at, token)
-                keep = classes.test(c1)
-                line = np.repeat(np.arange(len(c1)), np.diff(at))
-                mine = keep[line] & (token >> U(56) != 0)
-                sizes = np.bincount(line[mine], minlength=len(c1))[keep]
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token[mine].view(np.int64)))
-                ids = pa.array(row[keep] + lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *[pa.array(x[keep]) for x in (number.astype(np.int32), c1.view(np.int64), c2.view(np.int64))], tokens], ["did", "th", "line", "c1", "c2", "tokens"])
+                line = np.repeat(np.arange(len(own)), np.diff(at))
+                often = token >> U(56) != 0
+                brief = np.unique(line[often] << 16 | (token[often] >> U(5) & U(0xFFFF)).astype(np.int64))
+                lists = [_packed_lists(np.searchsorted(keys, np.arange(len(own) + 1)), values) for keys, values in ((line[often], token[often]), (brief >> 16, brief.astype(np.uint16)))]
+                columns = (c1.view(np.int64), c2.view(np.int64), did[row], th[row], number.astype(np.int32), np.diff(at).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *lists], [x.split(" ")[0] for x in _SETS.split(", ")])
+
     return run
 
 
@@ -554,7 +609,7 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     while True:
         pairs, made = None, []
         for share in range(shares):
-            dealt = classes.mapInArrow(_dealt(parts, share, shares, blocks, asking, wanted), _PACKED)
+            dealt = classes.select(*_POSTED).mapInArrow(_dealt(parts, share, shares, blocks, asking, wanted), _PACKED)
             found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(low, high), "x long, y long, token long, apart int")
             found = ws.save(found.groupBy("x", "y", "token").agg(F.min("apart").alias("apart")), "pairs")
             made.append(found)
@@ -562,18 +617,23 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
             ws.release()
         # a pair may be there once for each share
         together = pairs.where("y IS NOT NULL")
-        sets = _sets_of(ws, src, ranks, classes, together)
-        if sets is not None:
+        count = together.count()
+        if count:
+            # later rounds list very many pairs of one class
+            spread = high // FIRST
             # the nearest signature first, the others only where that one isn't similar after all
-            best = together.groupBy("x").agg(F.min_by("y", "apart").alias("y"))
-            found = ws.save(_similar(best, sets), "found")
+            best = ws.save(together.groupBy("x").agg(F.min_by("y", "apart").alias("y")), "best")
+            ends = best.select(F.col("x").alias("c1")).unionByName(together.select(F.col("y").alias("c1")))
+            sets = _sets_of(ws, src, ranks, classes, KeyFilter(ends, "c1", count))
+            found = ws.save(_fitting(best, sets, "tokens", width, spread).select(F.col("x").alias("c1"), "c2").distinct(), "found")
             gone = found if gone is None else gone.unionByName(found)
-            ws.release()
             rest = together.select("x", "y").join(gone.select(F.col("c1").alias("x")), "x", "left_anti")
-            likely = ws.save(_likely(rest.distinct() if shares > 1 else rest, sets), "likely")
+            rest = ws.save(rest.distinct() if shares > 1 else rest, "rest")
+            ws.drop(best)
+            likely = ws.save(_fitting(rest, sets, "brief", width, spread).select("x", "y").distinct(), "likely")
             if not likely.isEmpty():
-                gone = gone.unionByName(ws.save(_similar(likely, sets), "found"))
-            ws.drop(sets, likely)
+                gone = gone.unionByName(ws.save(_fitting(likely, sets, "tokens", width, spread).select(F.col("x").alias("c1"), "c2").distinct(), "found"))
+            ws.drop(sets, rest, likely)
         rest = pairs.where("y IS NULL").select(F.col("x").alias("c1"), "token")
         rest = ws.save(rest.join(gone, "c1", "left_anti") if gone is not None else rest, "asking")
         ws.drop(*made)
@@ -595,49 +655,123 @@ def removed_lines(ws: Workspace, src: DataFrame) -> DataFrame:
     return out
 
 
-def _sets_of(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """(c1, c2, first, n, tokens, brief) of the classes in pairs (x, y): whole sets, read from the texts again."""
-    ends = ws.save(pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct(), "ends")
-    count = ends.count()
-    if not count:
-        ws.drop(ends)
-        return None
-    inside = KeyFilter(ends, "c1", count)
+#: Places up to which the rows of their texts are picked by a broadcast join, before they go to Python.
+FEW = 1 << 14
+
+
+def _sets_of(ws: Workspace, src: DataFrame, ranks, classes: DataFrame, inside: KeyFilter) -> DataFrame:
+    """Whole sets, as in _SETS, of the classes that the filter lets through, read from the texts again at the classes' first places.
+
+    There may be more: sets of other classes, and of a class's later lines.
+    """
     told = classes.select(*_BRIEF).mapInArrow(_told(inside, False), _PLACE + ", n long, copies long")
-    involved = ws.save(ends.join(told, "c1").select("c1", "c2", F.struct("did", "th", "line").alias("first"), "n"), "involved")
-    ws.drop(ends)
-    thin = inside, KeyFilter(involved.select(F.col("first.th").alias("th")), "th", count)
-    read = src.select("did", "th", "text").mapInArrow(_sets(ranks, *thin), "did long, th long, line int, c1 long, c2 long, tokens array<long>")
-    # a class is told by the line at its first place
-    own = read.join(involved, ["c1", "c2"]).where(F.struct("did", "th", "line") == F.col("first"))
-    brief = F.array_distinct(F.transform("tokens", lambda t: (F.shiftright(t, 5).bitwiseAND(F.lit(0xFFFF)) - F.lit(0x8000)).cast("short")))
-    sets = ws.save(own.dropDuplicates(["c1", "c2"]).select("c1", "c2", "first", "n", "tokens", brief.alias("brief")), "sets")
+    involved = ws.save(told.select("did", "th", _place(F.col("did"), F.col("th"), F.col("line")).alias("place")), "involved")
+    count = involved.count()
+    texts = src.select("did", "th", "text")
+    if count <= FEW:
+        texts = texts.join(F.broadcast(involved.select("did", "th").distinct()), ["did", "th"], "left_semi")
+    read = texts.mapInArrow(_sets(ranks, KeyFilter(involved, "place", count), KeyFilter(involved, "th", count)), _SETS)
+    sets = ws.save(read, "sets")
     ws.drop(involved)
     return sets
 
 
-def _sides(sets: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
-    """sets for either end of pairs, with the same columns, so that one shuffle serves both."""
-    names = ("c1", "c2", "first", "n", tokens)
-    return tuple(sets.select(*[F.col(a).alias(b) for a, b in zip(names, new)]) for new in (("x", "c2", "first", "n", "tokens"), ("y", "d2", "before", "m", "others")))
+#: Marks of values that a task holds at once.
+MARKS = 1 << 22
+_SENT = ("c1", "c2", "did", "th", "line", "n")
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y) of the pairs of which 16 bits of each token don't rule the similarity out.
+def _compared(name: str):
+    """(x, y, c2) of the pairs, with what is sent of their classes, that are similar by their tokens or may be by 16 bits of each."""
 
-    Shared tokens with equal values are as many fewer values as the line has values less than tokens.
-    """
-    left, right = _sides(sets, "brief")
-    common = F.size(F.array_intersect("tokens", "others"))
-    may = (common + F.col("n") - F.size("tokens")) * 7 >= (F.col("n") + F.col("m")) * 3
-    return pairs.join(left, "x").join(right, "y").where((F.col("before") < F.col("first")) & F.col("d2").isNotNull() & may).select("x", "y").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            part = batch.column(0).to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+            for lo, hi in zip(bounds, [*bounds[1:], len(part)]):
+                if part[lo] != now and held:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                now = part[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        pair = rows.column("y").is_valid()
+        x, y = (rows.filter(pair).column(k).to_numpy() for k in ("c1", "y"))
+        sets = rows.filter(rows.column("y").is_null())
+        c1, c2, did, th, line, n = (sets.column(k).to_numpy() for k in _SENT)
+        # the first place of each class
+        order = np.lexsort((line, th, did, c2, c1))
+        new = np.ones(len(order), bool)
+        new[1:] = (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])
+        order = order[new]
+        c1, c2, did, th, line, n = (v[order].astype(np.int64) for v in (c1, c2, did, th, line, n))
+        lists = sets.column(name).take(pa.array(order)).to_pylist()
+        kind = np.dtype("<u8" if name == "tokens" else "<u2")
+        size = np.array([len(v) // kind.itemsize for v in lists], np.int64)
+        value = np.frombuffer(b"".join(lists), kind)
+        if name == "tokens":
+            value = np.unique(value, return_inverse=True)[1]
+        value = value.astype(np.int64)
+        span = int(value.max()) + 1 if len(value) else 1
+        begin = np.cumsum(size) - size
+        i, j = _each(c1, x, y)
+        earlier = (did[j] < did[i]) | (did[j] == did[i]) & ((th[j] < th[i]) | (th[j] == th[i]) & (line[j] < line[i]))
+        order = np.flatnonzero(earlier)
+        order = order[np.argsort(i[order], kind="stable")]
+        i, j = i[order], j[order]
+        # a few lines' sets at a time are marked in a table, where the other sides' values look
+        nth = np.cumsum(np.concatenate([[0], i[1:] != i[:-1]])) if len(i) else i
+        room = max(1, MARKS // span)
+        marks, ends, lo = np.zeros(room * span, bool), np.cumsum(size[j]), 0
+        while lo < len(i):
+            hi = min(int(np.searchsorted(ends, ends[lo] - size[j[lo]] + PAIRS, side="right")), int(np.searchsorted(nth, nth[lo] + room)))
+            hi = max(lo + 1, hi)
+            a, b, at = i[lo:hi], j[lo:hi], (nth[lo:hi] - nth[lo]) * span
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            mine = np.repeat(at[first], size[a[first]]) + value[_spread(begin[a[first]], size[a[first]])]
+            marks[mine] = True
+            hits = np.concatenate([[0], np.cumsum(marks[np.repeat(at, size[b]) + value[_spread(begin[b], size[b])]])])
+            marks[mine] = False
+            upto = np.cumsum(size[b])
+            common = hits[upto] - hits[upto - size[b]]
+            if name == "brief":  # tokens of equal values are one: shared ones are as many fewer as the line has fewer values
+                common = common + n[a] - size[a]
+            ok = common * 7 >= (n[a] + n[b]) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c1[a[ok]], c1[b[ok]], c2[a[ok]])], ["x", "y", "c2"])
+            lo = hi
+
+    return run
+
+
+def _each(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) in the sorted keys of all pairs of a key equal to x and one equal to y."""
+    lo, times = np.searchsorted(keys, x), np.searchsorted(keys, x, side="right") - np.searchsorted(keys, x)
+    i, j = _spread(lo, times), np.repeat(y, times)
+    lo, times = np.searchsorted(keys, j), np.searchsorted(keys, j, side="right") - np.searchsorted(keys, j)
+    return np.repeat(i, times), _spread(lo, times)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(c1, c2) of the classes x that have a similarity of 3/4 to an earlier class y of pairs."""
-    left, right = _sides(sets, "tokens")
-    similar = (F.col("before") < F.col("first")) & F.col("d2").isNotNull() & (F.size(F.array_intersect("tokens", "others")) * 7 >= (F.col("n") + F.col("m")) * 3)
-    return pairs.join(left, "x").join(right, "y").where(similar).select(F.col("x").alias("c1"), "c2").distinct()
+#: Pairs of a part that are compared at once, at least (where there are few) and at most on average.
+LEAST, COMPARED = 1 << 8, 1 << 15
+
+
+def _fitting(pairs: DataFrame, sets: DataFrame, name: str, width: int, spread: int) -> DataFrame:
+    """(x, y, c2) of the pairs (x, y) in a table that are similar by their tokens, or may be by their brief.
+
+    Pairs are dealt by x (and to ``spread`` parts of each x), and each class's set goes once to every part that has a
+    pair with it: a class that very many others are like is compared by all parts.
+    """
+    count = pairs.count()
+    parts = max(min(width, 1 + count // LEAST), count // COMPARED)
+    part = F.pmod(F.xxhash64("x", F.pmod("y", F.lit(spread))), F.lit(parts)).cast("int").alias("part")
+    wants = pairs.select(part, F.col("x").alias("c1")).unionByName(pairs.select(part, F.col("y").alias("c1"))).distinct()
+    sent = wants.join(sets.select(*_SENT, name), "c1").select("part", *_SENT, F.lit(None).cast("long").alias("y"), name)
+    links = pairs.select(part, F.col("x").alias("c1"), *[F.lit(None).cast(sets.schema[k].dataType).alias(k) for k in _SENT[1:]], "y", F.lit(None).cast("binary").alias(name))
+    return sent.unionByName(links).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_compared(name), "x long, y long, c2 long")
 
 
 def _finish(shared: KeyFilter | None, keep: bool):

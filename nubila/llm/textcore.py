@@ -19,6 +19,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_CODES = np.arange(1, 257, dtype=U), _LOWER.astype(U) + U(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -95,7 +96,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     p, q = powers(P_BYTE, len(data) + 1)
     total = np.empty(len(data) + 1, U)
     total[0] = 0
-    np.cumsum(((_LOWER[data] if lower else data).astype(U) + U(1)) * p[:-1], out=total[1:])
+    np.cumsum(_CODES[lower][data] * p[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * q[starts]
     return mix(h + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
 

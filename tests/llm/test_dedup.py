@@ -198,3 +198,41 @@ def test_a_crowded_token_takes_no_quadratic_time():
     began = time.perf_counter()
     found = sum(len(x) for x, _ in L._nearest(L.met(np.zeros(m, np.int64), u(), rng.integers(0, 50_000, m), n, np.zeros(m, np.int64), s1, s2, np.full(m, 3), 17), rng.integers(0, 50_000, m), u(), 16))
     assert found > 100_000 and time.perf_counter() - began < 60
+
+
+def test_sets_are_read_of_the_chosen_lines_alone(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from nubila.llm import line_dedup as L
+
+    texts = ["a b c\nB  a\n\n", "", None, "one two\nthree four five six\nseven", "x\ty z"]
+    did, th = np.arange(5) - 2, np.array([5, 6, 7, 1 << 62, -9]) * 3
+    chosen = {(0, 1), (3, 1), (4, 0)}
+    keys = {int(L._place(did[r : r + 1].view(np.uint64), th[r : r + 1].view(np.uint64), np.array([k], np.uint64))[0]) for r, k in chosen}
+    places = type("", (), {"test": lambda self, key: np.array([int(k) in keys for k in key], bool)})()
+    docs = type("", (), {"test": lambda self, key: key != th[0] + 1})()
+    seen, whole = [], L.line_tokens
+    monkeypatch.setattr(L, "line_tokens", lambda data, *a: seen.append(bytes(data)) or whole(data, *a))
+    ranks = type("", (), {"value": np.ones(L.SLOTS, np.uint8)})()
+    got = [r for b in L._sets(ranks, places, docs)([pa.RecordBatch.from_arrays([pa.array(did), pa.array(th), pa.array(texts)], ["did", "th", "text"])]) for r in b.to_pylist()]
+    assert b"".join(seen) == b"B  a\nthree four five six\nx\ty z"
+    assert [(r["did"] + 2, r["line"], r["n"], len(r["tokens"]) // 8, len(r["brief"]) // 2) for r in got] == [(0, 1, 2, 2, 2), (3, 1, 4, 4, 4), (4, 0, 3, 3, 3)]
+
+
+def test_pairs_of_one_line_with_many_are_compared_by_many_parts(spark, monkeypatch):
+    import numpy as np
+    from nubila.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "LEAST", 16)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(40, rng.integers(20, 41), replace=False).astype(np.uint64)) for _ in range(400)]
+    rows = [(k, k + 1, k, 0, 0, len(v), v.tobytes(), v.astype(np.uint16).tobytes()) for k, v in enumerate(sets)]
+    rows += [(0, 1, 500, 0, 0, 1, b"", b"")]  # a later line of a class is not its first place
+    pairs = [(x, 0) for x in range(1, 400)]
+    want = {(x, y, x + 1) for x, y in pairs if 7 * len(np.intersect1d(sets[x], sets[y])) >= 3 * (len(sets[x]) + len(sets[y]))}
+    assert 0 < len(want) < len(pairs)
+    for name in ("tokens", "brief"):
+        got = L._fitting(spark.createDataFrame(pairs, "x long, y long"), spark.createDataFrame(rows, L._SETS), name, 4, 1)
+        assert {tuple(r) for r in got.collect()} == want
+        made = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(n > 0 for n in made) > 1
