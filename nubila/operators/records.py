@@ -52,9 +52,25 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.signum(a) * F.lit(float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
-def speedups(records: DataFrame, baseline: str, keys: tuple[str, ...] = ("room", "mode", "k"), value: str = "query_ms") -> DataFrame:
-    """Mean time of each method and its ratio to the baseline's under the same keys."""
-    means = records.groupBy(*keys, "method").agg(F.avg(value).alias("ms"))
+def rounded(c: Column, digits: int) -> Column:
+    """c to so many digits as SQL engines that scale doubles have it; F.round goes by the shortest decimal and differs at halves."""
+    by = F.lit(float(10**digits))
+    out = F.round(c * by) / by
+    return F.when(F.abs(out) < float("inf"), out).otherwise(c)
+
+
+def speedups(records: DataFrame, baseline: str, keys: tuple[str, ...] = ("room", "mode", "k"), value: str = "query_ms", order: str | None = None) -> DataFrame:
+    """Mean time of each method and its ratio to the baseline's under the same keys.
+
+    With ``order`` a group's times are added up in that order: sums of doubles depend on it in their last digits, and rounded ratios
+    at halves show it.
+    """
+    if order is None:
+        means = records.groupBy(*keys, "method").agg(F.avg(value).alias("ms"))
+    else:
+        w = Window.partitionBy(*keys, "method").orderBy(order, value)
+        each = records.select(*keys, "method", F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("ms"), F.row_number().over(w).alias("__nth"))
+        means = each.where("__nth = 1").drop("__nth")
     base = means.where(F.col("method") == baseline).select(*keys, F.col("ms").alias("base_ms"))
     return means.join(base, list(keys), "left").select(*keys, "method", "ms", ratio(F.col("base_ms"), F.col("ms")).alias("speedup"))
 

@@ -641,7 +641,7 @@ def bench_pivot(spark, d):
 
 @query(f"WITH {REC}, m AS (SELECT room, mode, k, method, avg(query_ms) AS ms FROM rec GROUP BY ALL) SELECT m.room, m.mode, m.k, m.method, round(m.ms, 6) AS ms, round(b.ms / m.ms, 6) AS speedup FROM m LEFT JOIN m b ON b.method = 'click' AND m.room = b.room AND m.mode = b.mode AND m.k = b.k")
 def bench_speedup(spark, d):
-    return records.speedups(bench_records(spark, d), "click").withColumns({"ms": F.round("ms", 6), "speedup": F.round("speedup", 6)})
+    return records.speedups(bench_records(spark, d), "click", order="event_id").withColumns({c: records.rounded(F.col(c), 6) for c in ("ms", "speedup")})
 
 
 SIZES = "sz AS (SELECT user_id AS room, count(*) * 10000 AS num_support FROM events GROUP BY user_id)"

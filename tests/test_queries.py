@@ -50,3 +50,21 @@ def test_entry():
     import __spark_entry__
 
     assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_speedups_at_halves_match_sql(spark, tmp_path):
+    """Ratios that end in a half at the last digit: rounded by the scaled double, times added in the order of their ids."""
+    times = [((53.68,), 51.2), ((128.45,), 32.0), ((26.74,), 12.8), ((183.65, 49.65, 7.15), 32.0), ((138.85, 121.81, 67.45), 6.4), ((153.39, 106.91, 53.56), 64.0), ((60.84, 68.51, 144.43), 64.0)]
+    rows = [(6 * (10 * user + i), user, "click", v) for user, (base, _) in enumerate(times) for i, v in enumerate(base)]
+    rows += [(6 * (10 * user + 9), user, "view", v) for user, (_, v) in enumerate(times)]
+    events = spark.createDataFrame(sorted(rows), "event_id long, user_id long, event_type string, value double")
+    con = duckdb.connect(config={"threads": 1})
+    events.coalesce(1).write.parquet(f"{tmp_path}/sorted")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/sorted/*.parquet'")
+    # the same rows in another order
+    events.coalesce(1).sortWithinPartitions("event_type", -events.event_id).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["bench_speedup"](spark, str(tmp_path))
+    want = con.sql(catalog.oracle_sql()["bench_speedup"])
+    exact = lambda found: sorted((r[0], r[3], r[4], r[5]) for r in found if r[5] is not None)
+    assert got.columns == want.columns and exact(got.collect()) == exact(want.fetchall())
+    assert len(exact(got.collect())) == 2 * len(times)
