@@ -68,3 +68,18 @@ def test_speedups_at_halves_match_sql(spark, tmp_path):
     exact = lambda found: sorted((r[0], r[3], r[4], r[5]) for r in found if r[5] is not None)
     assert got.columns == want.columns and exact(got.collect()) == exact(want.fetchall())
     assert len(exact(got.collect())) == 2 * len(times)
+
+
+def test_sweep_chain_on_odd_rows_matches_sql(spark, tmp_path):
+    """Events without a value or user, users with one event, one with more than a stretch."""
+    from datetime import datetime, timedelta
+
+    users = [0] * 2500 + [None] * 7 + [1] + [2] * 2 + [3] * 40
+    events = [(i, datetime(2024, 1, 1) + timedelta(minutes=7 * ((i * 389) % 5003)), u, None if i % 13 == 5 else round((i * 37 % 1009) / 7, 2)) for i, u in enumerate(users)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.queries()["sweep_chain"](spark, str(tmp_path))
+    want = con.sql(catalog.oracle_sql()["sweep_chain"])
+    assert got.columns == want.columns
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())

@@ -282,3 +282,48 @@ def test_color_jitter_reads_its_clouds_twice(spark):
     df = spark.sparkContext.parallelize(range(320), 3).map(counted).toDF("point_id long, batch int, r double, g double, b double")
     assert len(transforms.random_color_jitter(df, 0.3, 0.3, 0.3, 0.1, seed=2).collect()) == 320
     assert seen.value == 2 * 320
+
+
+@pytest.mark.parametrize("most", (2, 4, 10))
+def test_sweep_rows_are_those_along_links(spark, monkeypatch, most):
+    """A chain of several stretches, short ones, frames alone, a chain without a name; nulls in poses."""
+    monkeypatch.setattr(poses, "STRETCH", 8)
+    monkeypatch.setattr(poses, "AT_ONCE", 40)
+    rng = random.Random(most)
+    unit = lambda: (lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v])([rng.gauss(0, 1) for _ in range(4)])
+    chains = {"long": 400, "one": 1, "two": 2, None: 5, "ten": 10} | {f"c{i}": 1 + i % 4 for i in range(20)}
+    rows, prev = [], {}
+    for chain, n in chains.items():
+        for i in range(n):
+            token = f"{chain}-{i}"
+            prev[token] = f"{chain}-{i - 1}" if i else None
+            rows.append((chain, 10 * i + rng.randrange(10), token, prev[token], [rng.uniform(-5, 5) for _ in range(3)], unit(), [rng.uniform(-1, 1) for _ in range(3)], unit()))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "chain string, ts long, token string, prev string, ct array<double>, cq array<double>, st array<double>, sq array<double>").repartition(3)
+    posed = lambda d: d.withColumns({"car_pose": poses.matrix(F.col("ct"), F.col("cq")), "sensor_pose": poses.matrix(F.col("st"), F.col("sq"))})
+    want = {(r.token, r.step): r for r in poses.sweep_chain(posed(df), most).collect()}
+    out = poses.sweep_rows(df.drop("prev"), most, ("chain",), ("ts",), posed)
+    got = out.collect()
+    assert len(got) == len(want) == len(rows) * (most - 1)
+    for r in got:
+        w = want[r.token, r.step]
+        assert (r.sweep, r.lag) == (w.sweep, w.lag) and (r.transform is None) == (w.transform is None)
+        assert r.transform is None or np.allclose(r.transform, w.transform)
+    # nulls make those cells null that come of them, also in products with 0, as in SQL
+    holes = lambda d: posed(d).withColumn("car_pose", F.when(F.col("token") == "ten-3", F.lit(None)).when(F.col("token") == "ten-6", F.array(*[F.lit(None) if i == 3 else F.get("car_pose", F.lit(i)) for i in range(16)])).otherwise(F.col("car_pose")))
+    for r in poses.sweep_rows(df.drop("prev"), most, ("chain",), ("ts",), holes).where("token like 'ten-%' and transform is not null").collect():
+        empty = [v is None for v in r.transform]
+        if {"ten-3", "ten-6"} & {r.token, r.sweep}:
+            assert all(empty)
+        else:
+            assert not any(empty) and np.allclose(r.transform, want[r.token, r.step].transform)
+
+
+def test_sweep_chain_shuffles_events_not_poses(spark):
+    from nubila.plans import catalog
+
+    plan = catalog.queries()["sweep_chain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan =="):]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "array" not in below
