@@ -246,3 +246,33 @@ def test_partners_send_only_points_within_reach():
     assert (row["q"], row["n"]) == (1, 2)
     ids, kept = blocks._points(row["raw"], 2)
     assert ids.tolist() == [7, 8] and kept.tolist() == xyz[:2].tolist()
+
+
+@pytest.mark.parametrize("low, also, cells", ((0.0, None, None), (0.05, 1e-5, None), (0.05, 0.09, (0.3, 1.0, 0))))
+def test_pairs_are_listed_from_both_ends(spark, monkeypatch, low, also, cells):
+    """Several blocks and tiles, runs that don't come out even, points at one place, rows of one id, two clouds."""
+    monkeypatch.setattr(blocks, "WIDE", 32)
+    monkeypatch.setattr(blocks, "TILE", 2)
+    monkeypatch.setattr(blocks, "STEP", 640)
+    rng = np.random.default_rng(5)
+    xyz = np.concatenate([rng.random((300, 3)).astype("f4"), np.full((40, 3), 0.5), rng.random((5, 3))]).astype(float)
+    ids, batch = np.arange(len(xyz)), np.arange(len(xyz)) % 7 // 6
+    ids[-1] = 3
+    points = spark.createDataFrame([(int(i), int(b), *map(float, p)) for i, b, p in zip(ids, batch, xyz)], "point_id long, batch int, x double, y double, z double")
+    d = sum((xyz[:, None, a] - xyz[None, :, a]) ** 2 for a in range(3))
+    stays = ((d < 0.09) & (d >= low) | (d <= (-1 if also is None else also))) & (batch[:, None] == batch[None, :])
+    if cells is not None:
+        c = np.floor((xyz + cells[1]) / cells[0])
+        stays &= (np.abs(c[:, None] - c[None, :]) <= 1).all(2)
+    i, j = np.nonzero(stays)
+    got = blocks.within(points, low, 0.09, also, cells=cells).collect()
+    assert sorted(map(tuple, got)) == sorted(zip(ids[i].tolist(), ids[j].tolist(), d[i, j].tolist()))
+
+
+def test_listed_pairs_are_written_compactly(spark, tmp_path):
+    """A distance has 8 bytes and is that of two rows, which lie so near each other that the writer finds it again."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(rng.random((5000, 3)))], "point_id long, batch int, x double, y double, z double")
+    blocks.within(points, 0.0, 0.09, None).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 1_000_000 and sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 7 * n
